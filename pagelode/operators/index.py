@@ -25,7 +25,14 @@ from pyspark.sql import functions as F
 
 from pagelode.functions import scoring
 from pagelode.functions.text import indexed_text, tokens, value_counts
-from pagelode.schemas import MANIFEST_DDL, PAGE_FIELDS, POSTINGS_DDL
+from pagelode.schemas import (
+    CORPUS_STATS_DDL,
+    DOC_FREQ_DDL,
+    DOCUMENTS_DDL,
+    MANIFEST_DDL,
+    PAGE_FIELDS,
+    POSTINGS_DDL,
+)
 from pagelode.session import shuffle_partitions
 
 MODES = ("latest", "cumulative")
@@ -221,12 +228,9 @@ def write_index(
         latest = latest.repartition(num_shards, "id")
     # Sorted before the terms are added, so that the sort moves only the texts.
     placed = latest.withColumn("shard", shard_of("id", num_shards))
-    (
-        analyse(placed.sortWithinPartitions("shard", "id"))
-        .write.partitionBy("shard")
-        .parquet(f"{root}/documents")
-    )
-    documents = spark.read.parquet(f"{root}/documents")
+    placed = analyse(placed.sortWithinPartitions("shard", "id"))
+    placed.write.partitionBy("shard").parquet(f"{root}/documents")
+    documents = spark.read.schema(placed.schema).parquet(f"{root}/documents")
 
     # A scan of the documents reads whole shards or parts of them, so the postings
     # of the latest versions are in place already.
@@ -276,10 +280,10 @@ def open_index(spark: SparkSession, path: str, version: int | None = None) -> Se
         raise ValueError(f"no index version {version} under {path}")
     root = f"{path}/{entry.folder}"
     return SearchIndex(
-        documents=spark.read.parquet(f"{root}/documents"),
+        documents=spark.read.schema(DOCUMENTS_DDL).parquet(f"{root}/documents"),
         postings=_bucketed_table(spark, f"{root}/postings", entry.num_shards),
-        doc_freq=spark.read.parquet(f"{root}/doc_freq"),
-        corpus_stats=spark.read.parquet(f"{root}/corpus_stats"),
+        doc_freq=spark.read.schema(DOC_FREQ_DDL).parquet(f"{root}/doc_freq"),
+        corpus_stats=spark.read.schema(CORPUS_STATS_DDL).parquet(f"{root}/corpus_stats"),
         num_shards=entry.num_shards,
         version=entry.version,
     )
