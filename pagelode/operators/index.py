@@ -2,7 +2,7 @@
 
 An index is four tables.
 
-documents     id, url, title, body, dl, terms array<struct<term, tf>>
+documents     id, url, title, body, dl
 postings      id, term, tf, dl, adds, added_tf
 doc_freq      term, df
 corpus_stats  n, total_len, avgdl (one row)
@@ -33,10 +33,15 @@ from pagelode.schemas import (
     PAGE_FIELDS,
     POSTINGS_DDL,
 )
-from pagelode.session import shuffle_partitions
+from pagelode.session import has_at_most, shuffle_partitions
 
 MODES = ("latest", "cumulative")
 
+# Most terms to put into a filter as literals.
+LITERAL_TERMS = 1000
+# Most terms to broadcast to the document frequencies.
+BROADCAST_TERMS = 1_000_000
+
 
 @dataclass(frozen=True)
 class SearchIndex:
@@ -57,7 +62,13 @@ class SearchIndex:
         return self.documents.sparkSession
 
     def for_terms(self, terms: Sequence[str]) -> SearchIndex:
-        """The same index with the named terms only, as a filter the scans push down."""
+        """The same index with the named terms only, as a filter the scans push down.
+
+        A query of very many terms would touch most of the index anyway; it is left
+        to the join.
+        """
+        if len(terms) > LITERAL_TERMS:
+            return self
         wanted = F.col("term").isin(list(terms))
         return replace(
             self, postings=self.postings.filter(wanted), doc_freq=self.doc_freq.filter(wanted)
@@ -72,16 +83,24 @@ def shard_of(id: str | Column, num_shards: int) -> Column:
 # Building
 
 
-def analyse(pages: DataFrame) -> DataFrame:
-    """Add the terms of each page with their counts, and its length in terms."""
-    return (
-        pages.withColumn("_tokens", tokens(indexed_text(F.col("title"), F.col("body"))))
-        .withColumn("dl", F.size("_tokens").cast("bigint"))
-        .withColumn("terms", value_counts(F.col("_tokens")))
-        .drop("_tokens")
+def measured(pages: DataFrame) -> DataFrame:
+    """Add the length of each page in terms, repeats included."""
+    return pages.withColumn("dl", F.size(page_tokens()).cast("bigint"))
+
+
+def term_rows(pages: DataFrame, *keep: str) -> DataFrame:
+    """One row (term, tf) per distinct term of each page."""
+    # The outer form: the inner one makes the optimizer test the array for emptiness
+    # beforehand, which would analyse every text twice.
+    return pages.select(*keep, F.inline_outer(value_counts(page_tokens()))).filter(
+        F.col("term").isNotNull()
     )
 
 
+def page_tokens() -> Column:
+    return tokens(indexed_text(F.col("title"), F.col("body")))
+
+
 def with_version(pages: DataFrame) -> DataFrame:
     """Replace `seq` by a total order of the versions of a page.
 
@@ -108,13 +127,6 @@ def latest_pages(versions: DataFrame) -> DataFrame:
     )
 
 
-def term_rows(analysed: DataFrame, *keep: str) -> DataFrame:
-    """One row per term of each page."""
-    # The outer form: the inner one makes the optimizer test the array for emptiness
-    # beforehand, which would analyse every text twice.
-    return analysed.select(*keep, F.inline_outer("terms")).filter(F.col("term").isNotNull())
-
-
 def build_index(pages: DataFrame, mode: str = "latest", unique_ids: bool = False) -> SearchIndex:
     """Plans for the tables of an index over `pages`; nothing runs yet.
 
@@ -131,16 +143,18 @@ def build_index(pages: DataFrame, mode: str = "latest", unique_ids: bool = False
     _check_mode(mode)
     versions = with_version(pages)
     latest = versions if unique_ids else latest_pages(versions)
-    documents = analyse(latest)
+    documents = measured(latest)
     if mode == "cumulative" and not unique_ids:
         postings = _cumulative_postings(documents, versions)
+        stats = corpus_statistics(documents, postings)
     else:
         postings = _latest_postings(documents)
+        stats = corpus_statistics(documents)
     return SearchIndex(
         documents=documents.drop("version"),
         postings=postings,
         doc_freq=document_frequency(postings),
-        corpus_stats=corpus_statistics(documents, postings),
+        corpus_stats=stats,
     )
 
 
@@ -158,7 +172,7 @@ def _latest_postings(documents: DataFrame) -> DataFrame:
 def _cumulative_postings(documents: DataFrame, versions: DataFrame) -> DataFrame:
     last = F.max(F.struct("version", "tf"))
     history = (
-        term_rows(analyse(versions), "id", "version")
+        term_rows(versions, "id", "version")
         .groupBy("id", "term")
         .agg(
             last.alias("last"),
@@ -182,11 +196,18 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.sum("adds").alias("df"))
 
 
-def corpus_statistics(documents: DataFrame, postings: DataFrame) -> DataFrame:
-    """One row: number of pages, empty ones included, total and average length."""
-    n = documents.agg(F.count(F.lit(1)).alias("n"))
-    total = postings.agg(F.coalesce(F.sum("added_tf"), F.lit(0)).cast("bigint").alias("total_len"))
-    return n.withColumn("total_len", total.scalar()).withColumn(
+def corpus_statistics(documents: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """One row: number of pages, empty ones included, total and average length.
+
+    The total length is that of the documents, or with `postings` of all their versions.
+    """
+    stats = documents.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len")
+    )
+    if postings is not None:
+        added = postings.agg(F.coalesce(F.sum("added_tf"), F.lit(0)).alias("total_len"))
+        stats = stats.withColumn("total_len", added.scalar())
+    return stats.withColumn(
         "avgdl",
         F.when(F.col("n") == 0, F.lit(1.0)).otherwise(
             F.try_divide(F.col("total_len").cast("double"), F.col("n").cast("double"))
@@ -226,16 +247,16 @@ def write_index(
     latest = versions if unique_ids else latest_pages(versions)
     if unique_ids or num_shards != partitions:
         latest = latest.repartition(num_shards, "id")
-    # Sorted before the terms are added, so that the sort moves only the texts.
-    placed = latest.withColumn("shard", shard_of("id", num_shards))
-    placed = analyse(placed.sortWithinPartitions("shard", "id"))
+    placed = measured(latest.withColumn("shard", shard_of("id", num_shards)))
+    placed = placed.sortWithinPartitions("shard", "id")
     placed.write.partitionBy("shard").parquet(f"{root}/documents")
     documents = spark.read.schema(placed.schema).parquet(f"{root}/documents")
 
     # A scan of the documents reads whole shards or parts of them, so the postings
     # of the latest versions are in place already.
+    cumulative = mode == "cumulative" and not unique_ids
     postings = _latest_postings(documents)
-    if mode == "cumulative" and not unique_ids:
+    if cumulative:
         postings = _cumulative_postings(documents, versions)
         if num_shards != partitions:
             postings = postings.repartition(num_shards, "id")
@@ -254,7 +275,8 @@ def write_index(
         .sortWithinPartitions("term")
         .write.parquet(f"{root}/doc_freq")
     )
-    corpus_statistics(documents, postings).coalesce(1).write.parquet(f"{root}/corpus_stats")
+    stats = corpus_statistics(documents, postings if cumulative else None)
+    stats.coalesce(1).write.parquet(f"{root}/corpus_stats")
     (
         spark.range(1)
         .select(
@@ -322,14 +344,14 @@ def _check_mode(mode: str) -> None:
 
 def term_stats(index: SearchIndex, terms: DataFrame) -> DataFrame:
     """Document frequency and idf of the given terms; unseen terms count as seen once."""
+    terms = terms.select("term").distinct()
+    known = index.doc_freq
+    if has_at_most(terms, BROADCAST_TERMS):
+        # Leaves of the vocabulary only what is asked for, before it would be shuffled.
+        known = known.join(F.broadcast(terms), "term", "left_semi")
     stats = index.corpus_stats.select("n").scalar()
-    return (
-        terms.select("term")
-        .distinct()
-        .join(index.doc_freq, "term", "left")
-        .select(
-            "term",
-            scoring.known_df(F.col("df")).cast("bigint").alias("df"),
-            scoring.idf(stats, F.col("df")).alias("idf"),
-        )
+    return terms.join(known, "term", "left").select(
+        "term",
+        scoring.known_df(F.col("df")).cast("bigint").alias("df"),
+        scoring.idf(stats, F.col("df")).alias("idf"),
     )

@@ -30,10 +30,7 @@ ORDER = T.StructType(
 )
 
 # Tables of a stored index.
-DOCUMENTS_DDL = (
-    "id STRING, url STRING, title STRING, body STRING, dl BIGINT, "
-    "terms ARRAY<STRUCT<term: STRING, tf: BIGINT>>, shard INT"
-)
+DOCUMENTS_DDL = "id STRING, url STRING, title STRING, body STRING, dl BIGINT, shard INT"
 DOC_FREQ_DDL = "term STRING, df BIGINT"
 CORPUS_STATS_DDL = "n BIGINT, total_len BIGINT, avgdl DOUBLE"
 POSTINGS_DDL = (

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelode.functions.text import let
 from pagelode.schemas import MESSAGE, PAGE_FIELDS
 from pagelode.session import session_conf
 
@@ -93,37 +94,57 @@ def decode_messages(messages: DataFrame, keep_rejects: bool = False) -> DataFram
     passed = [name for name in messages.columns if name not in ("key", "value", *PAGE_FIELDS)]
     # Read while the expression is built, so the session keeps its own setting.
     with session_conf(messages.sparkSession, spark__sql__variant__allowDuplicateKeys="true"):
-        text = F.make_valid_utf8(F.col("value").cast("string"))
-        whole = F.when(text.rlike(_WHOLE_VALUE), text)
-        parsed = messages.withColumn("_json", F.try_parse_json(whole))
-    kind = F.schema_of_variant("_json")
-    entries = F.when(
-        F.startswith(kind, F.lit("OBJECT")),
-        F.map_entries(F.try_variant_get("_json", "$", "map<string,variant>")),
-    )
-    parsed = parsed.withColumn("_kind", kind).withColumn("_entries", entries)
-    for name in PAGE_FIELDS:
-        parsed = parsed.withColumn(f"_{name}", _last_entry(F.col("_entries"), name))
-    strings = [
-        F.coalesce(F.schema_of_variant(f"_{name}"), F.lit(_VOID)).isin(_VOID, _STRING)
-        for name in PAGE_FIELDS
-    ]
-    is_page = F.col("_kind") == _VOID
-    is_object = F.col("_entries").isNotNull()
-    for string in strings:
-        is_object = is_object & string
-    accepted = F.coalesce(is_page | is_object, F.lit(False))
-    page = [
-        F.coalesce(F.try_variant_get(f"_{name}", "$", "string"), F.lit("")).alias(name)
-        for name in PAGE_FIELDS
-    ]
+        page = _page(F.col("value"))
+        if keep_rejects:
+            decoded = messages.select(page.alias("page"), *passed, "value")
+        else:
+            # A filter on what a generator yields is not pushed below it, where it
+            # would parse every value a second time.
+            decoded = messages.select(F.explode_outer(F.array(page)).alias("page"), *passed)
     if not keep_rejects:
-        return parsed.filter(accepted).select(*page, *passed)
-    return parsed.withColumn("accepted", accepted).select(
-        *page, *passed, "accepted", F.when(~F.col("accepted"), F.col("value")).alias("value")
+        return decoded.filter(F.col("page").isNotNull()).select("page.*", *passed)
+    accepted = F.col("page").isNotNull()
+    fields = [F.coalesce(F.col(f"page.{name}"), F.lit("")).alias(name) for name in PAGE_FIELDS]
+    return decoded.select(
+        *fields,
+        *passed,
+        accepted.alias("accepted"),
+        F.when(~accepted, F.col("value")).alias("value"),
     )
 
 
+def _page(value: Column) -> Column:
+    """The page in a message value as a struct, or null; parses the value once."""
+    text = F.make_valid_utf8(value.cast("string"))
+    whole = F.when(text.rlike(_WHOLE_VALUE), text)
+
+    def from_json(json: Column) -> Column:
+        kind = F.schema_of_variant(json)
+        entries = F.map_entries(F.try_variant_get(json, "$", "map<string,variant>"))
+        empty = F.struct(*[F.lit("").alias(name) for name in PAGE_FIELDS])
+        return F.when(kind == _VOID, empty).when(
+            F.startswith(kind, F.lit("OBJECT")), let(entries, from_entries)
+        )
+
+    def from_entries(entries: Column) -> Column:
+        values = F.array(*[_last_entry(entries, name) for name in PAGE_FIELDS])
+        return let(values, from_values)
+
+    def from_values(values: Column) -> Column:
+        fields = [
+            F.coalesce(F.try_variant_get(F.get(values, i), "$", "string"), F.lit("")).alias(name)
+            for i, name in enumerate(PAGE_FIELDS)
+        ]
+        return F.when(F.forall(values, _is_text), F.struct(*fields))
+
+    return let(F.try_parse_json(whole), from_json)
+
+
+def _is_text(value: Column) -> Column:
+    """Whether a field is a string, null or absent."""
+    return F.coalesce(F.schema_of_variant(value), F.lit(_VOID)).isin(_VOID, _STRING)
+
+
 def _last_entry(entries: Column, name: str) -> Column:
     """Value of the last entry of that name; the name is matched in any letter case."""
     named = F.filter(entries, lambda entry: F.lower(entry["key"]) == name)

@@ -1,6 +1,5 @@
 import math
 import re
-import sys
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -40,10 +39,11 @@ def test_indexed_text_joins_title_and_body(spark):
 
 
 def test_whitespace_tokens_split_like_python(spark):
-    every = "".join(f"a{chr(c)}" for c in range(1, 0x3100)) + "A b　c\x1cd  e"
-    found = evaluate(spark, text.whitespace_tokens(F.col("s")), every, " x, É. ", "")
-    assert found == [every.lower().split(), ["x,", "é."], []]
-    assert sys.maxunicode > 0xFFFF
+    # U+1C89 is a capital letter only in later versions of Unicode than Python's.
+    every = [f"a{chr(c)}b" for c in range(1, 0x3100) if c != 0x1C89]
+    every += [" x, É. ", "", "A b　c\x1cd  e"]
+    found = evaluate(spark, text.whitespace_tokens(F.col("s")), *every)
+    assert found == [t.lower().split() for t in every]
 
 
 def test_truncate_stops_at_a_character(spark):
@@ -60,7 +60,7 @@ def test_truncate_stops_at_a_character(spark):
 
 
 @settings(
-    max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+    max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
 @given(st.lists(st.text(alphabet="aBc é,\n1　€", max_size=40), min_size=1, max_size=20))
 def test_text_functions_match_plain_python(spark, texts):
