@@ -5,14 +5,9 @@ corpus statistics); whole tables of queries are then ranked with BM25, the best
 candidates are reordered by a pluggable reranker, and the top k are returned.
 """
 
-from pagelode.operators.index import (
-    SearchIndex,
-    build_index,
-    open_index,
-    term_stats,
-    write_index,
-)
+from pagelode.operators.index import SearchIndex, build_index, term_stats
 from pagelode.operators.rerank import cosine_rerank
+from pagelode.operators.store import extend_index, open_index, write_index
 from pagelode.plans.search import search, search_many, search_with_order
 from pagelode.sources.messages import (
     decode_messages,
@@ -32,6 +27,7 @@ __all__ = [
     "cosine_rerank",
     "decode_messages",
     "encode_messages",
+    "extend_index",
     "file_messages",
     "index_stream",
     "kafka_messages",

@@ -1,4 +1,4 @@
-"""The inverted index: building, storing, opening, and term statistics.
+"""The inverted index: its tables, how they follow from pages, and term statistics.
 
 An index is four tables.
 
@@ -14,26 +14,17 @@ shards, and the scores of a document are summed up without moving its postings.
 
 from __future__ import annotations
 
-import hashlib
-import uuid
+import functools
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelode.functions import scoring
 from pagelode.functions.text import indexed_text, tokens, value_counts
-from pagelode.schemas import (
-    CORPUS_STATS_DDL,
-    DOC_FREQ_DDL,
-    DOCUMENTS_DDL,
-    MANIFEST_DDL,
-    PAGE_FIELDS,
-    POSTINGS_DDL,
-)
-from pagelode.session import has_at_most, shuffle_partitions
+from pagelode.schemas import PAGE_FIELDS
+from pagelode.session import has_at_most
 
 MODES = ("latest", "cumulative")
 
@@ -43,6 +34,18 @@ LITERAL_TERMS = 1000
 BROADCAST_TERMS = 1_000_000
 
 
+@dataclass(frozen=True)
+class Part:
+    """Documents of one stored segment, and the ids that later segments replaced."""
+
+    documents: DataFrame
+    replaced: DataFrame | None = None
+
+    def live(self, rows: DataFrame) -> DataFrame:
+        """Those of some rows of this segment, which have an id, that are not replaced."""
+        return rows if self.replaced is None else rows.join(self.replaced, "id", "left_anti")
+
+
 @dataclass(frozen=True)
 class SearchIndex:
     """The tables of one immutable index version, or plans that derive them.
@@ -50,16 +53,22 @@ class SearchIndex:
     `num_shards` is set for a stored index, whose documents carry a `shard` column.
     """
 
-    documents: DataFrame
+    parts: tuple[Part, ...]
     postings: DataFrame
     doc_freq: DataFrame
     corpus_stats: DataFrame
     num_shards: int | None = None
     version: int | None = None
 
+    @property
+    def documents(self) -> DataFrame:
+        return functools.reduce(
+            DataFrame.unionByName, [part.live(part.documents) for part in self.parts]
+        )
+
     @property
     def spark(self) -> SparkSession:
-        return self.documents.sparkSession
+        return self.postings.sparkSession
 
     def for_terms(self, terms: Sequence[str]) -> SearchIndex:
         """The same index with the named terms only, as a filter the scans push down.
@@ -140,25 +149,25 @@ def build_index(pages: DataFrame, mode: str = "latest", unique_ids: bool = False
 
     `unique_ids` vouches that no id repeats, which saves resolving versions.
     """
-    _check_mode(mode)
+    check_mode(mode)
     versions = with_version(pages)
     latest = versions if unique_ids else latest_pages(versions)
     documents = measured(latest)
     if mode == "cumulative" and not unique_ids:
-        postings = _cumulative_postings(documents, versions)
+        postings = cumulative_postings(documents, versions)
         stats = corpus_statistics(documents, postings)
     else:
-        postings = _latest_postings(documents)
+        postings = latest_postings(documents)
         stats = corpus_statistics(documents)
     return SearchIndex(
-        documents=documents.drop("version"),
+        parts=(Part(documents.drop("version")),),
         postings=postings,
         doc_freq=document_frequency(postings),
         corpus_stats=stats,
     )
 
 
-def _latest_postings(documents: DataFrame) -> DataFrame:
+def latest_postings(documents: DataFrame) -> DataFrame:
     return term_rows(documents, "id", "dl").select(
         "id",
         "term",
@@ -169,7 +178,7 @@ def _latest_postings(documents: DataFrame) -> DataFrame:
     )
 
 
-def _cumulative_postings(documents: DataFrame, versions: DataFrame) -> DataFrame:
+def cumulative_postings(documents: DataFrame, versions: DataFrame) -> DataFrame:
     last = F.max(F.struct("version", "tf"))
     history = (
         term_rows(versions, "id", "version")
@@ -207,6 +216,10 @@ def corpus_statistics(documents: DataFrame, postings: DataFrame | None = None) -
     if postings is not None:
         added = postings.agg(F.coalesce(F.sum("added_tf"), F.lit(0)).alias("total_len"))
         stats = stats.withColumn("total_len", added.scalar())
+    return with_average(stats)
+
+
+def with_average(stats: DataFrame) -> DataFrame:
     return stats.withColumn(
         "avgdl",
         F.when(F.col("n") == 0, F.lit(1.0)).otherwise(
@@ -215,126 +228,7 @@ def corpus_statistics(documents: DataFrame, postings: DataFrame | None = None) -
     )
 
 
-# Storing
-
-
-def write_index(
-    pages: DataFrame,
-    path: str,
-    mode: str = "latest",
-    num_shards: int | None = None,
-    unique_ids: bool = False,
-) -> SearchIndex:
-    """Build an index and store it as the next version under `path`.
-
-    A version lies in a folder of its own and counts once its manifest row is
-    written, last of all: readers see a whole version or none of it, and a build
-    that fails leaves the one before in place. Each table is derived from the
-    stored one before it, so a lost executor costs its tasks and no earlier step.
-
-    `num_shards` defaults to the number of shuffle partitions, which makes the
-    shuffle that resolves versions also the one that lays out the documents.
-    """
-    _check_mode(mode)
-    spark = pages.sparkSession
-    partitions = shuffle_partitions(spark)
-    num_shards = num_shards or partitions
-    version = _latest_version(spark, path) + 1
-    folder = f"version={version}-{uuid.uuid4().hex[:12]}"
-    root = f"{path}/{folder}"
-
-    versions = with_version(pages)
-    latest = versions if unique_ids else latest_pages(versions)
-    if unique_ids or num_shards != partitions:
-        latest = latest.repartition(num_shards, "id")
-    placed = measured(latest.withColumn("shard", shard_of("id", num_shards)))
-    placed = placed.sortWithinPartitions("shard", "id")
-    placed.write.partitionBy("shard").parquet(f"{root}/documents")
-    documents = spark.read.schema(placed.schema).parquet(f"{root}/documents")
-
-    # A scan of the documents reads whole shards or parts of them, so the postings
-    # of the latest versions are in place already.
-    cumulative = mode == "cumulative" and not unique_ids
-    postings = _latest_postings(documents)
-    if cumulative:
-        postings = _cumulative_postings(documents, versions)
-        if num_shards != partitions:
-            postings = postings.repartition(num_shards, "id")
-    table = _table_name(f"{root}/postings")
-    (
-        postings.write.format("parquet")
-        .bucketBy(num_shards, "id")
-        .sortBy("term")
-        .option("path", f"{root}/postings")
-        .saveAsTable(table)
-    )
-    postings = spark.table(table)
-
-    (
-        document_frequency(postings)
-        .sortWithinPartitions("term")
-        .write.parquet(f"{root}/doc_freq")
-    )
-    stats = corpus_statistics(documents, postings if cumulative else None)
-    stats.coalesce(1).write.parquet(f"{root}/corpus_stats")
-    (
-        spark.range(1)
-        .select(
-            F.lit(version).cast("bigint").alias("version"),
-            F.lit(folder).alias("folder"),
-            F.lit(mode).alias("mode"),
-            F.lit(num_shards).alias("num_shards"),
-        )
-        .coalesce(1)
-        .write.mode("append")
-        .json(f"{path}/manifest")
-    )
-    return open_index(spark, path, version)
-
-
-def open_index(spark: SparkSession, path: str, version: int | None = None) -> SearchIndex:
-    """A stored index; the newest complete version unless one is named."""
-    manifest = spark.read.schema(MANIFEST_DDL).json(f"{path}/manifest")
-    if version is not None:
-        manifest = manifest.filter(F.col("version") == version)
-    entry = manifest.agg(F.max(F.struct("version", "folder", "num_shards")).alias("m")).first().m
-    if entry is None:
-        raise ValueError(f"no index version {version} under {path}")
-    root = f"{path}/{entry.folder}"
-    return SearchIndex(
-        documents=spark.read.schema(DOCUMENTS_DDL).parquet(f"{root}/documents"),
-        postings=_bucketed_table(spark, f"{root}/postings", entry.num_shards),
-        doc_freq=spark.read.schema(DOC_FREQ_DDL).parquet(f"{root}/doc_freq"),
-        corpus_stats=spark.read.schema(CORPUS_STATS_DDL).parquet(f"{root}/corpus_stats"),
-        num_shards=entry.num_shards,
-        version=entry.version,
-    )
-
-
-def _latest_version(spark: SparkSession, path: str) -> int:
-    try:
-        manifest = spark.read.schema(MANIFEST_DDL).json(f"{path}/manifest")
-    except AnalysisException:
-        return 0
-    return manifest.agg(F.max("version")).first()[0] or 0
-
-
-def _table_name(location: str) -> str:
-    return f"pagelode_postings_{hashlib.sha256(location.encode()).hexdigest()[:16]}"
-
-
-def _bucketed_table(spark: SparkSession, location: str, num_shards: int) -> DataFrame:
-    """The stored postings with their buckets, also in a session that did not write them."""
-    table = _table_name(location)
-    quoted = location.replace("\\", "\\\\").replace("'", "\\'")
-    spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {table} ({POSTINGS_DDL}) USING parquet "
-        f"CLUSTERED BY (id) SORTED BY (term) INTO {num_shards} BUCKETS LOCATION '{quoted}'"
-    )
-    return spark.table(table)
-
-
-def _check_mode(mode: str) -> None:
+def check_mode(mode: str) -> None:
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
 

@@ -6,6 +6,8 @@ bytes, and the score is the BM25 score even where the reranker changed the order
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,29 +124,31 @@ def settle(index: SearchIndex, rows: DataFrame) -> DataFrame:
 
 def fetch(index: SearchIndex, pool: DataFrame, broadcast: bool) -> DataFrame:
     """Add url, title and body to rows with an id."""
-    documents, keys, pool = _placed(index, pool)
-    return documents.join(small(pool, broadcast), keys).drop("shard")
+    return _documents_of(index, pool, broadcast, "inner")
 
 
 def pooled_documents(index: SearchIndex, pool: DataFrame, broadcast: bool) -> DataFrame:
     """The documents of a pool, each once."""
-    documents, keys, pool = _placed(index, pool.select("id"))
-    return documents.join(small(pool, broadcast), keys, "left_semi").drop("shard")
+    return _documents_of(index, pool.select("id"), broadcast, "left_semi")
 
 
-def _placed(index: SearchIndex, pool: DataFrame) -> tuple[DataFrame, list[str], DataFrame]:
-    """Documents, join keys and pool, the latter with shards if the index is stored.
+def _documents_of(index: SearchIndex, pool: DataFrame, broadcast: bool, how: str) -> DataFrame:
+    """Join documents with a pool, segment by segment.
 
-    A pool of known small size is then broadcast with the shard of each id, so that
-    Spark reads only those partitions and shuffles no document.
+    A pool of known small size is broadcast with the shard of each id, so that Spark
+    reads only those partitions of a stored index and shuffles no document.
     """
-    shown = ["url", "title", "body"]
-    if not index.num_shards:
-        return index.documents.select("id", *shown), ["id"], pool
-    pool = pool.withColumn("shard", shard_of("id", index.num_shards))
-    # Always true; tells Spark that pruning by this side is worth it.
-    pool = pool.filter(F.col("shard") >= 0)
-    return index.documents.select("shard", "id", *shown), ["shard", "id"], pool
+    keys = ["id"]
+    if index.num_shards:
+        keys = ["shard", "id"]
+        pool = pool.withColumn("shard", shard_of("id", index.num_shards))
+        # Always true; tells Spark that pruning by this side is worth it.
+        pool = pool.filter(F.col("shard") >= 0)
+    found = []
+    for part in index.parts:
+        documents = part.documents.select(*keys, "url", "title", "body")
+        found.append(part.live(documents.join(small(pool, broadcast), keys, how)))
+    return functools.reduce(DataFrame.unionByName, found).drop("shard")
 
 
 def _answerable(queries: DataFrame) -> DataFrame:

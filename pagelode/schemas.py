@@ -30,11 +30,15 @@ ORDER = T.StructType(
 )
 
 # Tables of a stored index.
-DOCUMENTS_DDL = "id STRING, url STRING, title STRING, body STRING, dl BIGINT, shard INT"
 DOC_FREQ_DDL = "term STRING, df BIGINT"
 CORPUS_STATS_DDL = "n BIGINT, total_len BIGINT, avgdl DOUBLE"
 POSTINGS_DDL = (
     "id STRING, term STRING, tf BIGINT, dl BIGINT, adds BIGINT, added_tf BIGINT"
 )
 
-MANIFEST_DDL = "version BIGINT, folder STRING, mode STRING, num_shards INT"
+REPLACED_DDL = "id STRING"
+
+MANIFEST_DDL = (
+    "version BIGINT, folder STRING, mode STRING, num_shards INT, documents_schema STRING, "
+    "segments ARRAY<STRUCT<folder: STRING, replaced: BIGINT>>"
+)

@@ -1,11 +1,12 @@
 """Continuous indexing: messages to a page log, and the page log to index versions.
 
 The stream appends each micro-batch of decoded pages to a log, one folder per batch
-that a replay overwrites, so the log holds every message once. An index version is
-derived from the log, and readers go on with the version they opened.
+that a replay overwrites, so the log holds every message once. The batch then extends
+the index by a segment, or the index is derived from the whole log again. Either gives
+a new version; readers go on with the one they opened.
 
     <path>/log/batch_id=N/accepted=true|false    pages, or rejected values
-    <path>/version=M-.../                        index versions, see `write_index`
+    <path>/version=M-.../                        index versions, see `store`
 """
 
 from __future__ import annotations
@@ -13,17 +14,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pagelode.operators.index import SearchIndex, write_index
+from pagelode.operators.index import SearchIndex
+from pagelode.operators.store import extend_index, segment_count, write_index
 from pagelode.schemas import PAGE_FIELDS
 from pagelode.sources.messages import decode_messages
 
 # Columns of a Kafka message that order the versions of a page.
 KAFKA_ORDER = ("timestamp", "partition", "offset")
 
+# Segments an index may have before they are merged.
+MAX_SEGMENTS = 16
+
 
 def index_stream(
     messages: DataFrame,
@@ -38,15 +43,25 @@ def index_stream(
     """Start indexing a stream of messages; returns the running query.
 
     `order` names the message columns that order the versions of a page. With none,
-    later batches win. Every `refresh_every`-th batch becomes visible as a new index
-    version at once; with None, `refresh_index` runs as a job of its own, which suits
-    large logs. Restarts go on from the checkpoint, which belongs beside the index.
+    later batches win. Every `refresh_every`-th batch makes the log so far visible as
+    a new index version; with None, `refresh_index` runs as a job of its own. Restarts
+    go on from the checkpoint, which belongs beside the index.
+
+    In `latest` mode a refresh after every batch costs as much as the batch, since it
+    adds a segment; MAX_SEGMENTS segments are merged by deriving the index from the
+    log. Otherwise each refresh derives it from the log.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         append_batch(batch, batch_id, path, order)
-        if refresh_every and (batch_id + 1) % refresh_every == 0:
-            refresh_index(batch.sparkSession, path, mode)
+        if not refresh_every or (batch_id + 1) % refresh_every:
+            return
+        extends = mode == "latest" and refresh_every == 1
+        if extends and 0 < segment_count(spark, path) < MAX_SEGMENTS:
+            extend_index(_pages(read_log(spark, path), batch_id), path)
+        else:
+            refresh_index(spark, path, mode)
 
     writer = messages.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
@@ -66,31 +81,32 @@ def append_batch(messages: DataFrame, batch_id: int, path: str, order: Sequence[
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame | None:
-    """Pages of all batches with their `seq`, or None while there are none."""
-    log = _read(spark, path)
-    if log is None:
+    """All decoded messages by batch, good and bad; None while there are none."""
+    try:
+        return spark.read.option("basePath", f"{path}/log").parquet(f"{path}/log")
+    except AnalysisException:
         return None
-    return log.filter(F.col("accepted") == "true").select(*PAGE_FIELDS, "seq")
 
 
 def read_rejects(spark: SparkSession, path: str) -> DataFrame | None:
     """Message values that were no pages, by batch."""
-    log = _read(spark, path)
-    if log is None:
-        return None
-    return log.filter(F.col("accepted") == "false").select("batch_id", "value")
+    log = read_log(spark, path)
+    return None if log is None else log.filter(~accepted()).select("batch_id", "value")
 
 
 def refresh_index(
     spark: SparkSession, path: str, mode: str = "latest", num_shards: int | None = None
 ) -> SearchIndex | None:
-    """Derive the next index version from the log; None while the log is empty."""
-    pages = read_log(spark, path)
-    return None if pages is None else write_index(pages, path, mode, num_shards)
+    """Derive the next index version from the whole log; None while the log is empty."""
+    log = read_log(spark, path)
+    return None if log is None else write_index(_pages(log), path, mode, num_shards)
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.option("basePath", f"{path}/log").parquet(f"{path}/log")
-    except AnalysisException:
-        return None
+def _pages(log: DataFrame, batch_id: int | None = None) -> DataFrame:
+    if batch_id is not None:
+        log = log.filter(F.col("batch_id") == batch_id)
+    return log.filter(accepted()).select(*PAGE_FIELDS, "seq")
+
+
+def accepted() -> Column:
+    return F.col("accepted") == "true"

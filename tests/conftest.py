@@ -7,8 +7,8 @@ from pagelode.session import build_session
 def spark(tmp_path_factory):
     session = build_session(
         "tests",
-        "local[4]",
-        spark__sql__shuffle__partitions="4",
+        "local[8]",
+        spark__sql__shuffle__partitions="2",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),

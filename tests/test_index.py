@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 import pagelode as pl
 from pagelode.operators import index as ix
+from pagelode.operators import store
 from pagelode.sources.pages import seed_pages
 from tests.corpora import C_AGAIN, FIVE, page_log
 
@@ -104,12 +105,12 @@ def test_opening_without_the_writing_session(spark, tmp_path):
     path = str(tmp_path)
     index = pl.write_index(page_log(spark), path)
     folder = next(tmp_path.glob("version=1-*"))
-    spark.sql(f"DROP TABLE {ix._table_name(f'{path}/{folder.name}/postings')}")
+    spark.sql(f"DROP TABLE {store._table_name(f'{path}/{folder.name}/postings')}")
     reopened = pl.open_index(spark, path)
     assert sorted(reopened.postings.collect()) == sorted(
         pl.build_index(page_log(spark)).postings.collect()
     )
-    assert index.num_shards == reopened.num_shards == 4
+    assert index.num_shards == reopened.num_shards == 2
 
 
 @pytest.mark.parametrize("shards", [1, 3, 4])

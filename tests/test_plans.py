@@ -4,7 +4,7 @@ import pytest
 
 import pagelode as pl
 from pagelode.operators import retrieval
-from tests.corpora import FIVE, page_log, requests
+from tests.corpora import C_AGAIN, FIVE, page_log, requests
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +24,14 @@ def test_scoring_moves_no_posting(spark, index):
     assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text
 
 
+def test_scoring_moves_no_posting_of_an_extended_index(spark, tmp_path):
+    path = str(tmp_path)
+    pl.extend_index(page_log(spark), path)
+    index = pl.extend_index(page_log(spark, [C_AGAIN]), path)
+    text = plan(retrieval.bm25_scores(index, requests(spark, "spark sql")))
+    assert "Union" in text and "Exchange hashpartitioning" not in text
+
+
 def test_pool_is_cut_before_the_shuffle(spark, index):
     text = plan(retrieval.rerank_pool(index, requests(spark, "spark sql")))
     assert text.count("Exchange hashpartitioning(qid") == 1

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import pagelode as pl
+from pagelode.operators import store
 from pagelode.streaming import indexing
 from tests.corpora import C_AGAIN, FIVE, ids, page_log, requests
 
@@ -66,6 +67,12 @@ def test_replaying_a_batch_changes_nothing(spark, tmp_path):
     for _ in range(2):
         indexing.append_batch(messages, 0, path, ["seq"])
     assert indexing.read_log(spark, path).count() == 5
+    pages = page_log(spark)
+    first = pl.extend_index(pages, path)
+    again = pl.extend_index(pages, path)
+    assert content(first) == content(again)
+    assert first.doc_freq.exceptAll(again.doc_freq).count() == 0
+    assert first.corpus_stats.collect() == again.corpus_stats.collect()
 
 
 def test_without_an_order_later_batches_win(spark, tmp_path):
@@ -87,3 +94,46 @@ def test_only_rejects(spark, tmp_path):
     run(spark, folder, path)
     assert pl.open_index(spark, path).documents.count() == 0
     assert indexing.read_rejects(spark, path).count() == 2
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_extensions_equal_one_build(spark, tmp_path, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(store, "BROADCAST_IDS", -1)
+    path = str(tmp_path)
+    late = ("b", "", "Old", "outdated streaming", 0)
+    again = ("a", "", "Spark", "spark once more", 7)
+    batches = [FIVE[:3], [*FIVE[3:], C_AGAIN], [late, again]]
+    for rows in batches:
+        index = pl.extend_index(page_log(spark, rows), path)
+    assert (index.version, store.segment_count(spark, path)) == (3, 3)
+    whole = pl.build_index(page_log(spark, [row for rows in batches for row in rows]))
+    assert content(index) == content(whole)
+    assert sorted(index.doc_freq.collect()) == sorted(whole.doc_freq.collect())
+    assert index.corpus_stats.collect() == whole.corpus_stats.collect()
+    columns = ["id", "url", "title", "body", "dl"]
+    assert sorted(index.documents.select(columns).collect()) == sorted(
+        whole.documents.select(columns).collect()
+    )
+    queries = requests(spark, "spark sql", "streaming", "pregel")
+    for reranker in (None, pl.cosine_rerank):
+        assert ids(pl.search_many(index, queries, reranker)) == ids(
+            pl.search_many(whole, queries, reranker)
+        )
+
+
+def test_only_latest_mode_extends(spark, tmp_path):
+    pl.write_index(page_log(spark), str(tmp_path), "cumulative")
+    with pytest.raises(ValueError, match="cannot extend"):
+        pl.extend_index(page_log(spark), str(tmp_path))
+
+
+def test_segments_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(indexing, "MAX_SEGMENTS", 2)
+    folder, path = f"{tmp_path}/topic", f"{tmp_path}/index"
+    for row in FIVE[:3]:
+        send(spark, folder, [row])
+    run(spark, folder, path)
+    assert store.segment_count(spark, path) == 1
+    index = pl.open_index(spark, path)
+    assert (index.version, index.documents.count()) == (3, 3)
