@@ -269,6 +269,7 @@ ORACLES: dict[str, str] = {
     "pluggable_reranker": with_(DOCUMENT_PAGES, INDEX, asked(), SCORES, OVERLAP_FINAL, RESULT),
     "upsert_latest": with_(LATEST_PAGES, INDEX, ALL_POSTINGS),
     "upsert_latest_stats": with_(LATEST_PAGES, INDEX, WITH_STATS),
+    "upsert_extended": with_(LATEST_PAGES, INDEX, WITH_STATS),
     "upsert_documents": with_(
         LATEST_PAGES,
         INDEX,

@@ -281,6 +281,13 @@ def upsert_documents(spark: SparkSession, sf: str) -> DataFrame:
     return pl.build_index(page_log(spark, sf)).documents.select(*PAGE_FIELDS, "dl")
 
 
+def upsert_extended(spark: SparkSession, sf: str) -> DataFrame:
+    """An index over what users said, extended by all other turns, earlier or later."""
+    path, log = shared_dir(spark, "extended"), page_log(spark, sf)
+    pl.extend_index(log.filter(F.col("title") == "user"), path)
+    return _with_stats(pl.extend_index(log.filter(F.col("title") != "user"), path))
+
+
 def upsert_cumulative(spark: SparkSession, sf: str) -> DataFrame:
     index = pl.build_index(page_log(spark, sf), mode="cumulative")
     return index.postings.select("id", "term", "tf", "dl")
@@ -371,11 +378,9 @@ def _streamed(spark: SparkSession, sf: str) -> str:
     )
     good.unionByName(bad).repartition(4).write.parquet(source)
     messages = pl.file_messages(spark, source, extra="seq BIGINT", maxFilesPerTrigger="2")
-    query = pl.index_stream(
-        messages, path, f"{path}/checkpoint", order=["seq"], refresh_every=None, available_now=True
-    )
-    query.awaitTermination()
-    pl.refresh_index(spark, path)
+    pl.index_stream(
+        messages, path, f"{path}/checkpoint", order=["seq"], available_now=True
+    ).awaitTermination()
     return path
 
 
@@ -441,6 +446,7 @@ QUERIES: dict[str, Query] = {
         upsert_latest,
         upsert_latest_stats,
         upsert_documents,
+        upsert_extended,
         upsert_cumulative,
         upsert_cumulative_stats,
         upsert_cumulative_search,
