@@ -45,9 +45,8 @@ def main() -> None:
         start = time.perf_counter()
         messages = pl.file_messages(spark, source, maxFilesPerTrigger="4")
         pl.index_stream(
-            messages, path, f"{path}/checkpoint", order=(), refresh_every=None, available_now=True
+            messages, path, f"{path}/checkpoint", order=(), available_now=True
         ).awaitTermination()
-        pl.refresh_index(spark, path)
         return time.perf_counter() - start
 
     index = q.stored_index(spark, sf)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.queries import K, MESSAGE_KINDS, SINGLE_QUERY
+from checks.queries import K, MESSAGE_KINDS, SINGLE_QUERY, WORSE
 
 # Python's str.split() whitespace, spelt for DuckDB.
 WS = (
@@ -137,15 +137,14 @@ BM25_FINAL = "final AS (SELECT *, bm25_rank AS rank FROM pool)"
 COSINE_FINAL = "final AS (SELECT *, pos + 1 AS rank FROM pool JOIN orders USING (qid, id))"
 
 # Points as the ranking defines them: n - i for position i of n, 0 if unlisted.
-EXTERNAL_FINAL = """
+EXTERNAL_FINAL = f"""
 labelled AS (
-    SELECT qid, s.id, toxic, row_number() OVER (
-        PARTITION BY qid ORDER BY quality DESC, s.id) - 1 AS pos
+    SELECT qid, s.id, toxic, (1 - quality) * {WORSE} + doc_id % {WORSE} AS pos
     FROM scored s JOIN labels l ON CAST(l.doc_id AS VARCHAR) = s.id
     WHERE CAST(qid AS INTEGER) % 5 <> 0),
 listed AS (
     SELECT qid, id, pos FROM labelled
-    UNION ALL SELECT qid, id, pos + 1000000 FROM labelled WHERE toxic = 1),
+    UNION ALL SELECT qid, id, pos + {2 * WORSE} FROM labelled WHERE toxic = 1),
 points AS (
     SELECT qid, id, (max(max(pos)) OVER (PARTITION BY qid)) + 1 - max(pos) AS points
     FROM listed GROUP BY qid, id),

@@ -18,6 +18,7 @@ import pagelode as pl
 from pagelode.functions import scoring, text
 from pagelode.operators import index as ix
 from pagelode.operators import rerank, retrieval
+from pagelode.plans.search import rerank_candidates
 from pagelode.schemas import PAGE_FIELDS
 from pagelode.session import shared_dir
 from pagelode.streaming.indexing import read_rejects
@@ -26,6 +27,7 @@ from pagelode.streaming.indexing import read_rejects
 SINGLE_QUERY = "The ouen of that, ELLE les una spark the"
 K = 10
 MESSAGE_KINDS = 16
+WORSE = 1_000_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,7 +78,7 @@ def text_normalize(spark: SparkSession, sf: str) -> DataFrame:
 
 def text_tokens(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", F.posexplode(text.tokens(F.col("text"))).alias("pos", "token"))
+    return _elements(docs, "doc_id", text.tokens(F.col("text")), "token")
 
 
 def indexed_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,8 +94,7 @@ def body_truncate(spark: SparkSession, sf: str) -> DataFrame:
 
 def whitespace_tokens(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    words = text.whitespace_tokens(F.col("text"))
-    return docs.select("doc_id", F.posexplode(words).alias("pos", "word"))
+    return _elements(docs, "doc_id", text.whitespace_tokens(F.col("text")), "word")
 
 
 def pool_bounds(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,9 +142,10 @@ def index_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 def term_idf(spark: SparkSession, sf: str) -> DataFrame:
     """Terms of queries and conversations; many of them are in no document."""
-    asked = requests(spark, sf).select(F.explode(text.tokens(F.col("query"))).alias("term"))
-    told = page_log(spark, sf).select(F.explode(text.tokens(F.col("body"))).alias("term"))
-    stats = pl.term_stats(stored_index(spark, sf), asked.unionByName(told))
+    asked = _elements(requests(spark, sf), "qid", text.tokens(F.col("query")), "term")
+    told = _elements(page_log(spark, sf), "id", text.tokens(F.col("body")), "term")
+    terms = asked.select("term").unionByName(told.select("term"))
+    stats = pl.term_stats(stored_index(spark, sf), terms)
     return stats.withColumn("idf", F.round("idf", 6))
 
 
@@ -184,19 +186,13 @@ def bow_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.withColumn("weight", F.round("weight", 6))
 
 
-def rerank_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    index, queries = stored_index(spark, sf), requests(spark, sf)
-    pool = retrieval.rerank_pool(index, queries)
-    return pool.join(index.documents, "id").join(queries, "qid")
-
-
 def cosine_scores(spark: SparkSession, sf: str) -> DataFrame:
-    scored = rerank.with_cosine(rerank_candidates(spark, sf))
+    scored = rerank.with_cosine(rerank_candidates(stored_index(spark, sf), requests(spark, sf)))
     return scored.select("qid", "id", F.round("cosine", 6).alias("cosine"))
 
 
 def rerank_order(spark: SparkSession, sf: str) -> DataFrame:
-    return pl.cosine_rerank(rerank_candidates(spark, sf))
+    return pl.cosine_rerank(rerank_candidates(stored_index(spark, sf), requests(spark, sf)))
 
 
 # Search
@@ -236,9 +232,9 @@ def external_order(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "labels").select(
         F.col("doc_id").cast("string").alias("id"), "quality", "toxic"
     )
-    by_label = Window.partitionBy("qid").orderBy(F.col("quality").desc(), F.col("id"))
-    listed = matches.join(labels, "id").withColumn("pos", F.row_number().over(by_label) - 1)
-    named_again = listed.filter(F.col("toxic") == 1).withColumn("pos", F.col("pos") + 1_000_000)
+    bad_after_good = (1 - F.col("quality")) * WORSE + F.col("id").cast("long") % WORSE
+    listed = matches.join(labels, "id").withColumn("pos", bad_after_good)
+    named_again = listed.filter(F.col("toxic") == 1).withColumn("pos", F.col("pos") + 2 * WORSE)
     order = listed.unionByName(named_again).select("qid", "id", "pos")
     return _rounded(pl.search_with_order(index, queries, order))
 
@@ -399,6 +395,13 @@ def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return rejects.select(F.col("value").cast("string").alias("value"))
 
 
+def _elements(frame: DataFrame, key: str, array: Column, name: str) -> DataFrame:
+    """(key, pos, element) of an array; the outer form keeps it from being made twice."""
+    return frame.select(key, F.posexplode_outer(array).alias("pos", name)).filter(
+        F.col("pos").isNotNull()
+    )
+
+
 def _with_stats(index: pl.SearchIndex) -> DataFrame:
     stats = index.corpus_stats
     return index.doc_freq.select(

@@ -89,13 +89,17 @@ def search_many(
         shown = told.select("id", "url", "title", "body")
         return _results(shown.join(small(top, size.broadcast_pool), "id"), "rank")
 
-    texts = fetch(index, pool, size.broadcast_pool).join(
-        small(queries.select("qid", "query"), size.broadcast_queries), "qid"
-    )
-    order = reranker(texts.select("qid", "query", "id", "title", "body", "bm25_rank"))
+    order = reranker(_candidates(index, queries, pool, size))
     return _merged(index, pool, order, limits, size, feeding=1)
 
 
+def rerank_candidates(index: SearchIndex, queries: DataFrame) -> DataFrame:
+    """What a reranker gets: (qid, query, id, title, body, bm25_rank), bodies whole."""
+    queries = _answerable(queries)
+    size = measure(queries)
+    return _candidates(index, queries, settle(index, rerank_pool(index, queries, size)), size)
+
+
 def search_with_order(index: SearchIndex, queries: DataFrame, order: DataFrame) -> DataFrame:
     """Answer queries with an order (qid, id, pos) that comes from elsewhere.
 
@@ -151,6 +155,17 @@ def _documents_of(index: SearchIndex, pool: DataFrame, broadcast: bool, how: str
     return functools.reduce(DataFrame.unionByName, found).drop("shard")
 
 
+def _candidates(
+    index: SearchIndex, queries: DataFrame, pool: DataFrame, size: BatchSize
+) -> DataFrame:
+    asked = small(queries.select("qid", "query"), size.broadcast_queries)
+    return (
+        fetch(index, pool, size.broadcast_pool)
+        .join(asked, "qid")
+        .select("qid", "query", "id", "title", "body", "bm25_rank")
+    )
+
+
 def _answerable(queries: DataFrame) -> DataFrame:
     return queries.select("qid", "query", "k").filter(F.col("k") > 0)
 
