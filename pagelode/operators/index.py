@@ -106,6 +106,13 @@ def term_rows(pages: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def distinct_terms(pages: DataFrame) -> DataFrame:
+    """Like the postings of pages for counting documents: no order, no counts."""
+    terms = F.explode_outer(F.array_distinct(page_tokens())).alias("term")
+    rows = pages.select(terms).filter(F.col("term").isNotNull())
+    return rows.withColumn("adds", F.lit(1).cast("bigint"))
+
+
 def page_tokens() -> Column:
     return tokens(indexed_text(F.col("title"), F.col("body")))
 
@@ -155,14 +162,16 @@ def build_index(pages: DataFrame, mode: str = "latest", unique_ids: bool = False
     documents = measured(latest)
     if mode == "cumulative" and not unique_ids:
         postings = cumulative_postings(documents, versions)
+        doc_freq = document_frequency(postings)
         stats = corpus_statistics(documents, postings)
     else:
         postings = latest_postings(documents)
+        doc_freq = document_frequency(distinct_terms(latest))
         stats = corpus_statistics(documents)
     return SearchIndex(
         parts=(Part(documents.drop("version")),),
         postings=postings,
-        doc_freq=document_frequency(postings),
+        doc_freq=doc_freq,
         corpus_stats=stats,
     )
 

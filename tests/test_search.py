@@ -70,7 +70,8 @@ def test_without_a_reranker_scores_fall(spark, five):
 
 @pytest.mark.parametrize("reranker", [None, pl.cosine_rerank, overlap_reranker])
 def test_one_query_is_its_row_of_a_batch(spark, five, reranker):
-    batch = ranked(pl.search_many(five, requests(spark, *FIVE_RESULTS), reranker))
+    queries = requests(spark, "Streaming,", "spark spark sql")
+    batch = ranked(pl.search_many(five, queries, reranker))
     for query, hits in batch.items():
         alone = pl.search(five, query, 10, reranker).orderBy("rank").collect()
         assert [(row.id, row.score) for row in alone] == near(hits)

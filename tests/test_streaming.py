@@ -116,10 +116,7 @@ def test_extensions_equal_one_build(spark, tmp_path, monkeypatch, broadcast):
         whole.documents.select(columns).collect()
     )
     queries = requests(spark, "spark sql", "streaming", "pregel")
-    for reranker in (None, pl.cosine_rerank):
-        assert ids(pl.search_many(index, queries, reranker)) == ids(
-            pl.search_many(whole, queries, reranker)
-        )
+    assert ids(pl.search_many(index, queries)) == ids(pl.search_many(whole, queries))
 
 
 def test_only_latest_mode_extends(spark, tmp_path):

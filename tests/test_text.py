@@ -60,7 +60,7 @@ def test_truncate_stops_at_a_character(spark):
 
 
 @settings(
-    max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+    max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
 @given(st.lists(st.text(alphabet="aBc é,\n1　€", max_size=40), min_size=1, max_size=20))
 def test_text_functions_match_plain_python(spark, texts):
