@@ -7,6 +7,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from checks.compare import rows, same
+from checks.oracles import ORACLES
+from checks.queries import QUERIES
 
 SF = Path("/root/testdata/sf0.001")
 
@@ -22,10 +24,12 @@ def db():
 
 
 def test_each_query_has_its_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.keys() <= queries().keys()
+    assert oracle_sql().keys() <= queries().keys()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, db, name):
     found, wanted = queries()[name](spark, str(SF)), db.sql(oracle_sql()[name])
     assert sorted(found.columns) == sorted(wanted.columns)
