@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelode.llm import secrets
+from pagelode.llm.language import identify, train
+from pagelode.llm.leaks import with_items
 from pagelode.llm.mixing import mix
 from pagelode.llm.simhash import hex_digits, simhash_groups
 
@@ -47,3 +50,65 @@ def op4_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select(
         F.col("id").alias("doc_id"), "size", "source", "source_size", "target", "taken"
     )
+
+
+@query
+def op8_benchmark_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it contains."""
+    found = with_items(
+        table(spark, sf, "documents").select("doc_id", "text"),
+        F.col("text"),
+        table(spark, sf, "benchmark"),
+        shingle_words=5,
+        containment=0.8,
+    )
+    return found.select("doc_id", F.explode("items").alias("item")).select(
+        "doc_id",
+        "item.item_id",
+        "item.shared",
+        "item.item_shingles",
+        (F.col("item.shared") / F.col("item.item_shingles")).alias("containment"),
+    )
+
+
+def held_out(doc_id: Column) -> Column:
+    """Whether a document is in the quarter that nothing is learned from."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+
+
+@query
+def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    docs = table(spark, sf, "documents")
+    model = train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    return identify(docs.select("doc_id", "text"), F.col("text"), model).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("language.lang").alias("lang_pred"),
+        "language.score",
+        "language.rejected",
+    )
+
+
+def learned_secrets(docs: DataFrame) -> secrets.MarkovModel:
+    return secrets.train(secrets.labelled_samples(docs, F.col("text"), F.col("doc_id")))
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The secrets of every document, by fixed patterns and by Markov models."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = secrets.with_secrets(docs, F.col("text"), learned_secrets(docs)).select(
+        "doc_id", "secrets", secrets.base_only(F.col("secrets")).alias("base")
+    )
+    kinds = F.transform("base", lambda span: span["kind"])
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}")
+        for kind in secrets.KINDS
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"),
+        secrets.written(F.col("secrets")).alias("spans"),
+    )
