@@ -40,3 +40,97 @@ SELECT doc_id, size, source, source_size, target,
        (whole * size + greatest(0, least(size, part - before)))::BIGINT AS taken
 FROM placed
 """
+
+ORACLES["op2_chat_windows"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS n,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS tokens
+  FROM turns
+), marked AS (
+  SELECT *, n = 1 AND role = 'system' AS is_system,
+         coalesce(max(CASE WHEN n = 1 AND role = 'system' THEN tokens END)
+                    OVER (PARTITION BY conv_id), 0) AS system_tokens
+  FROM numbered
+), summed AS (
+  SELECT *, greatest(384 - system_tokens, 128) // 2 AS block,
+         CASE WHEN is_system THEN 0 ELSE tokens END AS own,
+         sum(CASE WHEN is_system THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY n) AS "end"
+  FROM marked
+), placed AS (
+  SELECT *, "end" - own AS start,
+         CASE WHEN NOT is_system THEN
+           ceil("end" / block)::BIGINT || CASE WHEN tokens > block THEN '!' ELSE '' END END AS place
+  FROM summed
+), opened AS (
+  SELECT *, CASE WHEN place IS NOT NULL
+                  AND place IS DISTINCT FROM lag(place) OVER (PARTITION BY conv_id ORDER BY n)
+                 THEN 1 ELSE 0 END AS opens
+  FROM placed
+), spanned AS (
+  SELECT *, greatest(1, sum(opens) OVER (PARTITION BY conv_id ORDER BY n)) AS span FROM opened
+), spans AS (
+  SELECT conv_id, span, min(n) AS n, min(start) AS start FROM spanned GROUP BY conv_id, span
+), uses AS (
+  SELECT conv_id, n, role, text, tokens, span AS "window" FROM spanned
+  UNION ALL
+  SELECT t.conv_id, t.n, role, text, tokens, s.span
+  FROM spanned t JOIN spans s ON t.conv_id = s.conv_id AND s.span > t.span
+  WHERE is_system OR (s.n - t.n <= 2 AND s.start - t.start <= 128)
+), rendered AS (
+  SELECT conv_id, "window", sum(tokens) AS tokens,
+         sum(length('<s>' || regexp_replace(replace(role, '\', '\\'),
+               '([<\[])(/?s>|/?INST\])', '\1\\\2', 'g') || '[INST]'
+             || regexp_replace(replace(text, '\', '\\'),
+               '([<\[])(/?s>|/?INST\])', '\1\\\2', 'g') || '[/INST]</s>')) AS chars
+  FROM uses GROUP BY conv_id, "window"
+), sizes AS (
+  SELECT conv_id, sum(chars)::BIGINT AS formatted_chars, count(*) AS n_windows,
+         max(tokens)::BIGINT AS most_tokens
+  FROM rendered GROUP BY conv_id
+), digests AS (
+  SELECT conv_id, count(*) AS n_turns,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+         coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+         sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), ''))
+           AS loss_sha256
+  FROM numbered GROUP BY conv_id
+)
+SELECT d.*, formatted_chars, n_windows, most_tokens
+FROM digests d JOIN sizes s ON d.conv_id IS NOT DISTINCT FROM s.conv_id
+"""
+
+ORACLES["op8_benchmark_leaks"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), items AS (
+  SELECT DISTINCT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), item_grams AS (
+  SELECT DISTINCT item_id, words, least(5, len(words)) AS size,
+         array_to_string(words[i : i + least(5, len(words)) - 1], ' ') AS gram
+  FROM items, unnest(range(1, greatest(1, len(words) - least(5, len(words)) + 2))) AS t(i)
+  WHERE len(words) > 0
+), sizes AS (SELECT DISTINCT size FROM item_grams),
+doc_grams AS (
+  SELECT DISTINCT row, doc_id, size, array_to_string(words[i : i + size - 1], ' ') AS gram
+  FROM docs, sizes, unnest(range(1, greatest(1, len(words) - size + 2))) AS t(i)
+  WHERE len(words) >= size
+), counted AS (
+  SELECT item_id, words, size, count(*) AS item_shingles FROM item_grams GROUP BY ALL
+)
+SELECT doc_id, c.item_id, count(*)::BIGINT AS shared, item_shingles::BIGINT AS item_shingles,
+       count(*)::DOUBLE / item_shingles AS containment
+FROM doc_grams d JOIN item_grams g ON d.size = g.size AND d.gram = g.gram
+  JOIN counted c ON c.item_id IS NOT DISTINCT FROM g.item_id AND c.words = g.words
+GROUP BY row, doc_id, c.item_id, c.words, item_shingles
+HAVING count(*) >= 0.8 * item_shingles - 1e-9
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import secrets
+from pagelode.llm import chat, secrets
 from pagelode.llm.language import identify, train
 from pagelode.llm.leaks import with_items
 from pagelode.llm.mixing import mix
@@ -112,3 +112,49 @@ def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"),
         secrets.written(F.col("secrets")).alias("spans"),
     )
+
+
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query
+def op2_chat_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Each conversation, and one of control strings, read back from its formatted windows."""
+    columns = ["conv_id", "turn", "role", "text"]
+    turns = table(spark, sf, "conversations").select(columns)
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
+        F.lit(CONTROL_TEXT).alias("text"),
+    )
+    windows = chat.chat_windows(turns.unionByName(extra))
+    turn = F.slice("turns", F.col("repeated") + 1, F.greatest(F.size("turns"), F.lit(1)))
+    read = windows.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("turns", turn)
+    masked = F.array_join(chat.masked_texts(F.col("formatted"), F.col("mask")), "")
+    part = F.struct(
+        "window",
+        chat.written_turns(F.col("turns")).alias("turns"),
+        masked.alias("loss"),
+    )
+    whole = read.groupBy("conv_id").agg(
+        F.sum(F.size("turns")).cast("long").alias("n_turns"),
+        F.array_sort(F.collect_list(part)).alias("parts"),
+        F.sum(F.length("formatted")).cast("long").alias("formatted_chars"),
+        F.count("*").alias("n_windows"),
+        F.max("tokens").alias("most_tokens"),
+    )
+    texts = {
+        name: F.array_join(F.transform("parts", lambda p: p[name]), "")  # noqa: B023
+        for name in ("turns", "loss")
+    }
+    return whole.select(
+        "conv_id",
+        "n_turns",
+        F.sha2(texts["turns"], 256).alias("turns_sha256"),
+        F.length(texts["loss"]).cast("long").alias("loss_chars"),
+        F.sha2(texts["loss"], 256).alias("loss_sha256"),
+        "formatted_chars",
+        "n_windows",
+        "most_tokens",
+    )
