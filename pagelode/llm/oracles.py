@@ -134,3 +134,22 @@ FROM doc_grams d JOIN item_grams g ON d.size = g.size AND d.gram = g.gram
 GROUP BY row, doc_id, c.item_id, c.words, item_shingles
 HAVING count(*) >= 0.8 * item_shingles - 1e-9
 """
+
+ORACLES["op5_vector_top_k"] = r"""
+WITH vectors AS (
+  SELECT vec_id, min([floor(64.0 * x::DOUBLE) FOR x IN embedding]) AS vector
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+  GROUP BY vec_id
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.vector, v.vector)::BIGINT AS score
+  FROM vectors q JOIN vectors v ON v.vec_id <> q.vec_id AND len(v.vector) = len(q.vector)
+  WHERE q.vec_id % 20 = 0
+)
+SELECT query_id,
+       (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+       vec_id, score
+FROM scored
+QUALIFY rank <= 20
+"""

@@ -12,6 +12,7 @@ from pagelode.llm.language import identify, train
 from pagelode.llm.leaks import with_items
 from pagelode.llm.mixing import mix
 from pagelode.llm.simhash import hex_digits, simhash_groups
+from pagelode.llm.vectors import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -158,3 +159,9 @@ def op2_chat_windows(spark: SparkSession, sf: str) -> DataFrame:
         "n_windows",
         "most_tokens",
     )
+
+
+@query
+def op5_vector_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 highest inner products of every twentieth vector with all others."""
+    return top_k(table(spark, sf, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20, scale=64.0)
