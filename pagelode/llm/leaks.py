@@ -35,12 +35,12 @@ class Hasher:
         self.known: dict[bytes, int] = {}
 
     def words(self, words: list[bytes]) -> np.ndarray:
-        known, missing = self.known, set(words) - self.known.keys()
-        if len(known) + len(missing) > CACHED_WORDS:
+        known, own = self.known, set(words)
+        if len(known) + len(own) > CACHED_WORDS:
             known.clear()
-            missing = set(words)
-        for word in missing:
-            known[word] = xxhash.xxh64_intdigest(word)
+        for word in own:
+            if word not in known:
+                known[word] = xxhash.xxh64_intdigest(word)
         return np.fromiter((known[word] for word in words), dtype=np.uint64, count=len(words))
 
     @staticmethod
