@@ -1,5 +1,7 @@
 """DuckDB SQL of the training-data queries, where SQL can express them."""
 
+from pagelode.llm.licenses import NOTICES, PHRASES, template_grams
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op4_mix_sources"] = r"""
@@ -153,3 +155,52 @@ SELECT query_id,
 FROM scored
 QUALIFY rank <= 20
 """
+
+GRAMS = ",\n    ".join(
+    f"({template}, '{label}', {exact}, {grams}, {pos}, '{gram}')"
+    for template, label, exact, grams, pos, gram in template_grams(PHRASES, NOTICES)
+)
+
+ORACLES["op6_license_scan"] = rf"""
+WITH templates(template, label, exact, grams, pos, gram) AS (VALUES
+    {GRAMS}
+), docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), doc_grams AS (
+  SELECT row, i - 1 AS place, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+  FROM docs, unnest(range(1, greatest(1, len(words) - 1))) AS t(i)
+), votes AS (
+  SELECT row, template, label, exact, grams, place - pos AS diagonal,
+         count(*) AS votes, min(place) AS start, max(place) + 3 AS "end"
+  FROM doc_grams JOIN templates USING (gram) GROUP BY ALL
+), opened AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= 3 THEN 0 ELSE 1 END AS opens
+  FROM votes WHERE NOT exact WINDOW w AS (PARTITION BY row, template ORDER BY diagonal)
+), numbered AS (
+  SELECT *, sum(opens) OVER (PARTITION BY row, template ORDER BY diagonal) AS alignment FROM opened
+), aligned AS (
+  SELECT row, label, grams, min(start) AS start, max("end") AS "end",
+         least(1.0, sum(votes)::DOUBLE / grams) AS coverage
+  FROM numbered GROUP BY row, template, label, grams, alignment
+), found AS (
+  SELECT row, label, diagonal AS start, 1.0::DOUBLE AS coverage, true AS exact
+  FROM votes WHERE exact AND votes = grams
+  UNION ALL
+  SELECT row, label, start, coverage, false FROM aligned
+  WHERE coverage >= 0.6 AND 2 * ("end" - start) <= 3 * (grams + 2)
+), gathered AS (
+  SELECT row, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word,
+         max(start) FILTER (exact) AS last_word,
+         coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact), '') AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score
+  FROM found GROUP BY row
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
+       first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0.0)::DOUBLE AS score
+FROM docs LEFT JOIN gathered USING (row)
+"""

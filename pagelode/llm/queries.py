@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagelode.llm import chat, secrets
 from pagelode.llm.language import identify, train
 from pagelode.llm.leaks import with_items
+from pagelode.llm.licenses import scan_licenses
 from pagelode.llm.mixing import mix
 from pagelode.llm.simhash import hex_digits, simhash_groups
 from pagelode.llm.vectors import top_k
@@ -165,3 +166,10 @@ def op2_chat_windows(spark: SparkSession, sf: str) -> DataFrame:
 def op5_vector_top_k(spark: SparkSession, sf: str) -> DataFrame:
     """The 20 highest inner products of every twentieth vector with all others."""
     return top_k(table(spark, sf, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20, scale=64.0)
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The license phrases and notices of every document."""
+    found = scan_licenses(table(spark, sf, "documents"))
+    return found.withColumnRenamed("id", "doc_id").drop("spans")
