@@ -1,6 +1,7 @@
 """DuckDB SQL of the training-data queries, where SQL can express them."""
 
 from pagelode.llm.licenses import NOTICES, PHRASES, template_grams
+from pagelode.llm.warc import BREAKS, ENTITIES, TAG, UNSEEN
 
 ORACLES: dict[str, str] = {}
 
@@ -204,3 +205,58 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_b
        coalesce(score, 0.0)::DOUBLE AS score
 FROM docs LEFT JOIN gathered USING (row)
 """
+
+
+def decoded(text: str) -> str:
+    for name, character in ENTITIES:
+        text = f"replace({text}, '&{name};', '{character.replace(chr(39), chr(39) * 2)}')"
+    return text
+
+
+def squeezed(text: str) -> str:
+    blanks = rf"regexp_replace({text}, '[ \t\r\f\x0B\x{{00A0}}]+', ' ', 'g')"
+    return rf"trim(regexp_replace({blanks}, ' ?\n[ \n]*', chr(10), 'g'), chr(10) || ' ')"
+
+
+def urn(content: str) -> str:
+    return (
+        rf"regexp_replace(md5({content}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', "
+        r"'<urn:uuid:\1-\2-\3-\4-\5>')"
+    )
+
+
+NL, CRLF = "chr(10)", "chr(13) || chr(10)"
+SHOWN = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '{UNSEEN}', ' ', 'g'),
+       '\s+', ' ', 'g'), '{BREAKS}', chr(10), 'g'), '{TAG}', '', 'g')"""
+TITLE = r"regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '\s+', ' ', 'g')"
+
+ORACLES["op7_warc_derivatives"] = rf"""
+WITH sources AS (
+  SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS html,
+         {urn(f"concat_ws({NL}, 'response', page_id, coalesce(url, ''), coalesce(html, ''))")}
+           AS refers_to
+  FROM pages
+), fields AS (
+  SELECT *, 'Content-Length: ' || strlen(html) AS length_header,
+         [ 'outlink: ' || regexp_replace(link, '\s+', ' ', 'g') || {CRLF}
+           FOR link IN regexp_extract_all(html, '(?is)<a\b[^>]*\bhref="([^"]*)"', 1)] AS links
+  FROM sources
+), made AS (
+  SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
+         'status: 200' || {CRLF}
+         || 'source-header: Content-Type: text/html; charset=utf-8' || {CRLF}
+         || 'source-header: ' || length_header || {CRLF}
+         || 'title: ' || {squeezed(decoded(TITLE))} || {CRLF}
+         || 'language: ' || regexp_extract(html, '(?is)<html[^>]*\blang="([^"]*)"', 1) || {CRLF}
+         || array_to_string(links, '') AS block
+  FROM fields
+  UNION ALL
+  SELECT *, 'conversion', 'text/plain; charset=utf-8', {squeezed(decoded(SHOWN))} FROM fields
+)
+SELECT page_id, record_type, {urn(f"concat_ws({NL}, record_type, refers_to, block)")} AS record_id,
+       refers_to, target_uri, '2000-01-01T00:00:00Z' AS refers_to_date, content_type,
+       'sha256:' || sha256(html) AS payload_digest, true AS digest_matches,
+       'sha256:' || sha256(block) AS block_digest, strlen(block)::BIGINT AS content_length,
+       'Content-Type: text/html; charset=utf-8' || chr(10) || length_header AS source_headers, block
+FROM made
+"""

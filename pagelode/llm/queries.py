@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import chat, secrets
+from pagelode.llm import chat, secrets, warc
 from pagelode.llm.language import identify, train
 from pagelode.llm.leaks import with_items
 from pagelode.llm.licenses import scan_licenses
@@ -173,3 +173,12 @@ def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The license phrases and notices of every document."""
     found = scan_licenses(table(spark, sf, "documents"))
     return found.withColumnRenamed("id", "doc_id").drop("spans")
+
+
+@query
+def op7_warc_derivatives(spark: SparkSession, sf: str) -> DataFrame:
+    """The metadata and conversion records of the responses of all pages."""
+    records = warc.derive(warc.page_responses(table(spark, sf, "pages")))
+    return records.withColumnRenamed("key", "page_id").withColumn(
+        "source_headers", F.array_join("source_headers", "\n")
+    )
