@@ -12,6 +12,7 @@ from pagelode.llm.language import identify, train
 from pagelode.llm.leaks import with_items
 from pagelode.llm.licenses import scan_licenses
 from pagelode.llm.mixing import mix
+from pagelode.llm.quality import score_quality
 from pagelode.llm.simhash import hex_digits, simhash_groups
 from pagelode.llm.vectors import top_k
 
@@ -182,3 +183,10 @@ def op7_warc_derivatives(spark: SparkSession, sf: str) -> DataFrame:
     return records.withColumnRenamed("key", "page_id").withColumn(
         "source_headers", F.array_join("source_headers", "\n")
     )
+
+
+@query
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """The quality score of every document, from the labels of some."""
+    scored = score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return scored.withColumnRenamed("id", "doc_id")
