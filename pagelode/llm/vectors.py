@@ -186,6 +186,7 @@ def _search(members: DataFrame, asking: DataFrame, k: int) -> DataFrame:
         return pd.DataFrame(found, columns=["query_id", "place", "vec_id", "score"])
 
     keys = ["size", "shard", "block"]
+    asking = asking.toDF(*asking.columns)  # columns of its own, as both come from one table
     return (
         members.groupBy(*keys)
         .cogroup(asking.groupBy(*keys))
