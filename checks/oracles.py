@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.queries import K, MESSAGE_KINDS, SINGLE_QUERY, WORSE
+from checks.queries import K, MESSAGE_KINDS, OTHER_B, OTHER_K1, SINGLE_QUERY, WORSE
 
 # Python's str.split() whitespace, spelt for DuckDB.
 WS = (
@@ -166,6 +166,45 @@ final AS (
     FROM pool JOIN shared USING (qid, id))
 """
 
+OTHER_SCORES = (
+    SCORES.replace("2.2e0", f"({OTHER_K1 + 1}e0)")
+    .replace("1.2e0", f"{OTHER_K1}e0")
+    .replace("0.25e0 + 0.75e0", f"{1 - OTHER_B}e0 + {OTHER_B}e0")
+)
+FALLBACK_FINAL = """
+listed AS (
+    SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY CAST(id AS BIGINT) DESC) AS pos
+    FROM pool WHERE CAST(qid AS BIGINT) % 3 <> 0 AND CAST(id AS BIGINT) % 2 = 0),
+final AS (
+    SELECT pool.*, row_number() OVER (
+        PARTITION BY pool.qid ORDER BY pos NULLS LAST, pool.bm25_rank) AS rank
+    FROM pool LEFT JOIN listed USING (qid, id))
+"""
+BEYOND_FINAL = """
+final AS (
+    SELECT s.qid, k, s.id, url, title, body, score,
+           row_number() OVER (PARTITION BY s.qid ORDER BY
+               CASE WHEN CAST(s.id AS BIGINT) % 7 = 0 THEN CAST(s.id AS BIGINT) END NULLS LAST,
+               round(score, 9) DESC, s.id) AS rank
+    FROM scored s JOIN asked USING (qid) JOIN page USING (id))
+"""
+# Documents whose bodies were all replaced.
+REPLACED_PAGES = """
+page AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS id, source AS url, '' AS title,
+         reverse(source) || ' ' || text[1:40] AS body FROM documents),
+event AS (SELECT * FROM page)
+"""
+# Documents, and conversations under ids of their own.
+BOTH_PAGES = """
+page AS MATERIALIZED (
+    SELECT CAST(doc_id AS VARCHAR) AS id, source AS url, '' AS title, text AS body FROM documents
+    UNION ALL
+    SELECT * FROM (SELECT 'c' || conv_id AS id, '' AS url, role AS title, text AS body
+                   FROM conversations
+                   QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1)),
+event AS (SELECT * FROM page)
+"""
+
 
 def with_(*parts: str) -> str:
     *tables, select = parts
@@ -263,7 +302,11 @@ ORACLES: dict[str, str] = {
     "search_unstored": with_(
         LATEST_PAGES, INDEX, asked(), SCORES, COSINES, COSINE_FINAL, RESULT
     ),
-    "search_fallback": with_(DOCUMENT_PAGES, INDEX, asked(), SCORES, BM25_FINAL, RESULT),
+    "search_fallback": with_(DOCUMENT_PAGES, INDEX, asked(), SCORES, FALLBACK_FINAL, RESULT),
+    "search_other_parameters": with_(
+        DOCUMENT_PAGES, INDEX, asked(), OTHER_SCORES, COSINES, COSINE_FINAL, RESULT
+    ),
+    "reranker_beyond_pool": with_(DOCUMENT_PAGES, INDEX, asked(), SCORES, BEYOND_FINAL, RESULT),
     "external_order": with_(DOCUMENT_PAGES, INDEX, asked(), SCORES, EXTERNAL_FINAL, RESULT),
     "pluggable_reranker": with_(DOCUMENT_PAGES, INDEX, asked(), SCORES, OVERLAP_FINAL, RESULT),
     "upsert_latest": with_(LATEST_PAGES, INDEX, ALL_POSTINGS),
@@ -275,6 +318,17 @@ ORACLES: dict[str, str] = {
         """SELECT id, url, title, body, CAST(len(ts) AS BIGINT) AS dl
         FROM page JOIN tokenised USING (id)""",
     ),
+    "extend_unordered": with_(
+        REPLACED_PAGES,
+        INDEX,
+        "SELECT id, url, title, body, CAST(len(ts) AS BIGINT) AS dl"
+        " FROM page JOIN tokenised USING (id)",
+    ),
+    "extend_cumulative": with_(CUMULATIVE_PAGES, INDEX, WITH_STATS),
+    "extend_cumulative_postings": with_(CUMULATIVE_PAGES, INDEX, ALL_POSTINGS),
+    "publish_read_back": f"SELECT {WEB_PAGES}, '' AS title, html AS body FROM pages",
+    "stream_onto_index": with_(BOTH_PAGES, INDEX, WITH_STATS),
+    "stream_cumulative": with_(CUMULATIVE_PAGES, INDEX, WITH_STATS),
     "upsert_cumulative": with_(CUMULATIVE_PAGES, INDEX, ALL_POSTINGS),
     "upsert_cumulative_stats": with_(CUMULATIVE_PAGES, INDEX, WITH_STATS),
     "upsert_cumulative_search": with_(

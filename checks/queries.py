@@ -19,15 +19,17 @@ from pagelode.functions import scoring, text
 from pagelode.operators import index as ix
 from pagelode.operators import rerank, retrieval
 from pagelode.plans.search import rerank_candidates
-from pagelode.schemas import PAGE_FIELDS
-from pagelode.session import shared_dir
+from pagelode.schemas import PAGE, PAGE_FIELDS
+from pagelode.session import session_conf, shared_dir
 from pagelode.streaming.indexing import read_rejects
 
 # Parameters that the SQL checks use as well.
 SINGLE_QUERY = "The ouen of that, ELLE les una spark the"
 K = 10
-MESSAGE_KINDS = 16
+OTHER_K1, OTHER_B = 2.0, 0.3
+MESSAGE_KINDS = 21
 WORSE = 1_000_000
+STREAM_REFRESH = 3
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -217,8 +219,40 @@ def search_unstored(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(found)
 
 
+def some_answers(candidates: DataFrame) -> DataFrame:
+    """A reranker that fails for every third query, and orders only every other document of
+    the rest, by id."""
+    order = Window.partitionBy("qid").orderBy(F.col("id").cast("long").desc())
+    answered = candidates.filter(
+        (F.col("qid").cast("long") % 3 != 0) & (F.col("id").cast("long") % 2 == 0)
+    )
+    return answered.select("qid", "id", (F.row_number().over(order) - 1).alias("pos"))
+
+
 def search_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(pl.search_many(stored_index(spark, sf), requests(spark, sf), None))
+    """BM25 order where the reranker says nothing, for a whole query or for a document."""
+    found = pl.search_many(stored_index(spark, sf), requests(spark, sf), some_answers)
+    return _rounded(found)
+
+
+def search_other_parameters(spark: SparkSession, sf: str) -> DataFrame:
+    found = pl.search_many(stored_index(spark, sf), requests(spark, sf), k1=OTHER_K1, b=OTHER_B)
+    return _rounded(found)
+
+
+def reranker_beyond_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """A reranker that also names the smallest matching ids, in the pool or not."""
+    index, queries = stored_index(spark, sf), requests(spark, sf)
+    known = retrieval.candidates(index, queries).filter(F.col("id").cast("long") % 7 == 0)
+
+    def reranker(candidates: DataFrame) -> DataFrame:
+        pos = F.col("id").cast("long")
+        pool = candidates.select("qid", "id", (WORSE + F.col("bm25_rank")).alias("pos"))
+        return known.select("qid", "id", pos.alias("pos")).unionByName(
+            pool.join(known, ["qid", "id"], "left_anti")
+        )
+
+    return _rounded(pl.search_many(index, queries, reranker))
 
 
 def external_order(spark: SparkSession, sf: str) -> DataFrame:
@@ -284,6 +318,30 @@ def upsert_extended(spark: SparkSession, sf: str) -> DataFrame:
     return _with_stats(pl.extend_index(log.filter(F.col("title") != "user"), path))
 
 
+def extend_unordered(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, then the same ids without an order: every body is the new one."""
+    path, docs = shared_dir(spark, "unordered"), documents(spark, sf)
+    pl.extend_index(docs, path)
+    again = docs.withColumn("body", F.concat(F.reverse("url"), F.lit(" "), F.substring("body", 1, 40)))
+    return pl.extend_index(again, path).documents.select(*PAGE_FIELDS, "dl")
+
+
+def extend_cumulative(spark: SparkSession, sf: str) -> DataFrame:
+    """The page log in mode cumulative in three calls, the newest turns not last."""
+    path, log = shared_dir(spark, "cumulative"), page_log(spark, sf)
+    for part in (1, 2, 0):
+        index = pl.extend_index(log.filter(F.col("seq") % 3 == part), path, "cumulative")
+    return _with_stats(index)
+
+
+def extend_cumulative_postings(spark: SparkSession, sf: str) -> DataFrame:
+    path, log = shared_dir(spark, "cumulative"), page_log(spark, sf)
+    for user in (True, False):
+        part = log.filter((F.col("title") == "user") == user)
+        index = pl.extend_index(part, path, "cumulative")
+    return index.postings.select("id", "term", "tf", "dl")
+
+
 def upsert_cumulative(spark: SparkSession, sf: str) -> DataFrame:
     index = pl.build_index(page_log(spark, sf), mode="cumulative")
     return index.postings.select("id", "term", "tf", "dl")
@@ -322,7 +380,7 @@ def message_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mixed_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document as a message, good or malformed in one of 16 ways by its id."""
+    """Every document as a message, good or malformed in one of 21 ways by its id."""
     docs = documents(spark, sf).withColumn("doc_id", F.col("id").cast("long"))
 
     def obj(**fields) -> Column:
@@ -347,6 +405,11 @@ def mixed_messages(spark: SparkSession, sf: str) -> DataFrame:
         F.to_json(F.array(body)),
         F.concat(F.lit('"'), page_id, F.lit('"')),
         F.concat(whole, F.lit(" junk")),
+        F.concat(whole, whole),
+        F.concat(whole, F.lit(","), whole),
+        F.concat(whole, F.lit(" ] {}")),
+        F.concat(whole, F.lit(" junk}")),
+        F.concat(whole, F.lit("\u0085")),
     ]
     value = F.coalesce(*[F.when(_kind() == number, value) for number, value in enumerate(values)])
     return docs.select(
@@ -380,6 +443,48 @@ def _streamed(spark: SparkSession, sf: str) -> str:
     return path
 
 
+def _log_files(spark: SparkSession, sf: str, prefix: str, files: int) -> str:
+    source = shared_dir(spark, "messages")
+    log = page_log(spark, sf).withColumn("id", F.concat(F.lit(prefix), "id"))
+    pl.encode_messages(log, "seq").repartition(files).write.parquet(source)
+    return source
+
+
+def stream_onto_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents by `write_index`, then conversations streamed in more batches than segments
+    may be; the last of them don't fill a refresh."""
+    path = shared_dir(spark, "onto")
+    pl.write_index(documents(spark, sf), path)
+    source = _log_files(spark, sf, "c", 20)
+    messages = pl.file_messages(spark, source, extra="seq BIGINT", maxFilesPerTrigger="1")
+    with session_conf(spark, spark__sql__shuffle__partitions="2"):
+        pl.index_stream(
+            messages, path, f"{path}/checkpoint", ["seq"], refresh_every=STREAM_REFRESH, available_now=True
+        ).awaitTermination()
+    return _with_stats(pl.open_index(spark, path))
+
+
+def stream_cumulative(spark: SparkSession, sf: str) -> DataFrame:
+    path, source = shared_dir(spark, "stream"), _log_files(spark, sf, "", 3)
+    messages = pl.file_messages(spark, source, extra="seq BIGINT", maxFilesPerTrigger="1")
+    pl.index_stream(
+        messages, path, f"{path}/checkpoint", ["seq"], mode="cumulative", available_now=True
+    ).awaitTermination()
+    return _with_stats(pl.open_index(spark, path))
+
+
+def publish_read_back(spark: SparkSession, sf: str) -> DataFrame:
+    """Web pages published to files, and read back as a stream of messages."""
+    topic, out = shared_dir(spark, "topic"), shared_dir(spark, "pages")
+    pages = pl.as_pages(table(spark, sf, "pages"), "page_id", url="url", body="html")
+    pl.publish(pages, "parquet", topic)
+    stream = pl.decode_messages(pl.file_messages(spark, topic))
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(
+        availableNow=True
+    ).start(out).awaitTermination()
+    return spark.read.schema(PAGE).parquet(out)
+
+
 def stream_index(spark: SparkSession, sf: str) -> DataFrame:
     index = pl.open_index(spark, _streamed(spark, sf))
     return index.postings.select("id", "term", "tf", "dl")
@@ -444,18 +549,26 @@ QUERIES: dict[str, Query] = {
         search_single,
         search_unstored,
         search_fallback,
+        search_other_parameters,
+        reranker_beyond_pool,
         external_order,
         pluggable_reranker,
         upsert_latest,
         upsert_latest_stats,
         upsert_documents,
         upsert_extended,
+        extend_unordered,
+        extend_cumulative,
+        extend_cumulative_postings,
         upsert_cumulative,
         upsert_cumulative_stats,
         upsert_cumulative_search,
         encode_decode_roundtrip,
         message_keys,
         decode_bad_rows,
+        publish_read_back,
+        stream_onto_index,
+        stream_cumulative,
         stream_index,
         stream_search,
         stream_rejects,

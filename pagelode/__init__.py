@@ -7,7 +7,7 @@ candidates are reordered by a pluggable reranker, and the top k are returned.
 
 from pagelode.operators.index import SearchIndex, build_index, term_stats
 from pagelode.operators.rerank import cosine_rerank
-from pagelode.operators.store import extend_index, open_index, write_index
+from pagelode.operators.store import expire_versions, extend_index, open_index, write_index
 from pagelode.plans.search import search, search_many, search_with_order
 from pagelode.sources.messages import (
     decode_messages,
@@ -27,6 +27,7 @@ __all__ = [
     "cosine_rerank",
     "decode_messages",
     "encode_messages",
+    "expire_versions",
     "extend_index",
     "file_messages",
     "index_stream",

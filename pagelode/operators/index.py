@@ -27,6 +27,7 @@ from pagelode.schemas import PAGE_FIELDS
 from pagelode.session import has_at_most
 
 MODES = ("latest", "cumulative")
+TERMS_TYPE = "array<struct<term:string,tf:bigint,adds:bigint,added_tf:bigint>>"
 
 # Most terms to put into a filter as literals.
 LITERAL_TERMS = 1000
@@ -92,6 +93,65 @@ def shard_of(id: str | Column, num_shards: int) -> Column:
 # Building
 
 
+def analysed(versions: DataFrame, mode: str = "latest", unique_ids: bool = False) -> DataFrame:
+    """The current pages with `dl` and `terms`, from which all other tables follow.
+
+    `terms` is an array of (term, tf, adds, added_tf): how often the current version has
+    the term, how many versions have it, and how often they have it together. So a text
+    is split into terms once, and what a page adds to the statistics can be taken back
+    by reading its row.
+    """
+    latest = versions if unique_ids else latest_pages(versions)
+    if mode == "latest" or unique_ids:
+        counts = latest.withColumn("_counts", value_counts(page_tokens()))
+        once = F.transform(
+            "_counts",
+            lambda c: F.struct(
+                c["term"].alias("term"),
+                c["tf"].alias("tf"),
+                F.lit(1).cast("bigint").alias("adds"),
+                c["tf"].alias("added_tf"),
+            ),
+        )
+        return with_length(latest.columns, counts.withColumn("terms", once))
+    history = (
+        term_rows(versions, "id", "version")
+        .groupBy("id", "term")
+        .agg(
+            F.max(F.struct("version", "tf")).alias("last"),
+            F.count(F.lit(1)).alias("adds"),
+            F.sum("tf").alias("added_tf"),
+        )
+    )
+    current = latest.select("id", F.col("version").alias("current"))
+    tf = F.when(F.col("last.version") == F.col("current"), F.col("last.tf")).otherwise(F.lit(0))
+    rows = history.join(current, "id").select(
+        "id", "term", tf.cast("bigint").alias("tf"), "adds", "added_tf"
+    )
+    return with_length(latest.columns, latest.join(gathered_terms(rows), "id", "left"))
+
+
+def gathered_terms(rows: DataFrame) -> DataFrame:
+    """(id, terms) from one row for each term of a page."""
+    return rows.groupBy("id").agg(
+        F.collect_list(F.struct("term", "tf", "adds", "added_tf")).alias("terms")
+    )
+
+
+def with_length(columns: Sequence[str], pages: DataFrame) -> DataFrame:
+    """The named columns, `dl` from the terms, and the terms, none of them being null."""
+    terms = F.coalesce("terms", F.array().cast(TERMS_TYPE))
+    length = F.aggregate(terms, F.lit(0).cast("bigint"), lambda total, t: total + t["tf"])
+    return pages.select(*columns, length.alias("dl"), terms.alias("terms"))
+
+
+def term_postings(documents: DataFrame) -> DataFrame:
+    """Postings from the terms of documents."""
+    return documents.select("id", "dl", F.inline("terms")).select(
+        "id", "term", "tf", "dl", "adds", "added_tf"
+    )
+
+
 def measured(pages: DataFrame) -> DataFrame:
     """Add the length of each page in terms, repeats included."""
     return pages.withColumn("dl", F.size(page_tokens()).cast("bigint"))
@@ -120,10 +180,10 @@ def page_tokens() -> Column:
 def with_version(pages: DataFrame) -> DataFrame:
     """Replace `seq` by a total order of the versions of a page.
 
-    Versions of equal or no `seq` are ordered by a digest of their content, so the
-    result never depends on the order in which rows arrive.
+    Versions of equal or no `seq` that come together are ordered by a digest of their
+    content, so the result never depends on the order in which rows arrive.
     """
-    seq = F.col("seq") if "seq" in pages.columns else F.lit(0)
+    seq = F.col("seq") if "seq" in pages.columns else F.lit(None).cast("bigint")
     digest = F.xxhash64("url", "title", "body")
     return pages.select(*PAGE_FIELDS, F.struct(seq.alias("seq"), digest.alias("digest")).alias("version"))
 

@@ -10,10 +10,15 @@
 A version lies in a folder of its own and counts once its manifest row is written,
 last of all: readers see a whole version or none of it, and a build that fails leaves
 the one before in place. Each table is derived from stored ones, so a lost executor
-costs its tasks and no earlier step. There may be one writer at a time.
+costs its tasks and no earlier step. There may be one writer at a time; a second one
+fails instead of hiding the first.
 
 A version consists of segments: the folder of a full build, and one more for each
 extension since. Documents that a later segment replaced are left out when reading.
+Where segments become many, the last ones are merged with each other.
+
+Documents carry their terms with what each adds to the statistics, in a column that
+searches don't read. What a replaced document leaves behind is known from its row.
 """
 
 from __future__ import annotations
@@ -25,22 +30,22 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelode.operators.index import (
     Part,
     SearchIndex,
+    analysed,
     check_mode,
     corpus_statistics,
-    cumulative_postings,
     document_frequency,
-    latest_pages,
-    latest_postings,
-    measured,
+    gathered_terms,
     shard_of,
+    term_postings,
     with_average,
+    with_length,
     with_version,
 )
 from pagelode.schemas import (
@@ -52,14 +57,21 @@ from pagelode.schemas import (
 )
 from pagelode.session import shuffle_partitions
 
-# Most ids to broadcast.
+# Most ids to broadcast, and their most bytes.
 BROADCAST_IDS = 200_000
+BROADCAST_ID_BYTES = 32 << 20
+# Most ids to look for as literals, which prune shards and row groups.
+LITERAL_IDS = 1000
+# Segments that an extension may leave.
+MAX_SEGMENTS = 16
 
 
 @dataclass(frozen=True)
 class Segment:
     folder: str
     replaced: int
+    rows: int
+    schema: str
 
 
 def write_index(
@@ -68,6 +80,7 @@ def write_index(
     mode: str = "latest",
     num_shards: int | None = None,
     unique_ids: bool = False,
+    applied: dict[str, int] | None = None,
 ) -> SearchIndex:
     """Build an index, see `build_index`, and store it as the next version under `path`.
 
@@ -80,87 +93,238 @@ def write_index(
     num_shards = num_shards or partitions
     version, folder, root = _next_version(spark, path)
 
-    versions = with_version(pages)
-    latest = versions if unique_ids else latest_pages(versions)
+    latest = analysed(with_version(pages), mode, unique_ids)
     if unique_ids or num_shards != partitions:
         latest = latest.repartition(num_shards, "id")
-    documents = _write_documents(measured(latest), root, num_shards)
-
+    documents = _write_documents(latest, root, num_shards)
     # A scan of the documents reads whole shards or parts of them, so the postings
-    # of the latest versions are in place already.
-    cumulative = mode == "cumulative" and not unique_ids
-    postings = latest_postings(documents)
-    if cumulative:
-        postings = cumulative_postings(documents, versions)
-        if num_shards != partitions:
-            postings = postings.repartition(num_shards, "id")
-    postings = _write_postings(postings, root, num_shards)
-
-    stats = corpus_statistics(documents, postings if cumulative else None)
+    # are in place already.
+    postings = _write_postings(term_postings(documents), root, num_shards)
+
+    stats = corpus_statistics(documents, postings if mode == "cumulative" else None)
     _write_statistics(document_frequency(postings), stats, root)
-    segments = [Segment(folder, 0)]
-    _write_manifest(spark, path, version, folder, mode, num_shards, documents, segments)
+    segments = [Segment(folder, 0, documents.count(), documents.schema.json())]
+    _write_manifest(spark, path, version, folder, mode, num_shards, applied or {}, segments)
     return open_index(spark, path, version)
 
 
-def extend_index(pages: DataFrame, path: str) -> SearchIndex:
-    """Add pages to the newest version, which must be in `latest` mode, as the next one.
-
-    Only the given pages are analysed and written, as a further segment. Of the index
-    so far, the document keys, the postings of replaced documents and the vocabulary
-    are read. Pages no newer than the version indexed already are left out, so adding
-    the same pages again changes nothing.
+def extend_index(
+    pages: DataFrame,
+    path: str,
+    mode: str | None = None,
+    num_shards: int | None = None,
+    applied: dict[str, int] | None = None,
+    max_segments: int | None = MAX_SEGMENTS,
+) -> SearchIndex:
+    """Add pages to the newest version as the next one, or start an index with them.
+
+    Only the given pages are analysed and written, as a further segment. Of the index so
+    far, the rows of the same ids are read, and the vocabulary. A page that has no `seq`,
+    or whose indexed version has none or one of another type, replaces the indexed one:
+    calls count in their order. Otherwise the newer `seq` stays, so adding the same pages
+    again changes nothing in mode `latest`. In mode `cumulative` every version counts
+    again for the statistics; `applied` names what has been added (a stream's last batch),
+    so that a stream does not repeat it.
+
+    With more than `max_segments` segments, the last ones are merged: those of like size,
+    and as many as it takes. Merging reads stored segments only, so no page is lost
+    whatever way it came in, and the number of shards stays.
     """
     spark = pages.sparkSession
     entry = _manifest_entry(spark, path)
     if entry is None:
-        return write_index(pages, path)
-    if entry.mode != "latest":
-        raise ValueError(f"cannot extend an index in mode {entry.mode!r}")
+        return write_index(pages, path, mode or "latest", num_shards, applied=applied)
+    if mode not in (None, entry.mode):
+        raise ValueError(f"the index is in mode {entry.mode!r}, not {mode!r}")
     base = _opened(spark, path, entry)
     num_shards = entry.num_shards
     version, folder, root = _next_version(spark, path)
 
-    incoming = _stored(latest_pages(with_version(pages)), f"{root}/incoming")
-    keys = incoming.select("id", "version")
-    known = _stored(
-        _indexed_versions(spark, path, entry)
-        .join(_small(keys, keys.count()), "id")
-        .select("id", (F.col("version") > F.col("indexed")).alias("newer")),
-        f"{root}/known",
+    scratch = f"{root}/scratch"
+    incoming = _stored(
+        analysed(with_version(pages), entry.mode).withColumn("shard", shard_of("id", num_shards)),
+        f"{scratch}/incoming",
     )
-    outdated, replaced = known.filter(~F.col("newer")), known.filter(F.col("newer"))
-    replaced = _stored(replaced.select("id"), f"{root}/replaced")
+    known = _stored(_same_ids(spark, path, entry, incoming), f"{scratch}/known")
+    if entry.mode == "latest":
+        keys, bytes_ = _count(known.filter(~F.col("newer")))
+        outdated = _small(known.filter(~F.col("newer")).select("id"), keys, bytes_)
+        fresh = incoming.join(outdated, "id", "left_anti").drop("shard")
+        gone = known.filter("newer")
+    else:
+        fresh, gone = _added(incoming, known), known
+    documents = _write_documents(fresh.repartition(num_shards, "id"), root, num_shards)
+    postings = _write_postings(term_postings(documents), root, num_shards)
+    replaced = _stored(gone.select("id"), f"{root}/replaced")
     replaced_rows = replaced.count()
-    gone = _small(replaced, replaced_rows)
 
-    fresh = incoming.join(_small(outdated.select("id"), outdated.count()), "id", "left_anti")
-    documents = _write_documents(
-        measured(fresh.repartition(num_shards, "id")), root, num_shards
+    change = document_frequency(postings).unionByName(
+        gone.select(F.inline("terms")).groupBy("term").agg((-F.sum("adds")).alias("df"))
     )
-    postings = _write_postings(latest_postings(documents), root, num_shards)
-
-    lost = base.postings.join(gone, "id", "left_semi").groupBy("term")
     doc_freq = (
-        base.doc_freq.unionByName(document_frequency(postings))
-        .unionByName(lost.agg((-F.count(F.lit(1))).alias("df")))
+        base.doc_freq.unionByName(change)
         .groupBy("term")
         .agg(F.sum("df").alias("df"))
         .filter(F.col("df") > 0)
     )
-    lost = base.documents.select("id", "dl").join(gone, "id", "left_semi")
     stats = (
         base.corpus_stats.select("n", "total_len")
-        .unionByName(_size(documents))
-        .unionByName(_size(lost).select((-F.col("n")).alias("n"), (-F.col("total_len")).alias("total_len")))
+        .unionByName(_size(documents, 1))
+        .unionByName(_size(gone, -1))
         .agg(F.sum("n").alias("n"), F.sum("total_len").alias("total_len"))
     )
     _write_statistics(doc_freq, with_average(stats), root)
-    segments = [*_segments(entry), Segment(folder, replaced_rows)]
-    _write_manifest(spark, path, version, folder, entry.mode, num_shards, documents, segments)
+    segments = [
+        *_segments(entry),
+        Segment(folder, replaced_rows, documents.count(), documents.schema.json()),
+    ]
+    if max_segments and len(segments) > max_segments:
+        segments = _merged(spark, path, segments, num_shards, f"{folder}/merged", max_segments)
+    applied = {**(entry.applied or {}), **(applied or {})}
+    _write_manifest(spark, path, version, folder, entry.mode, num_shards, applied, segments)
+    _delete(spark, scratch)
     return open_index(spark, path, version)
 
 
+def _same_ids(spark: SparkSession, path: str, entry: Row, incoming: DataFrame) -> DataFrame:
+    """The indexed rows of incoming ids, and whether the incoming page is `newer`."""
+    keys = incoming.select("shard", "id", F.col("version").alias("incoming"))
+    rows, size = _count(keys)
+    literals = keys.select("shard", "id").collect() if rows <= LITERAL_IDS else None
+    kind = incoming.schema["version"].dataType
+    found = []
+    for part in _parts(spark, path, entry):
+        documents = part.documents
+        if literals is not None:
+            shards, ids = ({row[name] for row in literals} for name in ("shard", "id"))
+            documents = documents.filter(F.col("shard").isin(shards) & F.col("id").isin(ids))
+        same = documents.schema["version"].dataType == kind
+        newer = F.lit(True)
+        if same:
+            newer = (
+                F.col("version.seq").isNull()
+                | F.col("incoming.seq").isNull()
+                | (F.col("incoming") > F.col("version"))
+            )
+        rows_of = part.live(documents).join(_small(keys, rows, size), ["shard", "id"])
+        found.append(
+            rows_of.select(
+                "id",
+                "url",
+                "title",
+                "body",
+                _as_version(F.col("version"), same, kind).alias("version"),
+                "dl",
+                "terms",
+                newer.alias("newer"),
+            )
+        )
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _as_version(version: Column, same: bool, kind: T.DataType) -> Column:
+    """A stored version in the type of another order, in which it is older than any."""
+    if same:
+        return version
+    seq = F.lit(None).cast(kind["seq"].dataType)
+    return F.struct(seq.alias("seq"), version["digest"].alias("digest"))
+
+
+def _added(incoming: DataFrame, known: DataFrame) -> DataFrame:
+    """Incoming pages in mode `cumulative`, with what their indexed versions have added.
+
+    The newer of both is the document; the terms of all versions add up.
+    """
+    newer = known.select("id", "newer")
+    told = incoming.select("id", F.inline("terms")).join(newer, "id", "left")
+    current = F.coalesce("newer", F.lit(True))
+    indexed = known.select("id", "newer", F.inline("terms")).withColumn(
+        "tf", F.when(~F.col("newer"), F.col("tf")).otherwise(F.lit(0))
+    )
+    rows = (
+        told.withColumn("tf", F.when(current, F.col("tf")).otherwise(F.lit(0)))
+        .unionByName(indexed)
+        .groupBy("id", "term")
+        .agg(
+            F.sum("tf").alias("tf"), F.sum("adds").alias("adds"), F.sum("added_tf").alias("added_tf")
+        )
+    )
+    columns = ["id", "url", "title", "body", "version"]
+    older = known.filter(~F.col("newer")).select(*columns)
+    shown = (
+        incoming.select(*columns)
+        .join(older.select("id"), "id", "left_anti")
+        .unionByName(older)
+    )
+    return with_length(columns, shown.join(gathered_terms(rows), "id", "left"))
+
+
+def _merged(
+    spark: SparkSession,
+    path: str,
+    segments: list[Segment],
+    num_shards: int,
+    folder: str,
+    most: int,
+) -> list[Segment]:
+    """The segments with the last of them merged into one.
+
+    Going back, a segment joins while it has at most twice the rows of those behind it,
+    or while there are still too many; so a row is merged again only when its segment
+    has grown, a logarithmic number of times.
+    """
+    first, rows = len(segments) - 1, segments[-1].rows
+    while first and (segments[first - 1].rows <= 2 * rows or first + 1 > most):
+        first -= 1
+        rows += segments[first].rows
+    kept, joined = segments[:first], segments[first:]
+    if len(joined) == 1:
+        return segments
+    kind = T.StructType.fromJson(json.loads(joined[-1].schema))["version"].dataType
+    live = []
+    for part in _parts_of(spark, path, joined):
+        same = part.documents.schema["version"].dataType == kind
+        version = _as_version(F.col("version"), same, kind)
+        live.append(part.live(part.documents.withColumn("version", version).drop("shard")))
+    documents = functools.reduce(DataFrame.unionByName, live).repartition(num_shards, "id")
+    root = f"{path}/{folder}"
+    documents = _write_documents(documents, root, num_shards)
+    _write_postings(term_postings(documents), root, num_shards)
+    lists = [f"{path}/{other.folder}/replaced" for other in joined if other.replaced]
+    replaced = 0
+    if lists and kept:
+        ids = spark.read.schema(REPLACED_DDL).parquet(*lists).distinct()
+        replaced = _stored(ids, f"{root}/replaced").count()
+    return [*kept, Segment(folder, replaced, documents.count(), documents.schema.json())]
+
+
+def expire_versions(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Delete what only versions before the newest `keep` need; returns how many expire.
+
+    Readers of an expired version fail from then on. Manifest rows stay.
+    """
+    manifest = _manifest(spark, path)
+    if manifest is None:
+        return 0
+    entries = manifest.orderBy(F.desc("version")).limit(keep).collect()
+    segments = {segment.folder for entry in entries for segment in _segments(entry)}
+    used = {entry.folder for entry in entries} | {folder.split("/")[0] for folder in segments}
+    rows = manifest.select("folder").distinct().collect()
+    expired = [row.folder for row in rows if row.folder not in used]
+    for folder in expired:
+        _delete(spark, f"{path}/{folder}")
+    for folder in used - segments:  # only the statistics or a merged segment in it are needed
+        for name in ("documents", "postings", "replaced"):
+            _delete(spark, f"{path}/{folder}/{name}")
+    return len(expired)
+
+
+def applied_batches(spark: SparkSession, path: str) -> dict[str, int]:
+    """The last batch of each stream that the newest version has."""
+    entry = _manifest_entry(spark, path)
+    return dict((entry and entry.applied) or {})
+
+
 def open_index(spark: SparkSession, path: str, version: int | None = None) -> SearchIndex:
     """A stored index; the newest complete version unless one is named."""
     entry = _manifest_entry(spark, path, version)
@@ -187,7 +351,7 @@ def _opened(spark: SparkSession, path: str, entry: Row) -> SearchIndex:
         ],
     )
     return SearchIndex(
-        parts=tuple(Part(part.documents.drop("version"), part.replaced) for part in parts),
+        parts=tuple(Part(part.documents.drop("version", "terms"), part.replaced) for part in parts),
         postings=postings,
         doc_freq=spark.read.schema(DOC_FREQ_DDL).parquet(f"{root}/doc_freq"),
         corpus_stats=spark.read.schema(CORPUS_STATS_DDL).parquet(f"{root}/corpus_stats"),
@@ -197,39 +361,43 @@ def _opened(spark: SparkSession, path: str, entry: Row) -> SearchIndex:
 
 
 def _parts(spark: SparkSession, path: str, entry: Row) -> list[Part]:
-    schema = T.StructType.fromJson(json.loads(entry.documents_schema))
-    segments = _segments(entry)
+    return _parts_of(spark, path, _segments(entry))
+
+
+def _parts_of(spark: SparkSession, path: str, segments: list[Segment]) -> list[Part]:
     parts = []
     for number, segment in enumerate(segments):
         later = [other for other in segments[number + 1 :] if other.replaced]
         replaced = None
         if later:
             folders = [f"{path}/{other.folder}/replaced" for other in later]
-            replaced = _small(
-                spark.read.schema(REPLACED_DDL).parquet(*folders),
-                sum(other.replaced for other in later),
-            )
+            ids = spark.read.schema(REPLACED_DDL).parquet(*folders)
+            rows = sum(other.replaced for other in later)
+            replaced = _small(ids, *(_count(ids) if rows <= BROADCAST_IDS else (rows, 0)))
+        schema = T.StructType.fromJson(json.loads(segment.schema))
         documents = spark.read.schema(schema).parquet(f"{path}/{segment.folder}/documents")
         parts.append(Part(documents, replaced))
     return parts
 
 
-def _indexed_versions(spark: SparkSession, path: str, entry: Row) -> DataFrame:
-    live = [
-        part.live(part.documents.select("id", F.col("version").alias("indexed")))
-        for part in _parts(spark, path, entry)
-    ]
-    return functools.reduce(DataFrame.unionByName, live)
+def _count(ids: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of their ids."""
+    size = F.coalesce(F.sum(F.octet_length("id") + 32), F.lit(0))
+    return tuple(ids.agg(F.count(F.lit(1)), size).first())
 
 
-def _small(ids: DataFrame, rows: int) -> DataFrame:
-    """Ids to join with: broadcast if few, else hashed, which sorts no large side."""
-    return F.broadcast(ids) if rows <= BROADCAST_IDS else ids.hint("shuffle_hash")
+def _small(ids: DataFrame, rows: int, size: int) -> DataFrame:
+    """Ids to join with: broadcast if few and short, else hashed, which sorts no large side."""
+    few = rows <= BROADCAST_IDS and size <= BROADCAST_ID_BYTES
+    return F.broadcast(ids) if few else ids.hint("shuffle_hash")
 
 
-def _size(documents: DataFrame) -> DataFrame:
+def _size(documents: DataFrame, sign: int) -> DataFrame:
+    """What documents add to the number of pages and the total length, or take away."""
+    added = F.aggregate("terms", F.lit(0).cast("bigint"), lambda total, t: total + t["added_tf"])
     return documents.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len")
+        (F.count(F.lit(1)) * sign).alias("n"),
+        F.coalesce(F.sum(added) * sign, F.lit(0)).alias("total_len"),
     )
 
 
@@ -269,28 +437,39 @@ def _write_manifest(
     folder: str,
     mode: str,
     num_shards: int,
-    documents: DataFrame,
+    applied: dict[str, int],
     segments: list[Segment],
 ) -> None:
-    schema = documents.schema.json()
-    entry = (version, folder, mode, num_shards, schema, [(s.folder, s.replaced) for s in segments])
+    rows = [(s.folder, s.replaced, s.rows, s.schema) for s in segments]
+    entry = (version, folder, mode, num_shards, applied, rows)
+    newest = _manifest_entry(spark, path)
+    if newest is not None and newest.version >= version:
+        raise RuntimeError(f"another writer has written version {newest.version} of {path}")
     spark.createDataFrame([entry], MANIFEST_DDL).coalesce(1).write.mode("append").json(
         f"{path}/manifest"
     )
 
 
-def _manifest_entry(spark: SparkSession, path: str, version: int | None = None) -> Row | None:
+def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        manifest = spark.read.schema(MANIFEST_DDL).json(f"{path}/manifest")
+        return spark.read.schema(MANIFEST_DDL).json(f"{path}/manifest")
     except AnalysisException:
         return None
-    if version is not None:
-        manifest = manifest.filter(F.col("version") == version)
-    return manifest.agg(F.max_by(F.struct("*"), "version")).first()[0]
+
+
+def _manifest_entry(spark: SparkSession, path: str, version: int | None = None) -> Row | None:
+    manifest = _manifest(spark, path)
+    if manifest is None:
+        return None
+    wanted = manifest.agg(F.max("version")).scalar() if version is None else F.lit(version)
+    entries = manifest.filter(F.col("version") == wanted).limit(2).collect()
+    if len(entries) > 1:
+        raise RuntimeError(f"two writers have written version {entries[0].version} of {path}")
+    return entries[0] if entries else None
 
 
 def _segments(entry: Row) -> list[Segment]:
-    return [Segment(row.folder, row.replaced) for row in entry.segments]
+    return [Segment(row.folder, row.replaced, row.rows, row.schema) for row in entry.segments]
 
 
 def _next_version(spark: SparkSession, path: str) -> tuple[int, str, str]:
@@ -305,11 +484,23 @@ def _table_name(location: str) -> str:
 
 
 def _bucketed_table(spark: SparkSession, location: str, num_shards: int) -> DataFrame:
-    """The stored postings with their buckets, also in a session that did not write them."""
+    """The stored postings with their buckets, also in a session that did not write them.
+
+    Buckets are a property of catalog tables. The table is there while the plan is
+    made, which keeps its files and buckets, and is then dropped; its files stay.
+    """
     table = _table_name(location)
     quoted = location.replace("\\", "\\\\").replace("'", "\\'")
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {table} ({POSTINGS_DDL}) USING parquet "
         f"CLUSTERED BY (id) SORTED BY (term) INTO {num_shards} BUCKETS LOCATION '{quoted}'"
     )
-    return spark.table(table)
+    postings = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return postings
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder through Spark's own file system layer."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

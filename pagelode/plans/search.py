@@ -11,6 +11,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelode.functions.scoring import K1, B
 from pagelode.functions.text import bow_vector, indexed_text, tokens, truncate_utf8
 from pagelode.operators.index import SearchIndex, shard_of
 from pagelode.operators.ranking import top_per_key
@@ -39,27 +40,37 @@ RESULT = ("qid", "rank", "id", "url", "title", "body", "score")
 
 
 def search(
-    index: SearchIndex, query: str, k: int, reranker: Reranker | None = cosine_rerank
+    index: SearchIndex,
+    query: str,
+    k: int,
+    reranker: Reranker | None = cosine_rerank,
+    k1: float = K1,
+    b: float = B,
 ) -> DataFrame:
     """Answer one query. Its terms become literals, which prune the index scans."""
     request = index.spark.range(1).select(
         F.lit("0").alias("qid"), F.lit(query).alias("query"), F.lit(k).alias("k")
     )
     terms = request.select(F.array_distinct(tokens(F.col("query")))).first()[0]
-    return search_many(index.for_terms(terms), request, reranker).drop("qid")
+    return search_many(index.for_terms(terms), request, reranker, k1, b).drop("qid")
 
 
 def search_many(
-    index: SearchIndex, queries: DataFrame, reranker: Reranker | None = cosine_rerank
+    index: SearchIndex,
+    queries: DataFrame,
+    reranker: Reranker | None = cosine_rerank,
+    k1: float = K1,
+    b: float = B,
 ) -> DataFrame:
     """Answer a table of queries (qid, query, k), qid being unique.
 
-    Without a reranker the BM25 order stands. A query without terms, hits, or a
-    positive k has no rows.
+    Without a reranker the BM25 order stands. A reranker sees the pool, and its order may
+    name any other document that matches. A query without terms, hits, or a positive k has
+    no rows.
     """
     queries = _answerable(queries)
     size = measure(queries)
-    pool = settle(index, rerank_pool(index, queries, size))
+    pool = settle(index, rerank_pool(index, queries, size, k1=k1, b=b))
     limits = small(queries.select("qid", "k"), size.broadcast_queries)
 
     if reranker is None:
@@ -89,8 +100,14 @@ def search_many(
         shown = told.select("id", "url", "title", "body")
         return _results(shown.join(small(top, size.broadcast_pool), "id"), "rank")
 
-    order = reranker(_candidates(index, queries, pool, size))
-    return _merged(index, pool, order, limits, size, feeding=1)
+    order = settle(index, resolve_order(reranker(_candidates(index, queries, pool, size))))
+    # Behind what the order names come the best of the rest, and these are all in the pool.
+    scored = pool.select("qid", "id", "score")
+    beyond = order.select("qid", "id").join(scored, ["qid", "id"], "left_anti")
+    if not beyond.isEmpty():
+        named = bm25_scores(index, queries, size, k1, b).join(beyond, ["qid", "id"], "left_semi")
+        scored = scored.unionByName(named)
+    return _merged(index, scored, order, limits, size, feeding=1)
 
 
 def rerank_candidates(index: SearchIndex, queries: DataFrame) -> DataFrame:
@@ -100,7 +117,9 @@ def rerank_candidates(index: SearchIndex, queries: DataFrame) -> DataFrame:
     return _candidates(index, queries, settle(index, rerank_pool(index, queries, size)), size)
 
 
-def search_with_order(index: SearchIndex, queries: DataFrame, order: DataFrame) -> DataFrame:
+def search_with_order(
+    index: SearchIndex, queries: DataFrame, order: DataFrame, k1: float = K1, b: float = B
+) -> DataFrame:
     """Answer queries with an order (qid, id, pos) that comes from elsewhere.
 
     It may name any candidate, also outside the rerank pool, may repeat or miss ids,
@@ -108,7 +127,7 @@ def search_with_order(index: SearchIndex, queries: DataFrame, order: DataFrame)
     """
     queries = _answerable(queries)
     size = measure(queries)
-    scored = bm25_scores(index, queries, size)
+    scored = bm25_scores(index, queries, size, k1, b)
     limits = small(queries.select("qid", "k"), size.broadcast_queries)
     return _merged(index, scored, order, limits, size, feeding_tasks(index))
 

@@ -39,6 +39,6 @@ POSTINGS_DDL = (
 REPLACED_DDL = "id STRING"
 
 MANIFEST_DDL = (
-    "version BIGINT, folder STRING, mode STRING, num_shards INT, documents_schema STRING, "
-    "segments ARRAY<STRUCT<folder: STRING, replaced: BIGINT>>"
+    "version BIGINT, folder STRING, mode STRING, num_shards INT, applied MAP<STRING, BIGINT>, "
+    "segments ARRAY<STRUCT<folder: STRING, replaced: BIGINT, rows: BIGINT, schema: STRING>>"
 )

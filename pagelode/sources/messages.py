@@ -17,9 +17,9 @@ from pagelode.session import session_conf
 PAGES_TOPIC = "pages"
 SEND_TIMEOUT_MS = 5000
 
-# A JSON object or null with nothing but blanks around it; the JSON parser itself
-# would accept trailing text.
-_WHOLE_VALUE = r"(?s)^[ \t\r\n]*(\{.*\}|null)[ \t\r\n]*$"
+# A JSON object or null with nothing but blanks around it. The JSON parser itself would
+# accept trailing text, also text that ends in a brace.
+_WHOLE_VALUE = r"(?s)\A[ \t\r\n]*(\{.*\}|null)[ \t\r\n]*\z"
 _VOID, _STRING = "VOID", "STRING"
 
 
@@ -53,12 +53,15 @@ def producer_options() -> dict[str, str]:
 
 
 def consumer_options(brokers: str, topic: str = PAGES_TOPIC) -> dict[str, str]:
-    """Read from the first offset; later progress lives in the checkpoint."""
+    """Read from the first offset; later progress lives in the checkpoint.
+
+    Offsets that have expired stop the stream; pass `failOnDataLoss="false"` to go on.
+    """
     return {
         "kafka.bootstrap.servers": brokers,
         "subscribe": topic,
         "startingOffsets": "earliest",
-        "failOnDataLoss": "false",
+        "failOnDataLoss": "true",
     }
 
 
@@ -114,9 +117,7 @@ def decode_messages(messages: DataFrame, keep_rejects: bool = False) -> DataFram
 
 
 def _page(value: Column) -> Column:
-    """The page in a message value as a struct, or null; parses the value once."""
-    text = F.make_valid_utf8(value.cast("string"))
-    whole = F.when(text.rlike(_WHOLE_VALUE), text)
+    """The page in a message value as a struct, or null."""
 
     def from_json(json: Column) -> Column:
         kind = F.schema_of_variant(json)
@@ -137,7 +138,29 @@ def _page(value: Column) -> Column:
         ]
         return F.when(F.forall(values, _is_text), F.struct(*fields))
 
-    return let(F.try_parse_json(whole), from_json)
+    return let(let(F.make_valid_utf8(value.cast("string")), _one_value), from_json)
+
+
+def _one_value(text: Column) -> Column:
+    """The JSON value that a text is, or null.
+
+    It is parsed alone in an array and as the only field of an object: text behind the value
+    breaks one or the other, or adds an element.
+    """
+
+    def checked(parsed: Column) -> Column:
+        alone = F.size(F.try_variant_get(parsed["alone"], "$", "array<variant>"))
+        field = F.size(F.try_variant_get(parsed["field"], "$", "map<string,variant>"))
+        return F.when(
+            (alone == 1) & (field == 1), F.try_variant_get(parsed["alone"], "$[0]", "variant")
+        )
+
+    whole = F.when(text.rlike(_WHOLE_VALUE), text)
+    parsed = F.struct(
+        F.try_parse_json(F.concat(F.lit("["), whole, F.lit("]"))).alias("alone"),
+        F.try_parse_json(F.concat(F.lit('{"v":'), whole, F.lit("}"))).alias("field"),
+    )
+    return let(parsed, checked)
 
 
 def _is_text(value: Column) -> Column:

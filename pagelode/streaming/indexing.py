@@ -1,16 +1,17 @@
 """Continuous indexing: messages to a page log, and the page log to index versions.
 
 The stream appends each micro-batch of decoded pages to a log, one folder per batch
-that a replay overwrites, so the log holds every message once. The batch then extends
-the index by a segment, or the index is derived from the whole log again. Either gives
-a new version; readers go on with the one they opened.
+that a replay overwrites, so the log holds every message once. The pages then extend
+whatever index lies at the path. Each extension is a new version; readers go on with
+the one they opened. The version names the last batch it has, so no batch counts twice.
 
-    <path>/log/batch_id=N/accepted=true|false    pages, or rejected values
-    <path>/version=M-.../                        index versions, see `store`
+    <path>/log/stream=S/batch_id=N/accepted=true|false    pages, or rejected values
+    <path>/version=M-.../                                 index versions, see `store`
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -19,56 +20,82 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagelode.operators.index import SearchIndex
-from pagelode.operators.store import extend_index, segment_count, write_index
+from pagelode.operators.store import applied_batches, extend_index, open_index
 from pagelode.schemas import PAGE_FIELDS
 from pagelode.sources.messages import decode_messages
 
 # Columns of a Kafka message that order the versions of a page.
 KAFKA_ORDER = ("timestamp", "partition", "offset")
 
-# Segments an index may have before they are merged.
+# Segments an index may have before the last of them are merged.
 MAX_SEGMENTS = 16
 
+MAIN = "main"
+
+
+class IndexingQuery:
+    """A running stream; like a StreamingQuery, but its last batches become visible at the end."""
+
+    def __init__(self, query: StreamingQuery, finish) -> None:
+        self._query, self._finish = query, finish
+
+    def __getattr__(self, name: str):
+        return getattr(self._query, name)
+
+    def awaitTermination(self, timeout: int | None = None) -> bool | None:  # noqa: N802
+        ended = self._query.awaitTermination(timeout)
+        if ended is not False:
+            self._finish()
+        return ended
+
 
 def index_stream(
     messages: DataFrame,
     path: str,
     checkpoint: str,
     order: Sequence[str] = KAFKA_ORDER,
-    mode: str = "latest",
+    mode: str | None = None,
     refresh_every: int | None = 1,
     available_now: bool = False,
     interval: str = "1 minute",
-) -> StreamingQuery:
+    num_shards: int | None = None,
+) -> IndexingQuery:
     """Start indexing a stream of messages; returns the running query.
 
-    `order` names the message columns that order the versions of a page. With none,
-    later batches win. Every `refresh_every`-th batch makes the log so far visible as
-    a new index version; with None, `refresh_index` runs as a job of its own. Restarts
-    go on from the checkpoint, which belongs beside the index.
+    The stream extends the index at `path`, however it was written, or starts one of the
+    given mode and number of shards. `order` names the message columns that order the
+    versions of a page. With none, later batches win. Every `refresh_every`-th batch makes
+    all batches so far visible as one new index version; the rest become so when
+    `awaitTermination` returns, at the next refresh, or by `refresh_index`; with None,
+    only by those. Restarts go on from the checkpoint, which belongs beside the index.
 
-    In `latest` mode a refresh after every batch costs as much as the batch, since it
-    adds a segment; MAX_SEGMENTS segments are merged by deriving the index from the
-    log. Otherwise each refresh derives it from the log.
+    A refresh analyses and writes the pages of its batches and reads the rows they replace;
+    beyond that it rewrites the vocabulary. Above MAX_SEGMENTS segments, those of like size
+    are merged.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        append_batch(batch, batch_id, path, order)
-        if not refresh_every or (batch_id + 1) % refresh_every:
-            return
-        extends = mode == "latest" and refresh_every == 1
-        if extends and 0 < segment_count(spark, path) < MAX_SEGMENTS:
-            extend_index(_pages(read_log(spark, path), batch_id), path)
-        else:
-            refresh_index(spark, path, mode)
+        append_batch(batch, batch_id, path, order, stream)
+        if refresh_every and not (batch_id + 1) % refresh_every:
+            _catch_up(batch.sparkSession, path, stream, batch_id, mode, num_shards)
 
     writer = messages.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
-    return writer.trigger(**trigger).start()
+    query = writer.trigger(**trigger).start()
+
+    def finish() -> None:
+        progress = query.lastProgress
+        if refresh_every and progress is not None:
+            spark = messages.sparkSession
+            _catch_up(spark, path, stream, int(progress["batchId"]), mode, num_shards)
 
+    return IndexingQuery(query, finish)
 
-def append_batch(messages: DataFrame, batch_id: int, path: str, order: Sequence[str]) -> None:
+
+def append_batch(
+    messages: DataFrame, batch_id: int, path: str, order: Sequence[str], stream: str = MAIN
+) -> None:
     """Decode one batch into its own folder of the log, in one pass over the messages."""
     seq = [F.col(name) for name in order] or [F.lit(batch_id).cast("bigint").alias("batch")]
     (
@@ -76,10 +103,41 @@ def append_batch(messages: DataFrame, batch_id: int, path: str, order: Sequence[
         .select(*PAGE_FIELDS, F.struct(*seq).alias("seq"), "value", "accepted")
         .write.mode("overwrite")
         .partitionBy("accepted")
-        .parquet(f"{path}/log/batch_id={batch_id}")
+        .parquet(_folder(path, stream, batch_id))
     )
 
 
+def _folder(path: str, stream: str, batch_id: int) -> str:
+    return f"{path}/log/stream={stream}/batch_id={batch_id}"
+
+
+def _catch_up(
+    spark: SparkSession,
+    path: str,
+    stream: str,
+    last: int,
+    mode: str | None,
+    num_shards: int | None,
+) -> None:
+    """Extend the index by the batches of a stream that it does not have, up to `last`.
+
+    Only the folders of those batches are read.
+    """
+    first = applied_batches(spark, path).get(stream, -1) + 1
+    batches = []
+    for batch_id in range(first, last + 1):
+        try:
+            batches.append(spark.read.parquet(_folder(path, stream, batch_id)))
+        except AnalysisException:  # a batch without any message has no files
+            continue
+    if not batches:
+        return
+    log = batches[0]
+    for batch in batches[1:]:
+        log = log.unionByName(batch)
+    extend_index(_pages(log), path, mode, num_shards, {stream: last}, MAX_SEGMENTS)
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame | None:
     """All decoded messages by batch, good and bad; None while there are none."""
     try:
@@ -95,16 +153,27 @@ def read_rejects(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def refresh_index(
-    spark: SparkSession, path: str, mode: str = "latest", num_shards: int | None = None
+    spark: SparkSession, path: str, mode: str | None = None, num_shards: int | None = None
 ) -> SearchIndex | None:
-    """Derive the next index version from the whole log; None while the log is empty."""
-    log = read_log(spark, path)
-    return None if log is None else write_index(_pages(log), path, mode, num_shards)
+    """Extend the index by all batches of the log that it does not have, as a job of its own.
 
-
-def _pages(log: DataFrame, batch_id: int | None = None) -> DataFrame:
-    if batch_id is not None:
-        log = log.filter(F.col("batch_id") == batch_id)
+    None while there is neither a log nor an index.
+    """
+    applied, log = applied_batches(spark, path), read_log(spark, path)
+    seen = F.lit(False)
+    for stream, last in applied.items():
+        seen = seen | ((F.col("stream") == stream) & (F.col("batch_id") <= last))
+    rows = [] if log is None else log.filter(~seen).groupBy("stream").agg(F.max("batch_id")).collect()
+    if not rows:
+        try:
+            return open_index(spark, path)
+        except ValueError:
+            return None
+    latest = {stream: last for stream, last in rows}
+    return extend_index(_pages(log.filter(~seen)), path, mode, num_shards, latest, MAX_SEGMENTS)
+
+
+def _pages(log: DataFrame) -> DataFrame:
     return log.filter(accepted()).select(*PAGE_FIELDS, "seq")
 
 

@@ -32,6 +32,12 @@ REJECTS = [
     '"str"',
     '{"id":"1"} junk',
     "5",
+    '{"id":"1"}{"id":"2"}',
+    '{"id":"1"},{"id":"2"}',
+    '{"id":"1"} ] {}',
+    '{"id":"1"} junk}',
+    '{"id":"1"}\x85',
+    '{"id":"1"},"v":{"id":"2"}',
 ]
 
 
@@ -108,7 +114,7 @@ def test_connector_options():
         "kafka.bootstrap.servers": "h:9092",
         "subscribe": "pages",
         "startingOffsets": "earliest",
-        "failOnDataLoss": "false",
+        "failOnDataLoss": "true",
     }
     assert m.producer_options()["kafka.delivery.timeout.ms"] == "5000"
 

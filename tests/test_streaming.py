@@ -119,10 +119,95 @@ def test_extensions_equal_one_build(spark, tmp_path, monkeypatch, broadcast):
     assert ids(pl.search_many(index, queries)) == ids(pl.search_many(whole, queries))
 
 
-def test_only_latest_mode_extends(spark, tmp_path):
+def test_extensions_of_a_cumulative_index_equal_one_build(spark, tmp_path):
+    path = str(tmp_path)
+    late = ("b", "", "Old", "outdated streaming", 0)
+    again = ("a", "", "Spark", "spark once more", 7)
+    batches = [FIVE[:3], [*FIVE[3:], C_AGAIN], [late, again]]
+    for rows in batches:
+        index = pl.extend_index(page_log(spark, rows), path, "cumulative")
+    whole = pl.build_index(page_log(spark, [row for rows in batches for row in rows]), "cumulative")
+    assert content(index) == content(whole)
+    assert sorted(index.doc_freq.collect()) == sorted(whole.doc_freq.collect())
+    assert index.corpus_stats.collect() == whole.corpus_stats.collect()
+    queries = requests(spark, "spark sql", "streaming", "pregel")
+    assert ids(pl.search_many(index, queries)) == ids(pl.search_many(whole, queries))
+
+
+def test_an_index_stays_in_its_mode(spark, tmp_path):
     pl.write_index(page_log(spark), str(tmp_path), "cumulative")
-    with pytest.raises(ValueError, match="cannot extend"):
-        pl.extend_index(page_log(spark), str(tmp_path))
+    with pytest.raises(ValueError, match="mode 'cumulative'"):
+        pl.extend_index(page_log(spark), str(tmp_path), "latest")
+
+
+def test_pages_without_an_order_always_replace(spark, tmp_path):
+    path = str(tmp_path)
+    pl.write_index(page_log(spark), path)
+    for word in ("first", "second"):
+        again = page_log(spark).drop("seq").withColumn("body", F.lit(word))
+        index = pl.extend_index(again, path)
+        assert {row.body for row in index.documents.collect()} == {word}
+        assert index.documents.count() == 5
+
+
+def test_a_stream_keeps_what_was_indexed_before(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(indexing, "MAX_SEGMENTS", 3)
+    folder, path = f"{tmp_path}/topic", f"{tmp_path}/index"
+    base = [(f"base{i}", "", "", f"base words {i}", i) for i in range(20)]
+    pl.write_index(page_log(spark, base).drop("seq"), path, num_shards=3)
+    for i in range(7):
+        send(spark, folder, [(f"new{i}", "", "", f"new words {i}", i), ("base3", "", "", f"again {i}", i)])
+    run(spark, folder, path, refresh_every=3)
+    index = pl.open_index(spark, path)
+    assert index.num_shards == 3 and store.segment_count(spark, path) <= 3
+    found = {row.id: row.body for row in index.documents.collect()}
+    assert found.keys() == {f"base{i}" for i in range(20)} | {f"new{i}" for i in range(7)}
+    assert found["base3"] == "again 6"
+    assert index.corpus_stats.first().n == 27
+
+
+def test_a_replayed_batch_counts_once(spark, tmp_path):
+    path = str(tmp_path)
+    messages = pl.encode_messages(page_log(spark), "seq")
+    indexing.append_batch(messages, 0, path, ["seq"])
+    first = pl.refresh_index(spark, path, "cumulative")
+    indexing.append_batch(messages, 0, path, ["seq"])
+    assert pl.refresh_index(spark, path, "cumulative").version == first.version == 1
+
+
+def test_a_second_writer_fails(spark, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    pl.write_index(page_log(spark), path)
+    monkeypatch.setattr(store, "_next_version", lambda *_: (1, "version=1-other", f"{path}/version=1-other"))
+    with pytest.raises(RuntimeError, match="another writer"):
+        pl.write_index(page_log(spark), path)
+
+
+def test_old_versions_expire_and_no_table_stays(spark, tmp_path):
+    path, before = str(tmp_path), len(spark.catalog.listTables())
+    for number in range(4):
+        pl.write_index(page_log(spark, FIVE[: number + 1]), path)
+    pl.extend_index(page_log(spark, [C_AGAIN]), path)
+    assert pl.expire_versions(spark, path, keep=2) == 3
+    assert pl.open_index(spark, path).documents.count() == 4
+    assert pl.open_index(spark, path, 4).postings.count() > 0
+    assert len(spark.catalog.listTables()) == before
+    assert not list(tmp_path.glob("*/scratch"))
+
+
+def test_an_extension_reads_no_posting_of_the_base(spark, tmp_path, monkeypatch):
+    path, read = str(tmp_path), []
+    pl.write_index(page_log(spark), path)
+    inner = store._bucketed_table
+
+    def watched(session, location, shards):
+        read.append(location)
+        return inner(session, location, shards).filter(F.raise_error(F.lit("postings read")).isNull())
+
+    monkeypatch.setattr(store, "_bucketed_table", watched)
+    monkeypatch.setattr(store, "_write_postings", lambda postings, root, shards: postings)
+    index = pl.extend_index(page_log(spark, [C_AGAIN]), path)
+    assert read and index.doc_freq.filter("term = 'pregel'").first().df == 1
 
 
 def test_segments_are_merged(spark, tmp_path, monkeypatch):
