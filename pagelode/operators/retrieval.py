@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,12 +12,14 @@ from pagelode.functions import scoring
 from pagelode.functions.text import tokens, value_counts, whitespace_tokens
 from pagelode.operators.index import SearchIndex
 from pagelode.operators.ranking import top_per_key
-from pagelode.session import shuffle_partitions
+from pagelode.session import shared_dir, shuffle_partitions
 
 # Sizes up to which the small side of a join is broadcast; beyond, it is shuffled.
 BROADCAST_QUERY_BYTES = 4 << 20
 BROADCAST_ROWS = 200_000
 BROADCAST_WORDS = 1_000_000
+# Most broadcasts, one after the other, that a batch or a pool is cut into.
+MAX_PARTS = 64
 
 # A term is hot if it holds more than this share of all tokens. There can be at most
 # one term per share, so the table of hot terms has a bound whatever the corpus.
@@ -41,6 +44,13 @@ class BatchSize:
     def broadcast_queries(self) -> bool:
         return self.text_bytes <= BROADCAST_QUERY_BYTES and self.queries <= BROADCAST_ROWS
 
+    @property
+    def query_parts(self) -> int:
+        """Number of broadcasts that the queries make up; 0 if they are too many."""
+        return part_count(
+            (self.text_bytes, BROADCAST_QUERY_BYTES), (self.queries, BROADCAST_ROWS)
+        )
+
     @property
     def broadcast_pool(self) -> bool:
         return self.pool_rows <= BROADCAST_ROWS
@@ -66,6 +76,14 @@ def measure(queries: DataFrame) -> BatchSize:
     return BatchSize(*row)
 
 
+def part_count(*sizes: tuple[int, int]) -> int:
+    """How many parts keep each `(size, limit)`; 0 if over MAX_PARTS, or without limit to keep."""
+    if any(limit <= 0 for _, limit in sizes):
+        return 0
+    parts = max(1, *(-(-size // limit) for size, limit in sizes))
+    return parts if parts <= MAX_PARTS else 0
+
+
 def small(side: DataFrame, broadcast: bool) -> DataFrame:
     return F.broadcast(side) if broadcast else side
 
@@ -114,7 +132,20 @@ def _matches(index: SearchIndex, terms: DataFrame, size: BatchSize) -> DataFrame
     """Postings of the query terms; `terms` has term and df."""
     if size.broadcast_queries:
         return index.postings.join(F.broadcast(terms), "term")
-    # Too many queries to broadcast: shuffle by term, the hot terms cut into slices
+    if size.query_parts:
+        # Several broadcasts: each part of the queries meets the postings where they lie.
+        path = shared_dir(index.spark, "terms")
+        terms.write.parquet(path)
+        terms = index.spark.read.schema(terms.schema).parquet(path)
+        part = F.pmod(F.xxhash64("qid"), F.lit(size.query_parts))
+        return functools.reduce(
+            DataFrame.unionByName,
+            [
+                index.postings.join(F.broadcast(terms.filter(part == number)), "term")
+                for number in range(size.query_parts)
+            ],
+        )
+    # Too many queries for that: shuffle by term, the hot terms cut into slices
     # by document on one side and repeated for every slice on the other.
     slice_rows = F.greatest(
         index.corpus_stats.select("total_len").scalar() * F.lit(HOT_TERM_SHARE), F.lit(1.0)

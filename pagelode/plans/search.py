@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelode.functions.scoring import K1, B
@@ -30,10 +30,12 @@ from pagelode.operators.retrieval import (
     bm25_scores,
     feeding_tasks,
     measure,
+    part_count,
     rerank_pool,
     score_order,
     small,
 )
+from pagelode.operators.store import BROADCAST_ID_BYTES
 from pagelode.session import has_at_most, shared_dir
 
 RESULT = ("qid", "rank", "id", "url", "title", "body", "score")
@@ -75,7 +77,7 @@ def search_many(
 
     if reranker is None:
         top = pool.join(limits, "qid").filter(F.col("bm25_rank") <= F.col("k"))
-        return _results(fetch(index, top, size.broadcast_pool), "bm25_rank")
+        return _results(_shown(index, top, size), "bm25_rank")
 
     if reranker is cosine_rerank:
         # One read of the pooled documents gives both what is ranked and what is shown.
@@ -150,12 +152,47 @@ def fetch(index: SearchIndex, pool: DataFrame, broadcast: bool) -> DataFrame:
     return _documents_of(index, pool, broadcast, "inner")
 
 
+def _shown(index: SearchIndex, top: DataFrame, size: BatchSize) -> DataFrame:
+    """Add url, title and the cut body to rows with an id; a whole body goes nowhere."""
+    if size.broadcast_pool:
+        return fetch(index, top, True)
+    cut = truncate_utf8(F.col("body")).alias("body")
+    told = pooled_documents(index, top, False).select("id", "url", "title", cut)
+    return top.join(told, "id")
+
+
 def pooled_documents(index: SearchIndex, pool: DataFrame, broadcast: bool) -> DataFrame:
-    """The documents of a pool, each once."""
-    return _documents_of(index, pool.select("id"), broadcast, "left_semi")
+    """The documents of a pool, each once.
 
+    A pool of a stored index that is too large for one broadcast is taken shard by shard:
+    each part of the shards is read once, with the ids that lie in it, and no document is
+    shuffled. Only beyond MAX_PARTS broadcasts documents are hashed by id.
+    """
+    ids = pool.select("id").distinct()
+    if broadcast or not index.num_shards:
+        return _documents_of(index, ids, broadcast, "left_semi")
+    ids = settle(index, ids)
+    octets = F.coalesce(F.sum(F.octet_length("id") + 32), F.lit(0))
+    rows, octets = ids.agg(F.count(F.lit(1)), octets).first()
+    parts = part_count((rows, BROADCAST_ROWS), (octets, BROADCAST_ID_BYTES))
+    if not parts:
+        return _documents_of(index, ids, False, "left_semi")
+    return functools.reduce(
+        DataFrame.unionByName,
+        [
+            _documents_of(index, ids, True, "left_semi", F.col("shard") % parts == number)
+            for number in range(min(parts, index.num_shards))
+        ],
+    )
 
-def _documents_of(index: SearchIndex, pool: DataFrame, broadcast: bool, how: str) -> DataFrame:
+
+def _documents_of(
+    index: SearchIndex,
+    pool: DataFrame,
+    broadcast: bool,
+    how: str,
+    shards: Column | None = None,
+) -> DataFrame:
     """Join documents with a pool, segment by segment.
 
     A pool of known small size is broadcast with the shard of each id, so that Spark
@@ -166,10 +203,11 @@ def _documents_of(index: SearchIndex, pool: DataFrame, broadcast: bool, how: str
         keys = ["shard", "id"]
         pool = pool.withColumn("shard", shard_of("id", index.num_shards))
         # Always true; tells Spark that pruning by this side is worth it.
-        pool = pool.filter(F.col("shard") >= 0)
+        pool = pool.filter(F.col("shard") >= 0 if shards is None else shards)
     found = []
     for part in index.parts:
         documents = part.documents.select(*keys, "url", "title", "body")
+        documents = documents if shards is None else documents.filter(shards)
         found.append(part.live(documents.join(small(pool, broadcast), keys, how)))
     return functools.reduce(DataFrame.unionByName, found).drop("shard")
 
@@ -208,7 +246,7 @@ def _merged(
         feeding,
     )
     top = settle(index, ranked.join(limits, "qid").filter(F.col("rank") <= F.col("k")))
-    return _results(fetch(index, top, size.broadcast_pool), "rank")
+    return _results(_shown(index, top, size), "rank")
 
 
 def _results(ranked: DataFrame, rank: str) -> DataFrame:

@@ -4,7 +4,8 @@ import pytest
 
 import pagelode as pl
 from pagelode.operators import retrieval
-from tests.corpora import C_AGAIN, FIVE, page_log, requests
+from pagelode.session import session_conf
+from tests.corpora import C_AGAIN, FIVE, page_log, ranked, requests
 
 
 @pytest.fixture(scope="module")
@@ -64,3 +65,26 @@ def test_building_moves_each_page_once(spark):
     index = pl.build_index(page_log(spark))
     assert plan(index.postings).count("Exchange") == 1
     assert plan(pl.build_index(page_log(spark), unique_ids=True).postings).count("Exchange") == 0
+
+
+def test_large_batches_move_no_posting_and_no_document(spark, index, monkeypatch):
+    from pagelode.plans import search
+
+    queries = requests(spark, "spark sql", "engine", "streaming", "notes")
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERY_BYTES", 12)
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(search, "BROADCAST_ROWS", 3)
+    size = retrieval.measure(queries)
+    assert not size.broadcast_queries and size.query_parts > 1 and not size.broadcast_pool
+    with session_conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        text = plan(retrieval.bm25_scores(index, queries, size))
+        assert "SortMergeJoin" not in text.split("Scan parquet")[0]
+        assert text.count("BroadcastHashJoin [term") >= size.query_parts
+        pool = search.settle(index, retrieval.rerank_pool(index, queries, size))
+        told = search.pooled_documents(index, pool, False)
+        assert "Exchange hashpartitioning" not in plan(told) and "BroadcastHashJoin" in plan(told)
+        assert told.count() == pool.select("id").distinct().count()
+        found = {name: ranked(pl.search_many(index, queries, name)) for name in (None, pl.cosine_rerank)}
+    monkeypatch.undo()
+    for name, rows in found.items():
+        assert rows == ranked(pl.search_many(index, queries, name))
