@@ -10,6 +10,7 @@ import contextlib
 import json
 import os
 import sys
+import tempfile
 import time
 from collections.abc import Callable
 
@@ -30,6 +31,7 @@ def main() -> None:
         spark__driver__memory=os.environ.get("BENCH_MEMORY", "8g"),
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="bench-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
 

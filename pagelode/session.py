@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -40,12 +41,12 @@ def session_conf(spark: SparkSession, **conf: str) -> Iterator[None]:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder for tables that later stages read back.
 
-    Lies under `spark.checkpoint.dir`, the folder that every executor can reach.
-    Only a local session may go without that setting and use a local folder.
+    Lies under `spark.checkpoint.dir`, the folder that every executor can reach. Only a
+    session that runs in one process may go without that setting and use a local folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="pagelode-")
         spark.conf.set("spark.checkpoint.dir", root)

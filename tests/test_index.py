@@ -105,7 +105,7 @@ def test_opening_without_the_writing_session(spark, tmp_path):
     path = str(tmp_path)
     index = pl.write_index(page_log(spark), path)
     folder = next(tmp_path.glob("version=1-*"))
-    spark.sql(f"DROP TABLE {store._table_name(f'{path}/{folder.name}/postings')}")
+    spark.sql(f"DROP TABLE IF EXISTS {store._table_name(f'{path}/{folder.name}/postings')}")
     reopened = pl.open_index(spark, path)
     assert sorted(reopened.postings.collect()) == sorted(
         pl.build_index(page_log(spark)).postings.collect()
