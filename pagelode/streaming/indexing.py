@@ -11,6 +11,7 @@ the one they opened. The version names the last batch it has, so no batch counts
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Sequence
 
@@ -124,18 +125,17 @@ def _catch_up(
     Only the folders of those batches are read.
     """
     first = applied_batches(spark, path).get(stream, -1) + 1
-    batches = []
+    batches = {}
     for batch_id in range(first, last + 1):
         try:
-            batches.append(spark.read.parquet(_folder(path, stream, batch_id)))
-        except AnalysisException:  # a batch without any message has no files
+            batches[batch_id] = spark.read.parquet(_folder(path, stream, batch_id))
+        except AnalysisException:  # without any message, or not run yet
             continue
     if not batches:
         return
-    log = batches[0]
-    for batch in batches[1:]:
-        log = log.unionByName(batch)
-    extend_index(_pages(log), path, mode, num_shards, {stream: last}, MAX_SEGMENTS)
+    log = functools.reduce(DataFrame.unionByName, batches.values())
+    # Not `last`: progress also names a batch that is still to come.
+    extend_index(_pages(log), path, mode, num_shards, {stream: max(batches)}, MAX_SEGMENTS)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame | None:
