@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelode.functions.text import let
+
 CRLF = "\r\n"
 #: Named character references that are decoded, `&amp;` last.
 ENTITIES = [
@@ -30,9 +32,12 @@ ENTITIES = [
 ]
 NUMBERED = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 UNSEEN = (
-    r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
-    r"|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>"
+    r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|head\b.*?</head\s*>"
+    r"|noscript\b.*?</noscript\s*>|template\b.*?</template\s*>)"
 )
+#: Every run of white space, or of blanks, but for single spaces, which stay as they are.
+SPACES = r"\s{2,}|[\t\n\x0B\f\r]"
+BLANKS = r"[ \t\r\f\x0B\x{00A0}]{2,}|[\t\r\f\x0B\x{00A0}]"
 BREAKS = (
     r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|nav|header|footer"
     r"|main|aside|blockquote|pre|form|figure|title|body|html)\b[^>]*>"
@@ -64,21 +69,28 @@ def decoded(text: Column) -> Column:
         character = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
         return F.when(valid, F.replace(done, reference, character)).otherwise(done)
 
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBERED), 0))
-    text = F.when(text.rlike(NUMBERED), F.aggregate(found, text, numbered)).otherwise(text)
-    named = reduce(lambda t, e: F.replace(t, F.lit(f"&{e[0]};"), F.lit(e[1])), ENTITIES, text)
-    return F.when(F.contains(text, F.lit("&")), named).otherwise(text)
+    def with_numbers(text: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBERED), 0))
+        return F.when(text.rlike(NUMBERED), F.aggregate(found, text, numbered)).otherwise(text)
+
+    def with_names(text: Column) -> Column:
+        return reduce(lambda t, e: F.replace(t, F.lit(f"&{e[0]};"), F.lit(e[1])), ENTITIES, text)
+
+    def with_both(text: Column) -> Column:
+        return F.when(F.contains(text, F.lit("&")), with_names(let(text, with_numbers))).otherwise(text)
+
+    return let(text, with_both)
 
 
 def squeezed(text: Column) -> Column:
     """One space for each run of blanks, one line feed for each run with a line break in it."""
-    blanks = F.regexp_replace(text, r"[ \t\r\f\x0B\x{00A0}]+", " ")
+    blanks = F.regexp_replace(text, BLANKS, " ")
     return F.trim(F.regexp_replace(blanks, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def plain_text(html: Column) -> Column:
     """What a page shows, block elements on lines of their own; scripts and the head are left out."""
-    shown = F.regexp_replace(F.regexp_replace(html, UNSEEN, " "), r"\s+", " ")
+    shown = F.regexp_replace(F.regexp_replace(html, UNSEEN, " "), SPACES, " ")
     lines = F.regexp_replace(F.regexp_replace(shown, BREAKS, "\n"), TAG, "")
     return squeezed(decoded(lines))
 
