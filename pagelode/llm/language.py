@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +21,10 @@ UNKNOWN = "und"
 MAX_LANGUAGES = 1000
 NO_LETTERS = re.compile(r"[\W\d_]+")
 SIZE_BINS = 32
+#: A floor is a quantile of so many texts at least, where the language has them.
+LEAST_TEXTS = 100
+#: Steps in which cosines are counted for the floors.
+COSINE_STEPS = 1000
 
 
 def gram_counts(text: str | None) -> np.ndarray | None:
@@ -133,7 +138,7 @@ def train(
     Document frequencies cover all rows. Centroids come from a bounded sample: about
     `sample_per_language` texts of each language, those of the smallest hashes, clustered in
     one task per language. A text is rejected below `strictness` times the cosine that 99 of
-    100 sampled texts of its size reach. The model has at most
+    100 labelled texts of its size reach, over all rows. The model has at most
     MAX_LANGUAGES * centroids * DIMENSIONS numbers; more languages are an error. Without any
     labelled text the model knows no language and answers `und`.
     """
@@ -157,34 +162,87 @@ def train(
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         counted = [c for c in map(gram_counts, rows["text"].sort_values()) if c is not None]
         if not counted:
-            return pd.DataFrame({"lang": [], "centre": [], "bins": [], "cosines": []})
+            return pd.DataFrame({"lang": [], "centre": []})
         vectors = np.zeros((len(counted), DIMENSIONS), dtype=np.float32)
         for vector, found in zip(vectors, counted, strict=True):
             places, values = gram_vector(found, idf)
             vector[places] = values
         centres = cluster(vectors, centroids)
-        reached = (vectors @ centres.T).max(axis=1)
-        bins = [size_bin(found) for found in counted]
-        return pd.DataFrame(
-            {
-                "lang": rows["lang"].iloc[0],
-                "centre": list(centres.astype(np.float32)),
-                "bins": [bins] + [[]] * (len(centres) - 1),
-                "cosines": [reached.tolist()] + [[]] * (len(centres) - 1),
-            }
-        )
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "centre": list(centres.astype(np.float32))})
 
-    schema = "lang string, centre array<float>, bins array<int>, cosines array<double>"
+    schema = "lang string, centre array<float>"
     rows = sorted(sample.groupBy("lang").applyInPandas(fit, schema).collect(), key=lambda r: r[0])
+    centres = np.array([row["centre"] for row in rows], dtype=np.float32).reshape(-1, DIMENSIONS)
+    model = LanguageModel([row["lang"] for row in rows], centres, idf, np.zeros(SIZE_BINS))
+    model.floors = size_floors(labelled, model, strictness)
+    return model
+
+
+def size_floors(labelled: DataFrame, model: LanguageModel, strictness: float) -> np.ndarray:
+    """The lowest cosines accepted by size of text, from all rows of `labelled (text, lang)`.
+
+    Each language has a floor for each of its sizes, `strictness` times the first percentile
+    of the cosines to its own centroids; sizes of few texts share one with their neighbours.
+    The lowest language counts. A size without texts has the floor of the next longer one,
+    those beyond the longest text the floor of the longest.
+    """
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[str, list[int]] = defaultdict(list)
+        for i, lang in enumerate(shared.value.languages):
+            own[lang].append(i)
+        centres = {lang: shared.value.centroids[places] for lang, places in own.items()}
+        found: Counter = Counter()
+        for batch in batches:
+            for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
+                counts = gram_counts(text.as_py())
+                if counts is None or lang.as_py() not in centres:
+                    continue
+                places, values = gram_vector(counts, shared.value.idf)
+                cosine = float((centres[lang.as_py()][:, places] @ values).max())
+                step = min(COSINE_STEPS, max(0, int(cosine * COSINE_STEPS)))
+                found[lang.as_py(), size_bin(counts), step] += 1
+        yield pa.RecordBatch.from_pylist(
+            [{"lang": lang, "bin": i, "step": step, "n": n} for (lang, i, step), n in found.items()],
+            pa.schema([("lang", pa.string()), ("bin", pa.int32()), ("step", pa.int32()), ("n", pa.int64())]),
+        )
+
+    def quantiles(rows: pd.DataFrame) -> pd.DataFrame:
+        steps = np.zeros((SIZE_BINS, COSINE_STEPS + 1), dtype=np.int64)
+        np.add.at(steps, (rows["bin"], rows["step"]), rows["n"])
+        groups: list[list[int]] = [[]]
+        for i in np.flatnonzero(steps.sum(axis=1))[::-1]:
+            if steps[groups[-1]].sum() >= LEAST_TEXTS:
+                groups.append([])
+            groups[-1].append(int(i))
+        if len(groups) > 1 and steps[groups[-1]].sum() < LEAST_TEXTS:
+            groups[-2:] = [groups[-2] + groups[-1]]
+        floors = []
+        for group in groups:
+            sums = steps[group].sum(axis=0).cumsum()
+            low = int(np.searchsorted(sums, 0.01 * sums[-1], "right")) / COSINE_STEPS
+            floors += [(i, strictness * low) for i in group]
+        return pd.DataFrame(floors, columns=["bin", "floor"])
+
+    counted = (
+        labelled.mapInArrow(count, "lang string, bin int, step int, n long")
+        .groupBy("lang", "bin", "step")
+        .agg(F.sum("n").alias("n"))
+    )
+    lowest = (
+        counted.groupBy("lang")
+        .applyInPandas(quantiles, "bin int, floor double")
+        .groupBy("bin")
+        .agg(F.min("floor"))
+    )
     floors = np.full(SIZE_BINS, np.inf)
-    for row in rows:
-        bins, cosines = np.array(row["bins"], dtype=int), np.array(row["cosines"])
-        for i in np.unique(bins):
-            floors[i] = min(floors[i], strictness * np.quantile(cosines[bins == i], 0.01))
+    for i, floor in lowest.collect():
+        floors[i] = floor
     floors = np.minimum.accumulate(floors[::-1])[::-1]  # a shorter text may be as far as a longer
-    floors[np.isinf(floors)] = 0.0
-    centres = np.array([row["centre"] for row in rows], dtype=np.float32).reshape(-1, DIMENSIONS)
-    return LanguageModel([row["lang"] for row in rows], centres, idf, floors)
+    known = floors[np.isfinite(floors)]
+    floors[np.isinf(floors)] = known[-1] if len(known) else 0.0
+    return floors
 
 
 def identify(docs: DataFrame, text: Column, model: LanguageModel, name: str = "language") -> DataFrame:

@@ -55,3 +55,11 @@ def test_without_labels_nothing_is_known(spark):
     found = identify(documents(spark), F.col("text"), model)
     assert {(r["lang"], r["score"]) for r in found.select("language.*").collect()} == {(UNKNOWN, 0.0)}
     assert rows(identify(documents(spark, []), F.col("text"), model)) == []
+
+
+def test_foreign_text_longer_than_all_labelled_is_rejected(spark):
+    model = train(labelled(spark))
+    docs = documents(spark, ["漢字仮名交じり文" * 20_000, sample("aa", 7, 30_000)])
+    found = identify(docs, F.col("text"), model).orderBy("doc_id").select("language.rejected").collect()
+    assert [r["rejected"] for r in found] == [True, False]
+    assert model.floors.min() > 0
