@@ -136,8 +136,8 @@ def train(
     """A model from `labelled (text, lang)`; rows with a null in either are not learned from.
 
     Document frequencies cover all rows. Centroids come from a bounded sample: about
-    `sample_per_language` texts of each language, those of the smallest hashes, clustered in
-    one task per language. A text is rejected below `strictness` times the cosine that 99 of
+    `sample_per_language` distinct texts of each language, those of the smallest hashes,
+    clustered in one task per language. A text is rejected below `strictness` times the cosine that 99 of
     100 labelled texts of its size reach, over all rows. The model has at most
     MAX_LANGUAGES * centroids * DIMENSIONS numbers; more languages are an error. Without any
     labelled text the model knows no language and answers `und`.
@@ -145,16 +145,20 @@ def train(
     labelled = labelled.where("lang is not null and text is not null").select("text", "lang")
     total, frequent = document_frequencies(labelled.select("text"))
     idf = np.log((1 + total) / (1 + frequent)) + 1
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    draw = F.xxhash64("text")
+    counts = labelled.groupBy("lang").agg(F.count_distinct(draw).alias("n"))
     sizes = {row["lang"]: row["n"] for row in counts.limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
-    draw = F.xxhash64("text")
+    counts = labelled.sparkSession.createDataFrame(list(sizes.items()), "lang string, n long")
     share = F.lit(float(sample_per_language)) / F.col("n") * 1.2 * float(2**64) - float(2**63)
     sample = (
-        labelled.join(F.broadcast(counts), "lang")
-        .where((F.col("n") <= sample_per_language) | (draw < share))
-        .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(draw)))
+        labelled.withColumn("draw", draw)
+        .join(F.broadcast(counts), "lang")
+        .where((F.col("n") <= sample_per_language) | (F.col("draw") < share))
+        .groupBy("lang", "draw")
+        .agg(F.min("text").alias("text"))  # copies of a text are one place of the sample
+        .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw")))
         .where(F.col("place") <= sample_per_language)
         .select("lang", "text")
     )

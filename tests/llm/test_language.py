@@ -63,3 +63,11 @@ def test_foreign_text_longer_than_all_labelled_is_rejected(spark):
     found = identify(docs, F.col("text"), model).orderBy("doc_id").select("language.rejected").collect()
     assert [r["rejected"] for r in found] == [True, False]
     assert model.floors.min() > 0
+
+
+def test_copies_of_a_text_do_not_fill_the_sample(spark):
+    single = labelled(spark).where("lang = 'aa'")
+    first = single.orderBy(F.xxhash64("text")).select("text").first()[0]
+    copies = spark.createDataFrame([(first, "aa")] * 600, "text string, lang string")
+    models = [train(docs, sample_per_language=100) for docs in (single, single.unionByName(copies))]
+    assert [len(model.centroids) for model in models] == [4, 4]
