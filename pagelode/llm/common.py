@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +55,11 @@ def join_by_key(rows: DataFrame, table: DataFrame, key: str, count: str) -> Data
 def key_of(name: str) -> Column:
     """A column as a join key in which null equals null."""
     return F.struct(F.col(name).isNull().alias("none"), F.col(name).alias("key"))
+
+
+def short_numbers(numbers: np.ndarray) -> np.ndarray:
+    """Whole numbers in the shortest integer type that holds them; Python's integers stay."""
+    if numbers.dtype == object or not numbers.size:
+        return numbers
+    ends = (np.min_scalar_type(int(end)) for end in (min(0, numbers.min()), numbers.max()))
+    return numbers.astype(np.result_type(*ends))

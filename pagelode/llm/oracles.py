@@ -260,3 +260,91 @@ SELECT page_id, record_type, {urn(f"concat_ws({NL}, record_type, refers_to, bloc
        'Content-Type: text/html; charset=utf-8' || chr(10) || length_header AS source_headers, block
 FROM made
 """
+
+
+def _lloyd(rounds: int = 4) -> str:
+    """Assignments and codebooks of each round as tables of their own."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+near{i} AS MATERIALIZED (
+  SELECT n, p, min([CAST(list_sum(list_transform(list_zip(part, entry),
+                     lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), e]) AS best
+  FROM pieces JOIN book{i} USING (p) GROUP BY n, p)""")
+        if i < rounds:
+            steps.append(f"""
+mean{i} AS (
+  SELECT p, e, list(m ORDER BY i) AS entry FROM (
+    SELECT p, e, i, CAST(floor(sum(x)::DOUBLE / count(*)) AS BIGINT) AS m
+    FROM (SELECT p, best[2] AS e, unnest(part) AS x, generate_subscripts(part, 1) AS i
+          FROM pieces JOIN near{i} USING (n, p))
+    GROUP BY p, e, i)
+  GROUP BY p, e),
+book{i + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m.entry, b.entry) AS entry FROM book{i} b LEFT JOIN mean{i} m USING (p, e))""")
+    return ",".join(steps)
+
+
+ORACLES["op12_vector_codes"] = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, v, row_number() OVER (ORDER BY vec_id, v) AS n
+  FROM (SELECT vec_id, label,
+               list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+), pieces AS MATERIALIZED (
+  SELECT n, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS part
+  FROM kept, (SELECT unnest([0, 1, 2, 3]) AS p)
+), book0 AS MATERIALIZED (
+  SELECT p, n - 1 AS e, part AS entry FROM pieces WHERE n <= 256
+), {_lloyd()},
+coded AS (
+  SELECT n, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code,
+         CAST(sum(best[1]) AS BIGINT) AS error
+  FROM near4 GROUP BY n
+), numbers AS (
+  SELECT string_agg(x::VARCHAR, ',' ORDER BY p, e, i) AS all_numbers
+  FROM (SELECT p, e, unnest(entry) AS x, generate_subscripts(entry, 1) AS i FROM book4)
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       sha256(all_numbers) AS codebooks_sha256
+FROM kept JOIN coded USING (n), numbers
+"""
+
+_ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLES["op13_ranked_search"] = f"""
+WITH told AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         {_TERMS.format(_ASCII_LOWER.format("coalesce(text, '')"))} AS ts
+  FROM documents
+), sizes AS (
+  SELECT r, doc_id, len(ts)::BIGINT AS n FROM told WHERE len(ts) > 0
+), whole AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM sizes
+), asked AS MATERIALIZED (
+  SELECT item_id, term, count(*)::BIGINT AS times
+  FROM (SELECT item_id, unnest({_TERMS.format(_ASCII_LOWER.format("coalesce(text, '')"))}) AS term
+        FROM benchmark)
+  GROUP BY item_id, term
+), post AS MATERIALIZED (
+  SELECT r, term, count(*)::BIGINT AS tf
+  FROM (SELECT r, unnest(ts) AS term FROM told) WHERE term IN (SELECT term FROM asked)
+  GROUP BY r, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM post, whole GROUP BY term, docs
+), scored AS (
+  SELECT item_id, r, doc_id,
+         CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT)
+           AS score
+  FROM asked JOIN weights USING (term) JOIN post USING (term) JOIN sizes USING (r), whole
+  GROUP BY item_id, r, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+      FROM scored WHERE score > 0)
+WHERE rank <= 20
+"""

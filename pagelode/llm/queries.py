@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import chat, secrets, warc
+from pagelode.llm import chat, codes, lexical, packing, secrets, warc
+from pagelode.llm.common import stored
 from pagelode.llm.language import identify, train
 from pagelode.llm.leaks import with_items
 from pagelode.llm.licenses import scan_licenses
@@ -190,3 +191,40 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     """The quality score of every document, from the labels of some."""
     scored = score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return scored.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector as four codebook indexes, with its error and that of its label."""
+    found = codes.compress(
+        table(spark, sf, "embeddings"), parts=4, entries=256, rounds=4, scale=1024.0
+    )
+    numbers = (str(x) for book in found.codebooks for entry in book for x in entry)
+    digest = F.sha2(F.lit(",".join(numbers)), 256)
+    digits = F.transform("code", lambda index: F.lower(F.lpad(F.hex(index), 2, "0")))
+    return codes.with_label_error(found.rows).select(
+        F.col("id").alias("vec_id"),
+        F.array_join(digits, "").alias("code"),
+        "error",
+        "label_error",
+        digest.alias("codebooks_sha256"),
+    )
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 documents of the highest scores for every benchmark item."""
+    terms = stored(lexical.item_terms(table(spark, sf, "benchmark")), "item-terms")
+    index = lexical.build(table(spark, sf, "documents"), only=terms)
+    return lexical.search(index, terms, k=20).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op11_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document in pieces of at most 2048 tokens, packed into sequences of 2048."""
+    import public_tokenizers
+
+    pieces = packing.token_pieces(
+        table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048
+    )
+    return packing.pack(stored(pieces, "token-pieces"), capacity=2048).withColumnRenamed("id", "doc_id")

@@ -27,7 +27,7 @@ def db():
 
 def test_all_are_registered():
     names = set(queries())
-    assert all(any(name.startswith(f"op{n}_") for name in names) for n in range(1, 11))
+    assert all(any(name.startswith(f"op{n}_") for name in names) for n in range(1, 14))
     assert "pipeline" in names and QUERIES.keys() | {"pipeline"} <= names
     assert ORACLES.keys() <= oracle_sql().keys()
 
