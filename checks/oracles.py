@@ -191,7 +191,7 @@ final AS (
 # Documents whose bodies were all replaced.
 REPLACED_PAGES = """
 page AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS id, source AS url, '' AS title,
-         reverse(source) || ' ' || text[1:40] AS body FROM documents),
+         reverse(source) || ' ' || text AS body FROM documents),
 event AS (SELECT * FROM page)
 """
 # Documents, and conversations under ids of their own.
@@ -273,6 +273,10 @@ ORACLES: dict[str, str] = {
         DOCUMENT_PAGES, INDEX, asked(ANY_K), SCORES,
         "SELECT qid, id, CAST(bm25_rank AS INTEGER) AS bm25_rank, round(score, 6) AS score FROM pool",
     ),
+    "bm25_pruned": with_(
+        DOCUMENT_PAGES, INDEX, asked(ANY_K), SCORES,
+        "SELECT qid, id, CAST(bm25_rank AS INTEGER) AS bm25_rank, round(score, 6) AS score FROM pool",
+    ),
     "vector_norms": f"""SELECT doc_id, round(sqrt(sum(c * c)), 6) AS norm FROM (
         SELECT doc_id, w, count(*) AS c
         FROM (SELECT doc_id, unnest({words("text")}) AS w FROM documents) GROUP BY ALL)
@@ -328,6 +332,10 @@ ORACLES: dict[str, str] = {
     "extend_cumulative_postings": with_(CUMULATIVE_PAGES, INDEX, ALL_POSTINGS),
     "publish_read_back": f"SELECT {WEB_PAGES}, '' AS title, html AS body FROM pages",
     "stream_onto_index": with_(BOTH_PAGES, INDEX, WITH_STATS),
+    "two_writers": with_(BOTH_PAGES, INDEX, WITH_STATS),
+    "stream_restarted": with_(
+        LATEST_PAGES, INDEX, f"SELECT *, 2 AS failures FROM ({WITH_STATS})"
+    ),
     "stream_cumulative": with_(CUMULATIVE_PAGES, INDEX, WITH_STATS),
     "upsert_cumulative": with_(CUMULATIVE_PAGES, INDEX, ALL_POSTINGS),
     "upsert_cumulative_stats": with_(CUMULATIVE_PAGES, INDEX, WITH_STATS),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -70,6 +71,20 @@ def stored_index(spark: SparkSession, sf: str) -> pl.SearchIndex:
     return pl.open_index(spark, _stored(spark, sf))
 
 
+@functools.cache
+def _extended(spark: SparkSession, sf: str) -> str:
+    path = shared_dir(spark, "index")
+    odd = F.col("id").cast("long") % 2 == 1
+    pl.write_index(documents(spark, sf).filter(odd), path, unique_ids=True)
+    pl.extend_index(documents(spark, sf).filter(~odd), path)
+    return path
+
+
+def extended_index(spark: SparkSession, sf: str) -> pl.SearchIndex:
+    """The same documents in two segments."""
+    return pl.open_index(spark, _extended(spark, sf))
+
+
 # Text functions
 
 
@@ -169,6 +184,22 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def bm25_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """The same scores with documents left out that can't reach a pool, on an index of two segments."""
+    queries = requests_of_any_k(spark, sf).filter(F.col("k") > 0)
+    pool = retrieval.rerank_pool(extended_index(spark, sf), queries, prune_rows=0)
+    return _rounded(pool)
+
+
+def pruning_report(spark: SparkSession, sf: str) -> DataFrame:
+    """For each query its candidates, and how many of them were scored for its pool."""
+    index, queries = stored_index(spark, sf), requests(spark, sf)
+    pruned = retrieval.pruned_scores(index, queries, prune_rows=0)
+    scored = pruned.scored.groupBy("qid").agg(F.count(F.lit(1)).alias("scored"))
+    every = retrieval.candidates(index, queries).groupBy("qid").agg(F.count(F.lit(1)).alias("candidates"))
+    return every.join(scored, "qid", "left")
+
+
 def rerank_pool(spark: SparkSession, sf: str) -> DataFrame:
     queries = requests_of_any_k(spark, sf).filter(F.col("k") > 0)
     return _rounded(retrieval.rerank_pool(stored_index(spark, sf), queries))
@@ -322,7 +353,7 @@ def extend_unordered(spark: SparkSession, sf: str) -> DataFrame:
     """Documents, then the same ids without an order: every body is the new one."""
     path, docs = shared_dir(spark, "unordered"), documents(spark, sf)
     pl.extend_index(docs, path)
-    again = docs.withColumn("body", F.concat(F.reverse("url"), F.lit(" "), F.substring("body", 1, 40)))
+    again = docs.withColumn("body", F.concat(F.reverse("url"), F.lit(" "), "body"))
     return pl.extend_index(again, path).documents.select(*PAGE_FIELDS, "dl")
 
 
@@ -473,6 +504,34 @@ def stream_cumulative(spark: SparkSession, sf: str) -> DataFrame:
     return _with_stats(pl.open_index(spark, path))
 
 
+def stream_restarted(spark: SparkSession, sf: str) -> DataFrame:
+    """The page log from files whose reading fails in the first and the second run."""
+    path, source = shared_dir(spark, "stream"), _log_files(spark, sf, "", 6)
+    runs = iter(range(99))
+
+    def start():
+        number = next(runs)
+        messages = pl.file_messages(spark, source, extra="seq BIGINT", maxFilesPerTrigger="2")
+        broken = F.lit(number < 2) & (F.pmod(F.xxhash64("key"), F.lit(3)) == number)
+        value = F.when(broken, F.raise_error(F.lit("read error")).cast("binary"))
+        messages = messages.withColumn("value", value.otherwise(F.col("value")))
+        return pl.index_stream(messages, path, f"{path}/checkpoint", ["seq"], available_now=True)
+
+    failures = pl.keep_running(start, restarts=5, wait=0.1)
+    return _with_stats(pl.open_index(spark, path)).withColumn("failures", F.lit(failures))
+
+
+def two_writers(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, and the two halves of the page log added by two writers at the same time."""
+    path, log = shared_dir(spark, "writers"), page_log(spark, sf)
+    log = log.withColumn("id", F.concat(F.lit("c"), "id"))
+    pl.write_index(documents(spark, sf), path)
+    halves = [log.filter((F.col("title") == "user") == user) for user in (True, False)]
+    with ThreadPoolExecutor(2) as writers:
+        list(writers.map(lambda pages: pl.extend_index(pages, path), halves))
+    return _with_stats(pl.open_index(spark, path))
+
+
 def publish_read_back(spark: SparkSession, sf: str) -> DataFrame:
     """Web pages published to files, and read back as a stream of messages."""
     topic, out = shared_dir(spark, "topic"), shared_dir(spark, "pages")
@@ -539,6 +598,8 @@ QUERIES: dict[str, Query] = {
         candidates,
         bm25_scores,
         bm25_topk,
+        bm25_pruned,
+        pruning_report,
         rerank_pool,
         vector_norms,
         bow_vectors,
@@ -569,6 +630,8 @@ QUERIES: dict[str, Query] = {
         publish_read_back,
         stream_onto_index,
         stream_cumulative,
+        stream_restarted,
+        two_writers,
         stream_index,
         stream_search,
         stream_rejects,

@@ -17,7 +17,7 @@ from pagelode.sources.messages import (
     publish,
 )
 from pagelode.sources.pages import as_pages, as_queries
-from pagelode.streaming.indexing import index_stream, refresh_index
+from pagelode.streaming.indexing import index_stream, keep_running, refresh_index
 
 __all__ = [
     "SearchIndex",
@@ -32,6 +32,7 @@ __all__ = [
     "file_messages",
     "index_stream",
     "kafka_messages",
+    "keep_running",
     "open_index",
     "publish",
     "refresh_index",

@@ -24,15 +24,16 @@ from pyspark.sql import functions as F
 from pagelode.functions import scoring
 from pagelode.functions.text import indexed_text, tokens, value_counts
 from pagelode.schemas import PAGE_FIELDS
-from pagelode.session import has_at_most
+from pagelode.session import fits
 
 MODES = ("latest", "cumulative")
 TERMS_TYPE = "array<struct<term:string,tf:bigint,adds:bigint,added_tf:bigint>>"
 
 # Most terms to put into a filter as literals.
 LITERAL_TERMS = 1000
-# Most terms to broadcast to the document frequencies.
+# Most terms to broadcast to the document frequencies, and their most bytes.
 BROADCAST_TERMS = 1_000_000
+BROADCAST_TERM_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,9 @@ class Part:
 class SearchIndex:
     """The tables of one immutable index version, or plans that derive them.
 
-    `num_shards` is set for a stored index, whose documents carry a `shard` column.
+    `num_shards` is set for a stored index, whose documents carry a `shard` column, and so are
+    `id_bytes`, the bytes of the longest id, and `deltas`, (term, df, top_tf, low_dl) of each
+    segment: what it adds to a frequency, and the highest tf and the lowest dl of its postings.
     """
 
     parts: tuple[Part, ...]
@@ -60,6 +63,8 @@ class SearchIndex:
     corpus_stats: DataFrame
     num_shards: int | None = None
     version: int | None = None
+    id_bytes: int | None = None
+    deltas: DataFrame | None = None
 
     @property
     def documents(self) -> DataFrame:
@@ -81,9 +86,28 @@ class SearchIndex:
             return self
         wanted = F.col("term").isin(list(terms))
         return replace(
-            self, postings=self.postings.filter(wanted), doc_freq=self.doc_freq.filter(wanted)
+            self,
+            postings=self.postings.filter(wanted),
+            doc_freq=self.doc_freq.filter(wanted),
+            deltas=None if self.deltas is None else self.deltas.filter(wanted),
         )
 
+    def frequencies(self, terms: DataFrame | None = None) -> DataFrame:
+        """(term, df, top_tf, low_dl), the last two null where they are not known; with `terms`,
+        few enough for a broadcast, of those alone, which are picked before segments are added up."""
+        if self.deltas is None:
+            unknown = F.lit(None).cast("bigint")
+            known = self.doc_freq.select("term", "df", unknown.alias("top_tf"), unknown.alias("low_dl"))
+            return known if terms is None else known.join(F.broadcast(terms), "term", "left_semi")
+        known = self.deltas
+        if terms is not None:
+            known = known.join(F.broadcast(terms), "term", "left_semi")
+        if len(self.parts) > 1:
+            known = known.groupBy("term").agg(
+                F.sum("df").alias("df"), F.max("top_tf").alias("top_tf"), F.min("low_dl").alias("low_dl")
+            )
+        return known.filter(F.col("df") > 0)
+
 
 def shard_of(id: str | Column, num_shards: int) -> Column:
     """Shard of a document; the same placement as Spark's hash partitioning and buckets."""
@@ -308,10 +332,8 @@ def check_mode(mode: str) -> None:
 def term_stats(index: SearchIndex, terms: DataFrame) -> DataFrame:
     """Document frequency and idf of the given terms; unseen terms count as seen once."""
     terms = terms.select("term").distinct()
-    known = index.doc_freq
-    if has_at_most(terms, BROADCAST_TERMS):
-        # Leaves of the vocabulary only what is asked for, before it would be shuffled.
-        known = known.join(F.broadcast(terms), "term", "left_semi")
+    few = fits(terms, ["term"], BROADCAST_TERMS, BROADCAST_TERM_BYTES)
+    known = index.frequencies(terms if few else None).select("term", "df")
     stats = index.corpus_stats.select("n").scalar()
     return terms.join(known, "term", "left").select(
         "term",

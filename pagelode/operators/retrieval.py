@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelode.functions import scoring
@@ -18,6 +18,9 @@ from pagelode.session import shared_dir, shuffle_partitions
 BROADCAST_QUERY_BYTES = 4 << 20
 BROADCAST_ROWS = 200_000
 BROADCAST_WORDS = 1_000_000
+BROADCAST_POOL_BYTES = 64 << 20
+# Bytes of an id where the index does not tell.
+ID_BYTES = 64
 # Most broadcasts, one after the other, that a batch or a pool is cut into.
 MAX_PARTS = 64
 
@@ -25,6 +28,13 @@ MAX_PARTS = 64
 # one term per share, so the table of hot terms has a bound whatever the corpus.
 HOT_TERM_SHARE = 1e-4
 
+# From so many matching postings on, scores that can't reach a pool are left out.
+PRUNE_ROWS = 20_000_000
+# The terms that give the first bound have at least so many documents for each place of the pool.
+LEAD = 4
+# By how much sums of doubles in another order may differ, and ranks be told apart.
+SLACK = 1e-6
+
 
 @dataclass(frozen=True)
 class BatchSize:
@@ -35,6 +45,8 @@ class BatchSize:
     max_k: int
     pool_rows: int
     pool_words: int
+    pool_bytes: int
+    classes: tuple[int, ...]
 
     @property
     def max_pool(self) -> int:
@@ -53,27 +65,38 @@ class BatchSize:
 
     @property
     def broadcast_pool(self) -> bool:
-        return self.pool_rows <= BROADCAST_ROWS
+        """Whether the pools are few rows, also with the ids and the queries."""
+        return self.pool_rows <= BROADCAST_ROWS and self.pool_bytes <= BROADCAST_POOL_BYTES
 
     @property
     def broadcast_pool_words(self) -> bool:
         """Whether the words of every query, once per document of its pool, are few."""
-        return self.pool_words <= BROADCAST_WORDS
+        return self.pool_words <= BROADCAST_WORDS and self.pool_bytes <= BROADCAST_POOL_BYTES
 
 
-def measure(queries: DataFrame) -> BatchSize:
+def measure(queries: DataFrame, index: SearchIndex | None = None) -> BatchSize:
     """One pass over the queries that brings their totals to the driver."""
     pool = scoring.pool_size(F.col("k")).cast("bigint")
+    known = index.id_bytes if index is not None else None
+    id_bytes = ID_BYTES if known is None else known
+    octets = F.octet_length("query")
     row = queries.agg(
         F.count(F.lit(1)).alias("queries"),
-        F.coalesce(F.sum(F.octet_length("query")), F.lit(0)).alias("text_bytes"),
+        F.coalesce(F.sum(octets), F.lit(0)).alias("text_bytes"),
         F.coalesce(F.max("k"), F.lit(0)).alias("max_k"),
         F.coalesce(F.sum(pool), F.lit(0)).alias("pool_rows"),
         F.coalesce(F.sum(pool * F.size(whitespace_tokens(F.col("query")))), F.lit(0)).alias(
             "pool_words"
         ),
+        F.coalesce(F.sum(pool * (octets + id_bytes + 32)), F.lit(0)).alias("pool_bytes"),
+        F.collect_set(pool_class()).alias("classes"),
     ).first()
-    return BatchSize(*row)
+    return BatchSize(*row[:-1], tuple(sorted(row[-1])))
+
+
+def pool_class() -> Column:
+    """Queries whose pools are alike in size, within a factor of four."""
+    return F.ceil(F.log2(scoring.pool_size(F.col("k")).cast("double")) / 2).cast("int")
 
 
 def part_count(*sizes: tuple[int, int]) -> int:
@@ -97,8 +120,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def candidates(index: SearchIndex, queries: DataFrame, size: BatchSize | None = None) -> DataFrame:
     """(qid, id) of every document with at least one term of the query."""
     size = size or measure(queries)
-    terms = query_terms(queries).join(index.doc_freq, "term")
-    return _matches(index, terms, size).select("qid", "id").distinct()
+    return _matches(index, _weighed(index, queries, size), size).select("qid", "id").distinct()
 
 
 def bm25_scores(
@@ -114,20 +136,170 @@ def bm25_scores(
     only add their own arithmetic. A term that a query repeats counts each time.
     """
     size = size or measure(queries)
+    return _scored(index, _weighed(index, queries, size), size, k1, b)
+
+
+def _weighed(index: SearchIndex, queries: DataFrame, size: BatchSize) -> DataFrame:
+    """(qid, term, qtf, df, top_tf, low_dl, idf, avgdl) of the query terms that the index has."""
     n = index.corpus_stats.select("n").scalar()
     avgdl = index.corpus_stats.select("avgdl").scalar()
-    terms = (
-        small(query_terms(queries), size.broadcast_queries)
-        .join(index.doc_freq, "term")
+    asked = query_terms(queries)
+    few = asked.select("term").distinct() if len(index.parts) > 1 and size.broadcast_queries else None
+    return (
+        small(asked, size.broadcast_queries)
+        .join(index.frequencies(few), "term")
         .withColumn("idf", scoring.idf(n, F.col("df")))
         .withColumn("avgdl", avgdl)
     )
+
+
+def _scored(
+    index: SearchIndex, terms: DataFrame, size: BatchSize, k1: float, b: float
+) -> DataFrame:
+    """(qid, id, score): what the given terms of each query add up to in each document."""
     score = F.col("qtf") * scoring.term_score(
         F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b
     )
     return _matches(index, terms, size).groupBy("qid", "id").agg(F.sum(score).alias("score"))
 
 
+@dataclass(frozen=True)
+class Pruned:
+    """`scores` (qid, id, score), exact, of all documents that can be in a pool; `scored` are the
+    pairs of a query and a document that were scored for it; None if all were."""
+
+    scores: DataFrame
+    scored: DataFrame | None = None
+
+
+def pruned_scores(
+    index: SearchIndex,
+    queries: DataFrame,
+    size: BatchSize | None = None,
+    k1: float = scoring.K1,
+    b: float = scoring.B,
+    prune_rows: int | None = None,
+) -> Pruned:
+    """Scores of the documents that can be among the best max(20, k) of their query.
+
+    The rarest terms of a query are scored first; the score at the end of the pool among
+    their documents is a bound that pool members reach. Terms in the order of the most they
+    can add (by the highest tf and the lowest dl of any posting) then fall in two: once all
+    from some term on together stay below the bound, a document that has only those can be
+    left out. So only documents of the terms before are scored; those that can still
+    reach the bound, raised by their own scores, look up the frequent terms by (id, term).
+
+    Batches with fewer matching postings than `prune_rows` are scored whole.
+    """
+    size = size or measure(queries, index)
+    prune_rows = PRUNE_ROWS if prune_rows is None else prune_rows
+    terms = _weighed(index, queries, size)
+    if not (k1 >= 0 and 0 <= b <= 1):
+        return Pruned(_scored(index, terms, size, k1, b))
+    pools = queries.select("qid", scoring.pool_size(F.col("k")).alias("pool"))
+    terms = _settle(index, _with_bounds(terms, k1, b).join(small(pools, size.broadcast_queries), "qid"))
+    matching = terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    if matching < prune_rows:
+        return Pruned(_scored(index, terms.select(*TERM_COLUMNS), size, k1, b))
+
+    rare = Window.partitionBy("qid").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("df").over(rare), F.lit(0))
+    leading = terms.withColumn("_before", before).filter(F.col("_before") < LEAD * F.col("pool"))
+    first = _scored(index, leading.select(*TERM_COLUMNS), size, k1, b)
+    below = terms.groupBy("qid").agg(F.first("pool").alias("pool"), F.sum("least").alias("least"))
+    bounds = _settle(index, _pool_ends(index, first, below, size))
+
+    most = Window.partitionBy("qid").orderBy(F.desc("most"), "term")
+    rest = F.sum("most").over(most.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    parted = terms.join(small(bounds.select("qid", "bound"), size.broadcast_queries), "qid")
+    parted = parted.withColumn("_needed", rest >= F.col("bound") - SLACK)
+    needed = _settle(index, parted.filter("_needed").select(*TERM_COLUMNS))
+    others = _settle(index, parted.filter("not _needed").select(*TERM_COLUMNS, "most"))
+    more = others.groupBy("qid").agg(F.sum("most").alias("more"))
+    bounds = _settle(
+        index, bounds.join(more, "qid", "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
+    )
+
+    scored = _scored(index, needed, size, k1, b)
+    known = small(bounds.select("qid", "bound", "more"), size.broadcast_queries)
+    near = scored.join(known, "qid").filter(F.col("score") + F.col("more") >= F.col("bound") - SLACK)
+    near = _settle(index, near.select("qid", "id", "score", "more"))
+    raised = _pool_ends(index, near.select("qid", "id", "score"), bounds.select("qid", "pool", "least"), size)
+    raised = small(raised.select("qid", "bound"), size.broadcast_queries)
+    left = near.join(raised, "qid").filter(F.col("score") + F.col("more") >= F.col("bound") - SLACK)
+    left = _settle(index, left.select("qid", "id", "score"))
+    return Pruned(_looked_up(index, left, others, size, k1, b), scored.select("qid", "id"))
+
+
+TERM_COLUMNS = ("qid", "term", "qtf", "df", "idf", "avgdl")
+
+
+def _with_bounds(terms: DataFrame, k1: float, b: float) -> DataFrame:
+    """Add the `most` and the `least` that a term can add to the score of a document."""
+    ceiling = F.col("idf") * (k1 + 1.0)
+    told = scoring.term_score(F.col("idf"), F.col("top_tf"), F.col("low_dl"), F.col("avgdl"), k1, b)
+    most = F.least(ceiling, told)  # nulls are skipped
+    return terms.select(
+        *TERM_COLUMNS,
+        (F.col("qtf") * F.greatest(most, F.lit(0.0))).alias("most"),
+        (F.col("qtf") * F.least(ceiling, F.lit(0.0))).alias("least"),
+    )
+
+
+def _pool_ends(
+    index: SearchIndex, scored: DataFrame, pools: DataFrame, size: BatchSize
+) -> DataFrame:
+    """`pools` (qid, pool, least) with the bound that the last score of each pool gives; without
+    a full pool there is none, and all documents are above it."""
+    best = top_per_key(
+        scored, "qid", score_order(), size.max_pool, "_place", feeding_tasks(index, size)
+    )
+    pools = small(pools, size.broadcast_queries)
+    last = best.join(pools.select("qid", "pool"), "qid").filter(F.col("_place") == F.col("pool"))
+    ends = last.select("qid", F.col("score").alias("_end"))
+    bound = F.coalesce(F.col("_end") + F.col("least"), F.lit(float("-inf")))
+    return pools.join(small(ends, size.broadcast_queries), "qid", "left").select(
+        "qid", "pool", "least", bound.alias("bound")
+    )
+
+
+def _looked_up(
+    index: SearchIndex, left: DataFrame, others: DataFrame, size: BatchSize, k1: float, b: float
+) -> DataFrame:
+    """Add to scores what the other terms of the query give the same documents."""
+    asked = left.select("qid", "id").join(
+        small(others.select(*TERM_COLUMNS), size.broadcast_queries), "qid"
+    )
+    asked = _settle(index, asked)
+    octets = F.coalesce(F.sum(F.octet_length("id") + F.octet_length("term") + 64), F.lit(0))
+    rows, total = asked.agg(F.count(F.lit(1)), octets).first()
+    if not rows:
+        return left
+    parts = part_count((rows, 5 * BROADCAST_ROWS), (total, BROADCAST_POOL_BYTES))
+    if parts:
+        part = F.pmod(F.xxhash64("id"), F.lit(parts))
+        found = functools.reduce(
+            DataFrame.unionByName,
+            [
+                index.postings.join(F.broadcast(asked.filter(part == number)), ["id", "term"])
+                for number in range(parts)
+            ],
+        )
+    else:
+        found = index.postings.join(asked, ["id", "term"])
+    score = F.col("qtf") * scoring.term_score(
+        F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b
+    )
+    found = found.select("qid", "id", score.alias("score")).unionByName(left)
+    return found.groupBy("qid", "id").agg(F.sum("score").alias("score"))
+
+
+def _settle(index: SearchIndex, rows: DataFrame) -> DataFrame:
+    path = shared_dir(index.spark, "pruning")
+    rows.write.parquet(path)
+    return index.spark.read.schema(rows.schema).parquet(path)
+
+
 def _matches(index: SearchIndex, terms: DataFrame, size: BatchSize) -> DataFrame:
     """Postings of the query terms; `terms` has term and df."""
     if size.broadcast_queries:
@@ -171,13 +343,27 @@ def score_order(*first: Column) -> list[Column]:
 
 
 def rerank_pool(
-    index: SearchIndex, queries: DataFrame, size: BatchSize | None = None, **bm25: float
+    index: SearchIndex,
+    queries: DataFrame,
+    size: BatchSize | None = None,
+    prune_rows: int | None = None,
+    **bm25: float,
 ) -> DataFrame:
-    """(qid, id, score, bm25_rank): the best max(20, k) candidates of each query."""
-    size = size or measure(queries)
-    scored = bm25_scores(index, queries, size, **bm25)
+    """(qid, id, score, bm25_rank): the best max(20, k) candidates of each query.
+
+    Queries are cut by the size of their pools, so that one of a large k does not make the
+    others keep as many rows.
+    """
+    size = size or measure(queries, index)
+    if len(size.classes) > 1:
+        pools = []
+        for number in size.classes:
+            own = queries.filter(pool_class() == number)
+            pools.append(rerank_pool(index, own, measure(own, index), prune_rows, **bm25))
+        return functools.reduce(DataFrame.unionByName, pools)
+    scored = pruned_scores(index, queries, size, prune_rows=prune_rows, **bm25).scores
     best = top_per_key(
-        scored, "qid", score_order(), size.max_pool, "bm25_rank", feeding_tasks(index)
+        scored, "qid", score_order(), size.max_pool, "bm25_rank", feeding_tasks(index, size)
     )
     wanted = queries.select("qid", scoring.pool_size(F.col("k")).alias("_pool"))
     return (
@@ -187,5 +373,8 @@ def rerank_pool(
     )
 
 
-def feeding_tasks(index: SearchIndex) -> int:
-    return index.num_shards or shuffle_partitions(index.spark)
+def feeding_tasks(index: SearchIndex, size: BatchSize) -> int:
+    """Tasks that score documents: a task per shard where postings lie, else those of a shuffle."""
+    if index.num_shards and size.query_parts:
+        return index.num_shards
+    return shuffle_partitions(index.spark)

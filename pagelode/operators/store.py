@@ -1,24 +1,25 @@
 """Storing, opening and extending an index.
 
-    <path>/manifest/                         one row per complete version
+    <path>/manifest/N.json                   one file per complete version
     <path>/version=M-.../documents           partitioned by shard, a hash of the id
     <path>/version=M-.../postings            bucketed by id, sorted by term
     <path>/version=M-.../replaced            ids that earlier segments have too
-    <path>/version=M-.../doc_freq            of the whole version
-    <path>/version=M-.../corpus_stats        of the whole version
+    <path>/version=M-.../doc_freq            what the segment adds to document frequencies
 
-A version lies in a folder of its own and counts once its manifest row is written,
-last of all: readers see a whole version or none of it, and a build that fails leaves
-the one before in place. Each table is derived from stored ones, so a lost executor
-costs its tasks and no earlier step. There may be one writer at a time; a second one
-fails instead of hiding the first.
+A version lies in a folder of its own and counts once its manifest file is there, last of
+all: readers see a whole version or none of it, and a build that fails leaves the one
+before in place. Each table is derived from stored ones, so a lost executor costs its
+tasks and no earlier step. A manifest file is only ever created, never overwritten: of two
+writers of one version the second finds it taken, and adds its pages to the other's version.
 
 A version consists of segments: the folder of a full build, and one more for each
 extension since. Documents that a later segment replaced are left out when reading.
 Where segments become many, the last ones are merged with each other.
 
 Documents carry their terms with what each adds to the statistics, in a column that
-searches don't read. What a replaced document leaves behind is known from its row.
+searches don't read. What a replaced document leaves behind is known from its row. So a
+segment has signed differences of document frequencies, which are added up for the terms
+that are asked for; number and length of the documents are in the manifest.
 """
 
 from __future__ import annotations
@@ -26,11 +27,14 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
+import re
 import uuid
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import asdict, dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +43,6 @@ from pagelode.operators.index import (
     SearchIndex,
     analysed,
     check_mode,
-    corpus_statistics,
     document_frequency,
     gathered_terms,
     shard_of,
@@ -48,13 +51,7 @@ from pagelode.operators.index import (
     with_length,
     with_version,
 )
-from pagelode.schemas import (
-    CORPUS_STATS_DDL,
-    DOC_FREQ_DDL,
-    MANIFEST_DDL,
-    POSTINGS_DDL,
-    REPLACED_DDL,
-)
+from pagelode.schemas import DOC_FREQ_DDL, POSTINGS_DDL, REPLACED_DDL
 from pagelode.session import shuffle_partitions
 
 # Most ids to broadcast, and their most bytes.
@@ -64,15 +61,37 @@ BROADCAST_ID_BYTES = 32 << 20
 LITERAL_IDS = 1000
 # Segments that an extension may leave.
 MAX_SEGMENTS = 16
+# How often an extension starts again because another writer was first.
+COMMIT_ATTEMPTS = 20
 
 
 @dataclass(frozen=True)
 class Segment:
+    """A folder of stored tables; `n` and `total_len` are what it adds to those of the index."""
+
     folder: str
     replaced: int
     rows: int
+    n: int
+    total_len: int
+    id_bytes: int
     schema: str
 
+    @property
+    def version_type(self) -> T.DataType:
+        return T.StructType.fromJson(json.loads(self.schema))["version"].dataType
+
+
+@dataclass(frozen=True)
+class Entry:
+    """One version, as its manifest file has it."""
+
+    version: int
+    mode: str
+    num_shards: int
+    applied: dict[str, int]
+    segments: list[Segment]
+
 
 def write_index(
     pages: DataFrame,
@@ -84,14 +103,28 @@ def write_index(
 ) -> SearchIndex:
     """Build an index, see `build_index`, and store it as the next version under `path`.
 
-    `num_shards` defaults to the number of shuffle partitions, which makes the
-    shuffle that resolves versions also the one that lays out the documents.
+    It replaces what other writers have added meanwhile. `num_shards` defaults to the number
+    of shuffle partitions, which makes the shuffle that resolves versions also the one that
+    lays out the documents.
     """
     check_mode(mode)
     spark = pages.sparkSession
+    segment, num_shards = _built(pages, path, mode, num_shards, unique_ids)
+    while True:
+        version = _newest(spark, path) + 1
+        entry = Entry(version, mode, num_shards, applied or {}, [segment])
+        if _commit(spark, path, entry):
+            return _opened(spark, path, entry)
+
+
+def _built(
+    pages: DataFrame, path: str, mode: str, num_shards: int | None, unique_ids: bool = False
+) -> tuple[Segment, int]:
+    """A full build in a folder of its own, which nothing names yet."""
+    spark = pages.sparkSession
     partitions = shuffle_partitions(spark)
     num_shards = num_shards or partitions
-    version, folder, root = _next_version(spark, path)
+    folder, root = _next_folder(spark, path)
 
     latest = analysed(with_version(pages), mode, unique_ids)
     if unique_ids or num_shards != partitions:
@@ -100,12 +133,9 @@ def write_index(
     # A scan of the documents reads whole shards or parts of them, so the postings
     # are in place already.
     postings = _write_postings(term_postings(documents), root, num_shards)
-
-    stats = corpus_statistics(documents, postings if mode == "cumulative" else None)
-    _write_statistics(document_frequency(postings), stats, root)
-    segments = [Segment(folder, 0, documents.count(), documents.schema.json())]
-    _write_manifest(spark, path, version, folder, mode, num_shards, applied or {}, segments)
-    return open_index(spark, path, version)
+    _write_doc_freq(with_bounds(document_frequency(postings), postings), root)
+    rows, total_len, id_bytes = _size(documents)
+    return Segment(folder, 0, rows, rows, total_len, id_bytes, documents.schema.json()), num_shards
 
 
 def extend_index(
@@ -119,107 +149,152 @@ def extend_index(
     """Add pages to the newest version as the next one, or start an index with them.
 
     Only the given pages are analysed and written, as a further segment. Of the index so
-    far, the rows of the same ids are read, and the vocabulary. A page that has no `seq`,
+    far, ids and versions are read to find the same ids, and then the rows of those:
+    their terms, and in mode `cumulative` the rest. A page that has no `seq`,
     or whose indexed version has none or one of another type, replaces the indexed one:
     calls count in their order. Otherwise the newer `seq` stays, so adding the same pages
     again changes nothing in mode `latest`. In mode `cumulative` every version counts
     again for the statistics; `applied` names what has been added (a stream's last batch),
-    so that a stream does not repeat it.
+    so that a stream does not repeat it: if the newest version has all that, it stays.
 
-    With more than `max_segments` segments, the last ones are merged: those of like size,
-    and as many as it takes. Merging reads stored segments only, so no page is lost
-    whatever way it came in, and the number of shards stays.
+    If another writer makes the next version first, the pages are added to that one, so
+    both are in the end visible. With more than `max_segments` segments, the last ones are merged:
+    those of like size, and as many as it takes. Merging reads stored segments only, so no
+    page is lost whatever way it came in, and the number of shards stays.
     """
     spark = pages.sparkSession
-    entry = _manifest_entry(spark, path)
-    if entry is None:
-        return write_index(pages, path, mode or "latest", num_shards, applied=applied)
-    if mode not in (None, entry.mode):
-        raise ValueError(f"the index is in mode {entry.mode!r}, not {mode!r}")
-    base = _opened(spark, path, entry)
-    num_shards = entry.num_shards
-    version, folder, root = _next_version(spark, path)
-
-    scratch = f"{root}/scratch"
-    incoming = _stored(
-        analysed(with_version(pages), entry.mode).withColumn("shard", shard_of("id", num_shards)),
-        f"{scratch}/incoming",
-    )
-    known = _stored(_same_ids(spark, path, entry, incoming), f"{scratch}/known")
+    scratch = f"{path}/scratch-{uuid.uuid4().hex[:12]}"
+    incoming, made_for, started = None, None, None
+    try:
+        for _ in range(COMMIT_ATTEMPTS):
+            entry = _manifest_entry(spark, path)
+            if entry is None:
+                mode = mode or "latest"
+                check_mode(mode)
+                started = started or _built(pages, path, mode, num_shards)
+                new = Entry(1, mode, started[1], applied or {}, [started[0]])
+                if _commit(spark, path, new):
+                    return _opened(spark, path, new)
+                continue
+            if mode not in (None, entry.mode):
+                raise ValueError(f"the index is in mode {entry.mode!r}, not {mode!r}")
+            if applied and all(entry.applied.get(key, -1) >= last for key, last in applied.items()):
+                return _opened(spark, path, entry)
+            if made_for != (entry.mode, entry.num_shards):
+                made_for = entry.mode, entry.num_shards
+                incoming = _stored(
+                    analysed(with_version(pages), entry.mode).withColumn(
+                        "shard", shard_of("id", entry.num_shards)
+                    ),
+                    f"{scratch}/incoming-{uuid.uuid4().hex[:6]}",
+                )
+            folder, root = _next_folder(spark, path)
+            segment = _extension(spark, path, entry, incoming, folder, scratch)
+            segments = [*entry.segments, segment]
+            if max_segments and len(segments) > max_segments:
+                segments = _merged(
+                    spark, path, segments, entry.num_shards, f"{folder}/merged", max_segments
+                )
+            new = Entry(
+                entry.version + 1,
+                entry.mode,
+                entry.num_shards,
+                {**entry.applied, **(applied or {})},
+                segments,
+            )
+            if _commit(spark, path, new):
+                return _opened(spark, path, new)
+            _delete(spark, root)
+        raise RuntimeError(f"other writers were first {COMMIT_ATTEMPTS} times under {path}")
+    finally:
+        _delete(spark, scratch)
+
+
+def _extension(
+    spark: SparkSession, path: str, entry: Entry, incoming: DataFrame, folder: str, scratch: str
+) -> Segment:
+    """The segment that adds analysed pages to a version."""
+    root = f"{path}/{folder}"
+    met, known = _same_ids(spark, path, entry, incoming, f"{scratch}/{folder}")
     if entry.mode == "latest":
-        keys, bytes_ = _count(known.filter(~F.col("newer")))
-        outdated = _small(known.filter(~F.col("newer")).select("id"), keys, bytes_)
-        fresh = incoming.join(outdated, "id", "left_anti").drop("shard")
-        gone = known.filter("newer")
+        outdated = met.filter(~F.col("newer")).select("id")
+        fresh = incoming.join(_small(outdated, *_count(outdated)), "id", "left_anti").drop("shard")
     else:
-        fresh, gone = _added(incoming, known), known
-    documents = _write_documents(fresh.repartition(num_shards, "id"), root, num_shards)
-    postings = _write_postings(term_postings(documents), root, num_shards)
-    replaced = _stored(gone.select("id"), f"{root}/replaced")
-    replaced_rows = replaced.count()
-
-    change = document_frequency(postings).unionByName(
-        gone.select(F.inline("terms")).groupBy("term").agg((-F.sum("adds")).alias("df"))
+        fresh = _added(incoming, known)
+    documents = _write_documents(fresh.repartition(entry.num_shards, "id"), root, entry.num_shards)
+    postings = _write_postings(term_postings(documents), root, entry.num_shards)
+    replaced = _stored(known.select("id"), f"{root}/replaced")
+    taken = known.select(F.inline("terms")).groupBy("term").agg((-F.sum("adds")).alias("df"))
+    change = document_frequency(postings).unionByName(taken)
+    change = change.groupBy("term").agg(F.sum("df").alias("df"))
+    _write_doc_freq(with_bounds(change, postings), root)
+    rows, total_len, id_bytes = _size(documents)
+    gone, gone_len, _ = _size(known)
+    return Segment(
+        folder, replaced.count(), rows, rows - gone, total_len - gone_len, id_bytes, documents.schema.json()
     )
-    doc_freq = (
-        base.doc_freq.unionByName(change)
-        .groupBy("term")
-        .agg(F.sum("df").alias("df"))
-        .filter(F.col("df") > 0)
-    )
-    stats = (
-        base.corpus_stats.select("n", "total_len")
-        .unionByName(_size(documents, 1))
-        .unionByName(_size(gone, -1))
-        .agg(F.sum("n").alias("n"), F.sum("total_len").alias("total_len"))
-    )
-    _write_statistics(doc_freq, with_average(stats), root)
-    segments = [
-        *_segments(entry),
-        Segment(folder, replaced_rows, documents.count(), documents.schema.json()),
-    ]
-    if max_segments and len(segments) > max_segments:
-        segments = _merged(spark, path, segments, num_shards, f"{folder}/merged", max_segments)
-    applied = {**(entry.applied or {}), **(applied or {})}
-    _write_manifest(spark, path, version, folder, entry.mode, num_shards, applied, segments)
-    _delete(spark, scratch)
-    return open_index(spark, path, version)
-
-
-def _same_ids(spark: SparkSession, path: str, entry: Row, incoming: DataFrame) -> DataFrame:
-    """The indexed rows of incoming ids, and whether the incoming page is `newer`."""
+
+
+def _same_ids(
+    spark: SparkSession, path: str, entry: Entry, incoming: DataFrame, scratch: str
+) -> tuple[DataFrame, DataFrame]:
+    """`met` (id, newer): which incoming ids the index has, and whether the incoming page is
+    newer; and `known`, the indexed rows whose place the extension takes.
+
+    The first pass reads shard, id and version. What the extension takes the place of, newer ids in mode
+    `latest` and all in mode `cumulative`, is then read from the parts that have it: few
+    ids as literals, which select row groups by their bounds and Bloom filters, many by a join
+    that selects shards. Bodies are read in mode `cumulative` only.
+    """
     keys = incoming.select("shard", "id", F.col("version").alias("incoming"))
     rows, size = _count(keys)
     literals = keys.select("shard", "id").collect() if rows <= LITERAL_IDS else None
     kind = incoming.schema["version"].dataType
-    found = []
-    for part in _parts(spark, path, entry):
-        documents = part.documents
-        if literals is not None:
-            shards, ids = ({row[name] for row in literals} for name in ("shard", "id"))
-            documents = documents.filter(F.col("shard").isin(shards) & F.col("id").isin(ids))
-        same = documents.schema["version"].dataType == kind
+    parts = _parts(spark, path, entry)
+    narrow = []
+    for number, part in enumerate(parts):
+        documents = _with_ids(part.documents.select("shard", "id", "version"), literals)
         newer = F.lit(True)
-        if same:
+        if documents.schema["version"].dataType == kind:
             newer = (
                 F.col("version.seq").isNull()
                 | F.col("incoming.seq").isNull()
                 | (F.col("incoming") > F.col("version"))
             )
-        rows_of = part.live(documents).join(_small(keys, rows, size), ["shard", "id"])
-        found.append(
-            rows_of.select(
-                "id",
-                "url",
-                "title",
-                "body",
-                _as_version(F.col("version"), same, kind).alias("version"),
-                "dl",
-                "terms",
-                newer.alias("newer"),
-            )
-        )
-    return functools.reduce(DataFrame.unionByName, found)
+        same = part.live(documents).join(_small(keys, rows, size), ["shard", "id"])
+        narrow.append(same.select(F.lit(number).alias("part"), "shard", "id", newer.alias("newer")))
+    met = _stored(functools.reduce(DataFrame.unionByName, narrow), f"{scratch}/met")
+    wanted = met if entry.mode == "cumulative" else met.filter("newer")
+    there = {row["part"]: row["count"] for row in wanted.groupBy("part").count().collect()}
+    more = ["url", "title", "body", "dl"] if entry.mode == "cumulative" else []
+    wide = []
+    for number, part in enumerate(parts):
+        if number not in there:
+            continue
+        own = wanted.filter(F.col("part") == number).select("shard", "id", "newer")
+        few = own.collect() if there[number] <= LITERAL_IDS else None
+        documents = _with_ids(part.documents.select("shard", "id", "version", "terms", *more), few)
+        same = documents.schema["version"].dataType == kind
+        version = _as_version(F.col("version"), same, kind).alias("version")
+        found = documents.join(_small(own, *_count(own)), ["shard", "id"])
+        wide.append(found.select("id", version, "terms", "newer", *more))
+    if wide:
+        return met, _stored(functools.reduce(DataFrame.unionByName, wide), f"{scratch}/known")
+    schema = T.StructType([incoming.schema[n] for n in ("id", "version", "terms", *more)])
+    return met, spark.createDataFrame([], schema).withColumn("newer", F.lit(True))
+
+
+def _with_ids(documents: DataFrame, literals: Sequence | None) -> DataFrame:
+    """Those of some ids. Lists of up to ten reach the row groups' bounds and Bloom filters one
+    by one, longer ones by their ends only; so there is one list for rows and many for those."""
+    if literals is None:
+        return documents
+    shards, ids = (sorted({row[name] for row in literals}) for name in ("shard", "id"))
+    tens = [F.col("id").isin(ids[at : at + 10]) for at in range(0, len(ids), 10)]
+    while len(tens) > 1:
+        tens = [functools.reduce(Column.__or__, tens[at : at + 2]) for at in range(0, len(tens), 2)]
+    wanted = F.col("shard").isin(shards) & F.col("id").isin(ids)
+    return documents.filter(functools.reduce(Column.__and__, tens, wanted))
 
 
 def _as_version(version: Column, same: bool, kind: T.DataType) -> Column:
@@ -280,7 +355,7 @@ def _merged(
     kept, joined = segments[:first], segments[first:]
     if len(joined) == 1:
         return segments
-    kind = T.StructType.fromJson(json.loads(joined[-1].schema))["version"].dataType
+    kind = joined[-1].version_type
     live = []
     for part in _parts_of(spark, path, joined):
         same = part.documents.schema["version"].dataType == kind
@@ -289,32 +364,40 @@ def _merged(
     documents = functools.reduce(DataFrame.unionByName, live).repartition(num_shards, "id")
     root = f"{path}/{folder}"
     documents = _write_documents(documents, root, num_shards)
-    _write_postings(term_postings(documents), root, num_shards)
+    postings = _write_postings(term_postings(documents), root, num_shards)
+    _write_doc_freq(with_bounds(_added_up(_terms_of(spark, path, joined)), postings), root)
     lists = [f"{path}/{other.folder}/replaced" for other in joined if other.replaced]
     replaced = 0
     if lists and kept:
         ids = spark.read.schema(REPLACED_DDL).parquet(*lists).distinct()
         replaced = _stored(ids, f"{root}/replaced").count()
-    return [*kept, Segment(folder, replaced, documents.count(), documents.schema.json())]
+    merged = Segment(
+        folder,
+        replaced,
+        documents.count(),
+        sum(other.n for other in joined),
+        sum(other.total_len for other in joined),
+        max(other.id_bytes for other in joined),
+        documents.schema.json(),
+    )
+    return [*kept, merged]
 
 
 def expire_versions(spark: SparkSession, path: str, keep: int = 2) -> int:
     """Delete what only versions before the newest `keep` need; returns how many expire.
 
-    Readers of an expired version fail from then on. Manifest rows stay.
+    Readers of an expired version fail from then on. Manifest files stay.
     """
-    manifest = _manifest(spark, path)
-    if manifest is None:
-        return 0
-    entries = manifest.orderBy(F.desc("version")).limit(keep).collect()
-    segments = {segment.folder for entry in entries for segment in _segments(entry)}
-    used = {entry.folder for entry in entries} | {folder.split("/")[0] for folder in segments}
-    rows = manifest.select("folder").distinct().collect()
-    expired = [row.folder for row in rows if row.folder not in used]
+    versions = _versions(spark, path)
+    entries = [entry for v in versions if (entry := _manifest_entry(spark, path, v))]
+    told = [{segment.folder.split("/")[0] for segment in entry.segments} for entry in entries]
+    segments = {segment.folder for entry in entries[-keep:] for segment in entry.segments}
+    used = {folder.split("/")[0] for folder in segments}
+    expired = {folder for folders in told for folder in folders} - used
     for folder in expired:
         _delete(spark, f"{path}/{folder}")
-    for folder in used - segments:  # only the statistics or a merged segment in it are needed
-        for name in ("documents", "postings", "replaced"):
+    for folder in used - segments:  # only a merged segment in it is needed
+        for name in ("documents", "postings", "replaced", "doc_freq"):
             _delete(spark, f"{path}/{folder}/{name}")
     return len(expired)
 
@@ -322,7 +405,7 @@ def expire_versions(spark: SparkSession, path: str, keep: int = 2) -> int:
 def applied_batches(spark: SparkSession, path: str) -> dict[str, int]:
     """The last batch of each stream that the newest version has."""
     entry = _manifest_entry(spark, path)
-    return dict((entry and entry.applied) or {})
+    return dict(entry.applied) if entry else {}
 
 
 def open_index(spark: SparkSession, path: str, version: int | None = None) -> SearchIndex:
@@ -339,29 +422,54 @@ def segment_count(spark: SparkSession, path: str) -> int:
     return 0 if entry is None else len(entry.segments)
 
 
-def _opened(spark: SparkSession, path: str, entry: Row) -> SearchIndex:
-    root = f"{path}/{entry.folder}"
+def _opened(spark: SparkSession, path: str, entry: Entry) -> SearchIndex:
     parts = _parts(spark, path, entry)
     # Spark keeps the buckets through the union, so scores need no shuffle here either.
     postings = functools.reduce(
         DataFrame.unionByName,
         [
             part.live(_bucketed_table(spark, f"{path}/{segment.folder}/postings", entry.num_shards))
-            for part, segment in zip(parts, _segments(entry), strict=True)
+            for part, segment in zip(parts, entry.segments, strict=True)
         ],
     )
+    n, total_len = (sum(getattr(s, name) for s in entry.segments) for name in ("n", "total_len"))
+    stats = spark.sql(f"SELECT {n}L AS n, {total_len}L AS total_len")
+    deltas = _terms_of(spark, path, entry.segments)
+    doc_freq = _added_up(deltas) if len(parts) > 1 else deltas.select("term", "df")
     return SearchIndex(
         parts=tuple(Part(part.documents.drop("version", "terms"), part.replaced) for part in parts),
         postings=postings,
-        doc_freq=spark.read.schema(DOC_FREQ_DDL).parquet(f"{root}/doc_freq"),
-        corpus_stats=spark.read.schema(CORPUS_STATS_DDL).parquet(f"{root}/corpus_stats"),
+        doc_freq=doc_freq.filter(F.col("df") > 0),
+        deltas=deltas,
+        corpus_stats=with_average(stats),
         num_shards=entry.num_shards,
         version=entry.version,
+        id_bytes=max(segment.id_bytes for segment in entry.segments),
+    )
+
+
+def with_bounds(doc_freq: DataFrame, postings: DataFrame) -> DataFrame:
+    """Document frequencies with the highest tf and the lowest dl of a term in some postings,
+    which bound what it adds to any score; null where the postings don't have it."""
+    own = postings.filter(F.col("tf") > 0).groupBy("term")
+    own = own.agg(F.max("tf").alias("top_tf"), F.min("dl").alias("low_dl"))
+    return doc_freq.join(own, "term", "left").filter(
+        (F.col("df") != 0) | F.col("top_tf").isNotNull()
     )
 
 
-def _parts(spark: SparkSession, path: str, entry: Row) -> list[Part]:
-    return _parts_of(spark, path, _segments(entry))
+def _terms_of(spark: SparkSession, path: str, segments: list[Segment]) -> DataFrame:
+    """What each segment has of each term; a filter or a small join by term reaches the scan."""
+    folders = [f"{path}/{segment.folder}/doc_freq" for segment in segments]
+    return spark.read.schema(DOC_FREQ_DDL).parquet(*folders)
+
+
+def _added_up(told: DataFrame) -> DataFrame:
+    return told.groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def _parts(spark: SparkSession, path: str, entry: Entry) -> list[Part]:
+    return _parts_of(spark, path, entry.segments)
 
 
 def _parts_of(spark: SparkSession, path: str, segments: list[Segment]) -> list[Part]:
@@ -392,13 +500,16 @@ def _small(ids: DataFrame, rows: int, size: int) -> DataFrame:
     return F.broadcast(ids) if few else ids.hint("shuffle_hash")
 
 
-def _size(documents: DataFrame, sign: int) -> DataFrame:
-    """What documents add to the number of pages and the total length, or take away."""
+def _size(documents: DataFrame) -> tuple[int, int, int]:
+    """Number of documents, what they add to the total length, and the bytes of the longest id."""
     added = F.aggregate("terms", F.lit(0).cast("bigint"), lambda total, t: total + t["added_tf"])
-    return documents.agg(
-        (F.count(F.lit(1)) * sign).alias("n"),
-        F.coalesce(F.sum(added) * sign, F.lit(0)).alias("total_len"),
-    )
+    zero = F.lit(0).cast("bigint")
+    row = documents.agg(
+        F.count(F.lit(1)),
+        F.coalesce(F.sum(added), zero),
+        F.coalesce(F.max(F.octet_length("id")), zero),
+    ).first()
+    return tuple(int(value) for value in row)
 
 
 def _stored(rows: DataFrame, path: str) -> DataFrame:
@@ -409,7 +520,9 @@ def _stored(rows: DataFrame, path: str) -> DataFrame:
 def _write_documents(documents: DataFrame, root: str, num_shards: int) -> DataFrame:
     placed = documents.withColumn("shard", shard_of("id", num_shards))
     placed = placed.sortWithinPartitions("shard", "id")
-    placed.write.partitionBy("shard").parquet(f"{root}/documents")
+    # Ids are looked up when pages come again.
+    writer = placed.write.partitionBy("shard").option("parquet.bloom.filter.enabled#id", "true")
+    writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(f"{root}/documents")
     return placed.sparkSession.read.schema(placed.schema).parquet(f"{root}/documents")
 
 
@@ -425,58 +538,84 @@ def _write_postings(postings: DataFrame, root: str, num_shards: int) -> DataFram
     return _bucketed_table(postings.sparkSession, location, num_shards)
 
 
-def _write_statistics(doc_freq: DataFrame, stats: DataFrame, root: str) -> None:
+def _write_doc_freq(doc_freq: DataFrame, root: str) -> None:
     doc_freq.sortWithinPartitions("term").write.parquet(f"{root}/doc_freq")
-    stats.coalesce(1).write.parquet(f"{root}/corpus_stats")
 
 
-def _write_manifest(
-    spark: SparkSession,
-    path: str,
-    version: int,
-    folder: str,
-    mode: str,
-    num_shards: int,
-    applied: dict[str, int],
-    segments: list[Segment],
-) -> None:
-    rows = [(s.folder, s.replaced, s.rows, s.schema) for s in segments]
-    entry = (version, folder, mode, num_shards, applied, rows)
-    newest = _manifest_entry(spark, path)
-    if newest is not None and newest.version >= version:
-        raise RuntimeError(f"another writer has written version {newest.version} of {path}")
-    spark.createDataFrame([entry], MANIFEST_DDL).coalesce(1).write.mode("append").json(
-        f"{path}/manifest"
-    )
-
-
-def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
+# The manifest, through Spark's own file system layer
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    names = file_names(spark, f"{path}/manifest")
+    return sorted(int(match[1]) for name in names if (match := re.fullmatch(r"(\d+)\.json", name)))
+
+
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    files, hadoop = _file_system(spark, folder)
+    if not files.exists(hadoop):
+        return []
+    return [status.getPath().getName() for status in files.listStatus(hadoop)]
+
+
+def _newest(spark: SparkSession, path: str) -> int:
+    return max(_versions(spark, path), default=0)
+
+
+def _manifest_entry(spark: SparkSession, path: str, version: int | None = None) -> Entry | None:
+    """A version, or the newest one that is whole: a file may be seen before it is written."""
+    versions = _versions(spark, path)
+    wanted = versions[::-1] if version is None else [version] if version in versions else []
+    for number in wanted:
+        files, hadoop = _file_system(spark, f"{path}/manifest/{number}.json")
+        stream = files.open(hadoop)
+        try:
+            told = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except json.JSONDecodeError:
+            continue
+        finally:
+            stream.close()
+        segments = [Segment(**segment) for segment in told.pop("segments")]
+        return Entry(**told, segments=segments)
+    return None
+
+
+def _commit(spark: SparkSession, path: str, entry: Entry) -> bool:
+    """Create the manifest file of a version; False if there is one already."""
+    text = json.dumps(asdict(entry))
+    files, hadoop = _file_system(spark, f"{path}/manifest/{entry.version}.json")
+    files.mkdirs(hadoop.getParent())
+    if files.getUri().getScheme() == "file":  # whose create() looks and writes in two steps
+        place = hadoop.toUri().getPath()
+        draft = f"{os.path.dirname(place)}/.{uuid.uuid4().hex}"
+        with open(draft, "x", encoding="utf-8") as out:
+            out.write(text)
+        try:
+            os.link(draft, place)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(draft)
+        return True
     try:
-        return spark.read.schema(MANIFEST_DDL).json(f"{path}/manifest")
-    except AnalysisException:
-        return None
-
-
-def _manifest_entry(spark: SparkSession, path: str, version: int | None = None) -> Row | None:
-    manifest = _manifest(spark, path)
-    if manifest is None:
-        return None
-    wanted = manifest.agg(F.max("version")).scalar() if version is None else F.lit(version)
-    entries = manifest.filter(F.col("version") == wanted).limit(2).collect()
-    if len(entries) > 1:
-        raise RuntimeError(f"two writers have written version {entries[0].version} of {path}")
-    return entries[0] if entries else None
+        stream = files.create(hadoop, False)
+    except Py4JJavaError as error:
+        if files.exists(hadoop):
+            return False
+        raise error
+    stream.write(text.encode())
+    stream.close()
+    return True
 
 
-def _segments(entry: Row) -> list[Segment]:
-    return [Segment(row.folder, row.replaced, row.rows, row.schema) for row in entry.segments]
-
-
-def _next_version(spark: SparkSession, path: str) -> tuple[int, str, str]:
-    entry = _manifest_entry(spark, path)
-    version = 1 if entry is None else entry.version + 1
-    folder = f"version={version}-{uuid.uuid4().hex[:12]}"
-    return version, folder, f"{path}/{folder}"
+def _next_folder(spark: SparkSession, path: str) -> tuple[str, str]:
+    folder = f"version={_newest(spark, path) + 1}-{uuid.uuid4().hex[:12]}"
+    return folder, f"{path}/{folder}"
 
 
 def _table_name(location: str) -> str:
@@ -501,6 +640,5 @@ def _bucketed_table(spark: SparkSession, location: str, num_shards: int) -> Data
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
-    """Delete a folder through Spark's own file system layer."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    files, hadoop = _file_system(spark, folder)
+    files.delete(hadoop, True)

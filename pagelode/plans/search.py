@@ -36,7 +36,7 @@ from pagelode.operators.retrieval import (
     small,
 )
 from pagelode.operators.store import BROADCAST_ID_BYTES
-from pagelode.session import has_at_most, shared_dir
+from pagelode.session import fits, shared_dir
 
 RESULT = ("qid", "rank", "id", "url", "title", "body", "score")
 
@@ -71,7 +71,7 @@ def search_many(
     no rows.
     """
     queries = _answerable(queries)
-    size = measure(queries)
+    size = measure(queries, index)
     pool = settle(index, rerank_pool(index, queries, size, k1=k1, b=b))
     limits = small(queries.select("qid", "k"), size.broadcast_queries)
 
@@ -115,7 +115,7 @@ def search_many(
 def rerank_candidates(index: SearchIndex, queries: DataFrame) -> DataFrame:
     """What a reranker gets: (qid, query, id, title, body, bm25_rank), bodies whole."""
     queries = _answerable(queries)
-    size = measure(queries)
+    size = measure(queries, index)
     return _candidates(index, queries, settle(index, rerank_pool(index, queries, size)), size)
 
 
@@ -128,10 +128,10 @@ def search_with_order(
     and may name documents that do not match, which are left out.
     """
     queries = _answerable(queries)
-    size = measure(queries)
+    size = measure(queries, index)
     scored = bm25_scores(index, queries, size, k1, b)
     limits = small(queries.select("qid", "k"), size.broadcast_queries)
-    return _merged(index, scored, order, limits, size, feeding_tasks(index))
+    return _merged(index, scored, order, limits, size, feeding_tasks(index, size))
 
 
 def settle(index: SearchIndex, rows: DataFrame) -> DataFrame:
@@ -162,25 +162,30 @@ def _shown(index: SearchIndex, top: DataFrame, size: BatchSize) -> DataFrame:
 
 
 def pooled_documents(index: SearchIndex, pool: DataFrame, broadcast: bool) -> DataFrame:
-    """The documents of a pool, each once.
+    """The documents of a pool, each once; see `_by_shard`."""
+    return _by_shard(index, pool.select("id").distinct(), broadcast, "left_semi")
 
-    A pool of a stored index that is too large for one broadcast is taken shard by shard:
-    each part of the shards is read once, with the ids that lie in it, and no document is
+
+def _by_shard(index: SearchIndex, rows: DataFrame, broadcast: bool, how: str) -> DataFrame:
+    """Documents joined with rows that have an id, where the documents lie.
+
+    Rows for a stored index that are too many for one broadcast are taken shard by shard:
+    each part of the shards is read once, with the rows whose ids lie in it, and no document is
     shuffled. Only beyond MAX_PARTS broadcasts documents are hashed by id.
     """
-    ids = pool.select("id").distinct()
     if broadcast or not index.num_shards:
-        return _documents_of(index, ids, broadcast, "left_semi")
-    ids = settle(index, ids)
-    octets = F.coalesce(F.sum(F.octet_length("id") + 32), F.lit(0))
-    rows, octets = ids.agg(F.count(F.lit(1)), octets).first()
-    parts = part_count((rows, BROADCAST_ROWS), (octets, BROADCAST_ID_BYTES))
+        return _documents_of(index, rows, broadcast, how)
+    rows = settle(index, rows)
+    texts = [F.octet_length(f.name) for f in rows.schema if f.dataType.typeName() == "string"]
+    octets = F.coalesce(F.sum(functools.reduce(Column.__add__, texts) + 32), F.lit(0))
+    count, octets = rows.agg(F.count(F.lit(1)), octets).first()
+    parts = part_count((count, BROADCAST_ROWS), (octets, BROADCAST_ID_BYTES))
     if not parts:
-        return _documents_of(index, ids, False, "left_semi")
+        return _documents_of(index, rows, False, how)
     return functools.reduce(
         DataFrame.unionByName,
         [
-            _documents_of(index, ids, True, "left_semi", F.col("shard") % parts == number)
+            _documents_of(index, rows, True, how, F.col("shard") % parts == number)
             for number in range(min(parts, index.num_shards))
         ],
     )
@@ -215,11 +220,12 @@ def _documents_of(
 def _candidates(
     index: SearchIndex, queries: DataFrame, pool: DataFrame, size: BatchSize
 ) -> DataFrame:
+    """Rows for a reranker. The queries are joined to the pool, which has no body yet; a body is
+    read once and goes to all queries that pool it in the task that reads it."""
     asked = small(queries.select("qid", "query"), size.broadcast_queries)
-    return (
-        fetch(index, pool, size.broadcast_pool)
-        .join(asked, "qid")
-        .select("qid", "query", "id", "title", "body", "bm25_rank")
+    wanted = pool.select("qid", "id", "bm25_rank").join(asked, "qid")
+    return _by_shard(index, wanted, size.broadcast_pool, "inner").select(
+        "qid", "query", "id", "title", "body", "bm25_rank"
     )
 
 
@@ -236,7 +242,8 @@ def _merged(
     feeding: int,
 ) -> DataFrame:
     order = resolve_order(order)
-    order = small(order, has_at_most(order, BROADCAST_ROWS)) if feeding > 1 else order
+    few = feeding > 1 and fits(order, ["qid", "id"], BROADCAST_ROWS, BROADCAST_ID_BYTES)
+    order = small(order, few)
     ranked = top_per_key(
         scored.join(order, ["qid", "id"], "left"),
         "qid",

@@ -30,15 +30,9 @@ ORDER = T.StructType(
 )
 
 # Tables of a stored index.
-DOC_FREQ_DDL = "term STRING, df BIGINT"
-CORPUS_STATS_DDL = "n BIGINT, total_len BIGINT, avgdl DOUBLE"
+DOC_FREQ_DDL = "term STRING, df BIGINT, top_tf BIGINT, low_dl BIGINT"
 POSTINGS_DDL = (
     "id STRING, term STRING, tf BIGINT, dl BIGINT, adds BIGINT, added_tf BIGINT"
 )
 
 REPLACED_DDL = "id STRING"
-
-MANIFEST_DDL = (
-    "version BIGINT, folder STRING, mode STRING, num_shards INT, applied MAP<STRING, BIGINT>, "
-    "segments ARRAY<STRUCT<folder: STRING, replaced: BIGINT, rows: BIGINT, schema: STRING>>"
-)

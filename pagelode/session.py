@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "pagelode", master: str | None = None, **conf: str) -> SparkSession:
@@ -57,6 +58,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def has_at_most(df: DataFrame, rows: int) -> bool:
-    """Whether `df` has at most `rows` rows; stops counting just past the limit."""
-    return df.limit(rows + 1).count() <= rows
+def fits(df: DataFrame, texts: list[str], rows: int, size: int) -> bool:
+    """Whether `df` has at most `rows` rows and its text columns `size` bytes with their rows'
+    own; a broadcast may then hold it."""
+    octets = sum((F.coalesce(F.octet_length(name), F.lit(0)) for name in texts), F.lit(32))
+    count, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(octets), F.lit(0))).first()
+    return count <= rows and total <= size

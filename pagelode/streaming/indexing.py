@@ -13,15 +13,18 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Sequence
+import logging
+import re
+import time
+from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagelode.operators.index import SearchIndex
-from pagelode.operators.store import applied_batches, extend_index, open_index
+from pagelode.operators.store import applied_batches, extend_index, file_names, open_index
 from pagelode.schemas import PAGE_FIELDS
 from pagelode.sources.messages import decode_messages
 
@@ -33,6 +36,8 @@ MAX_SEGMENTS = 16
 
 MAIN = "main"
 
+_log = logging.getLogger(__name__)
+
 
 class IndexingQuery:
     """A running stream; like a StreamingQuery, but its last batches become visible at the end."""
@@ -71,8 +76,8 @@ def index_stream(
     only by those. Restarts go on from the checkpoint, which belongs beside the index.
 
     A refresh analyses and writes the pages of its batches and reads the rows they replace;
-    beyond that it rewrites the vocabulary. Above MAX_SEGMENTS segments, those of like size
-    are merged.
+    nothing grows with the index but the ids among which it looks for them. Above MAX_SEGMENTS
+    segments, those of like size are merged.
     """
     stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
@@ -86,14 +91,41 @@ def index_stream(
     query = writer.trigger(**trigger).start()
 
     def finish() -> None:
-        progress = query.lastProgress
-        if refresh_every and progress is not None:
-            spark = messages.sparkSession
-            _catch_up(spark, path, stream, int(progress["batchId"]), mode, num_shards)
+        if refresh_every:
+            _catch_up(messages.sparkSession, path, stream, None, mode, num_shards)
 
     return IndexingQuery(query, finish)
 
 
+def keep_running(
+    start: Callable[[], StreamingQuery | IndexingQuery],
+    restarts: int | None = None,
+    wait: float = 1.0,
+    longest_wait: float = 60.0,
+) -> int:
+    """Run a stream until it is stopped, and start it again when it fails; returns how often it failed.
+
+    `start` starts the stream, which goes on from its checkpoint. A failure is logged; the wait
+    after it doubles from `wait` to `longest_wait` seconds, and starts anew once a run has
+    lasted longer than that. With `restarts`, one failure more is raised.
+    """
+    failures, pause = 0, wait
+    while True:
+        began = time.monotonic()
+        try:
+            start().awaitTermination()
+            return failures
+        except StreamingQueryException as error:
+            failures += 1
+            if restarts is not None and failures > restarts:
+                raise
+            if time.monotonic() - began > longest_wait:
+                pause = wait
+            _log.warning("the stream failed and starts again in %s s: %s", pause, error)
+            time.sleep(pause)
+            pause = min(2 * pause, longest_wait)
+
+
 def append_batch(
     messages: DataFrame, batch_id: int, path: str, order: Sequence[str], stream: str = MAIN
 ) -> None:
@@ -116,28 +148,41 @@ def _catch_up(
     spark: SparkSession,
     path: str,
     stream: str,
-    last: int,
+    last: int | None,
     mode: str | None,
     num_shards: int | None,
 ) -> None:
-    """Extend the index by the batches of a stream that it does not have, up to `last`.
+    """Extend the index by the batches of a stream's log that it does not have, up to `last`.
 
-    Only the folders of those batches are read.
+    The log tells which batches there are, also those of a run that failed after it wrote them.
+    Only the folders of the missing ones are read.
     """
-    first = applied_batches(spark, path).get(stream, -1) + 1
-    batches = {}
-    for batch_id in range(first, last + 1):
-        try:
-            batches[batch_id] = spark.read.parquet(_folder(path, stream, batch_id))
-        except AnalysisException:  # without any message, or not run yet
-            continue
+    done = applied_batches(spark, path).get(stream, -1)
+    batches = [
+        number
+        for number in _logged(spark, path, stream)
+        if number > done and (last is None or number <= last)
+    ]
     if not batches:
         return
-    log = functools.reduce(DataFrame.unionByName, batches.values())
-    # Not `last`: progress also names a batch that is still to come.
+    log = functools.reduce(
+        DataFrame.unionByName, [spark.read.parquet(_folder(path, stream, number)) for number in batches]
+    )
     extend_index(_pages(log), path, mode, num_shards, {stream: max(batches)}, MAX_SEGMENTS)
 
 
+def _logged(spark: SparkSession, path: str, stream: str) -> list[int]:
+    """Numbers of the batches of a stream that are written whole and had messages."""
+    names = file_names(spark, f"{path}/log/stream={stream}")
+    numbers = sorted(int(match[1]) for name in names if (match := re.fullmatch(r"batch_id=(\d+)", name)))
+    found = []
+    for number in numbers:
+        files = file_names(spark, _folder(path, stream, number))
+        if "_SUCCESS" in files and any(name.startswith("accepted=") for name in files):
+            found.append(number)
+    return found
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame | None:
     """All decoded messages by batch, good and bad; None while there are none."""
     try:

@@ -30,7 +30,10 @@ def test_scoring_moves_no_posting_of_an_extended_index(spark, tmp_path):
     pl.extend_index(page_log(spark), path)
     index = pl.extend_index(page_log(spark, [C_AGAIN]), path)
     text = plan(retrieval.bm25_scores(index, requests(spark, "spark sql")))
-    assert "Union" in text and "Exchange hashpartitioning" not in text
+    assert "Union" in text
+    exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert all("hashpartitioning(term" in line for line in exchanges)  # frequencies of asked terms
+    assert "LeftSemi" in text
 
 
 def test_pool_is_cut_before_the_shuffle(spark, index):
@@ -88,3 +91,21 @@ def test_large_batches_move_no_posting_and_no_document(spark, index, monkeypatch
     monkeypatch.undo()
     for name, rows in found.items():
         assert rows == ranked(pl.search_many(index, queries, name))
+
+
+def test_candidates_of_a_large_pool_move_no_body(spark, index, monkeypatch):
+    from pagelode.plans import search
+
+    queries = requests(spark, "spark sql", "engine", "streaming", "notes")
+    pool = search.settle(index, retrieval.rerank_pool(index, queries))
+    usual = sorted(search.rerank_candidates(index, queries).collect())
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(search, "BROADCAST_ROWS", 3)
+    size = retrieval.measure(queries, index)
+    assert not size.broadcast_pool
+    with session_conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        rows = search._candidates(index, queries, pool, size)
+        text = plan(rows)
+        assert "SortMergeJoin" not in text and "Exchange hashpartitioning" not in text
+        assert text.count("BroadcastHashJoin [shard") >= 2
+        assert sorted(rows.collect()) == usual

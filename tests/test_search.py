@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +201,81 @@ def test_results_do_not_depend_on_the_order_of_pages(spark):
 def test_candidates_have_a_term_of_the_query(spark, five):
     found = retrieval.candidates(five, requests(spark, "spark engine", "nothing here"))
     assert sorted(map(tuple, found.collect())) == [("spark engine", id) for id in "abce"]
+
+
+def pruning_corpus(count=600):
+    """Documents with a few frequent words and many rare ones, in lengths of their own."""
+    pick = random.Random(8)
+    frequent = ["the", "of", "and", "to"]
+    rows = []
+    for i in range(count):
+        words = [pick.choice(frequent) for _ in range(pick.randrange(1, 30))]
+        words += [f"rare{pick.randrange(60)}" for _ in range(pick.randrange(0, 4))]
+        pick.shuffle(words)
+        rows.append((f"d{i:04}", "", "", " ".join(words), i))
+    return rows
+
+
+PRUNED_QUERIES = [
+    "the of rare3 rare7", "rare5 the the and to of", "the", "the of and to", "rare1 rare2 rare3 nowhere",
+    "nowhere", "", "rare9 rare9 of",
+]
+
+
+@pytest.mark.parametrize("segments", [1, 3])
+@pytest.mark.parametrize("mode", ["latest", "cumulative"])
+@pytest.mark.parametrize(("k", "k1", "b"), [(3, 1.2, 0.75), (30, 2.0, 0.3), (900, 1.2, 0.75)])
+def test_pruned_pools_equal_whole_scores(spark, tmp_path, segments, mode, k, k1, b):
+    rows = pruning_corpus(200)
+    for part in range(segments):
+        index = pl.extend_index(page_log(spark, rows[part::segments]), str(tmp_path), mode)
+    queries = requests(spark, *PRUNED_QUERIES, k=k)
+    whole = retrieval.rerank_pool(index, queries, prune_rows=10**18, k1=k1, b=b)
+    pruned = retrieval.rerank_pool(index, queries, prune_rows=0, k1=k1, b=b)
+    rounded = [
+        sorted((r.qid, r.id, r.bm25_rank, round(r.score, 9)) for r in pool.collect())
+        for pool in (whole, pruned)
+    ]
+    assert rounded[0] == rounded[1] and rounded[0]
+
+
+def test_pruning_scores_few_candidates(spark, tmp_path):
+    index = pl.write_index(page_log(spark, pruning_corpus()), str(tmp_path))
+    queries = requests(spark, "the of rare3 rare7 rare11", "rare5 rare6 the and to of", k=5)
+    scored = retrieval.pruned_scores(index, queries, prune_rows=0).scored.count()
+    assert 40 <= scored < retrieval.candidates(index, queries).count() / 4
+
+
+def test_negative_idf_is_not_pruned_wrongly(spark, tmp_path):
+    """In mode cumulative a term may be in more versions than there are pages."""
+    rows = [(f"d{i % 30:02}", "", "", f"same word{i % 7} {'same ' * (i % 5)}", i) for i in range(120)]
+    index = pl.write_index(page_log(spark, rows), str(tmp_path), "cumulative")
+    queries = requests(spark, "same word3", "word1 same word2", "same", k=3)
+    pools = [
+        sorted((r.qid, r.id, r.bm25_rank) for r in retrieval.rerank_pool(index, queries, prune_rows=n).collect())
+        for n in (0, 10**18)
+    ]
+    assert pools[0] == pools[1] and len(pools[0]) == 60
+
+
+def test_pools_of_different_sizes_are_cut_apart(spark, tmp_path):
+    index = pl.write_index(page_log(spark, pruning_corpus(300)), str(tmp_path))
+    rows = [("a", "the rare3", 5), ("b", "the rare3", 250), ("c", "of rare4", 21)]
+    queries = spark.createDataFrame(rows, "qid string, query string, k int")
+    size = retrieval.measure(queries, index)
+    assert len(size.classes) == 2
+    pool = retrieval.rerank_pool(index, queries, size).groupBy("qid").count().collect()
+    counts = dict(map(tuple, pool))
+    assert counts["a"] == 20 and counts["c"] == 21 and counts["b"] > 200
+
+
+def test_ranks_in_ranges_equal_one_window(spark, monkeypatch):
+    rows = [(f"q{i % 3}", f"d{i:05}", float(i * 37 % 101)) for i in range(3000)]
+    table = spark.createDataFrame(rows, "qid string, id string, score double").repartition(5)
+    order = retrieval.score_order()
+    wanted = sorted(ranking.top_per_key(table, "qid", order, 700, "rank").collect())
+    monkeypatch.setattr(ranking, "ROWS_PER_KEY", 100)
+    found = ranking.top_per_key(table, "qid", order, 700, "rank", feeding_tasks=5)
+    assert sorted(found.collect()) == wanted and len(wanted) == 2100
+    biggest = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(qid" in biggest and "_range" in biggest

@@ -1,4 +1,8 @@
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
+
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 import pagelode as pl
@@ -175,12 +179,43 @@ def test_a_replayed_batch_counts_once(spark, tmp_path):
     assert pl.refresh_index(spark, path, "cumulative").version == first.version == 1
 
 
-def test_a_second_writer_fails(spark, tmp_path, monkeypatch):
+def test_two_writers_are_both_visible(spark, tmp_path):
+    path = str(tmp_path)
+    pl.write_index(page_log(spark, FIVE[:1]), path)
+    batches = [FIVE[1:3], FIVE[3:], [C_AGAIN]]
+    with ThreadPoolExecutor(3) as writers:
+        list(writers.map(lambda rows: pl.extend_index(page_log(spark, rows), path), batches))
+    index = pl.open_index(spark, path)
+    whole = pl.build_index(page_log(spark, [*FIVE, C_AGAIN]))
+    assert index.version == 4 and content(index) == content(whole)
+    assert sorted(index.doc_freq.collect()) == sorted(whole.doc_freq.collect())
+    assert index.corpus_stats.collect() == whole.corpus_stats.collect()
+
+
+def test_two_writers_of_a_first_version(spark, tmp_path):
+    path = str(tmp_path)
+    with ThreadPoolExecutor(2) as writers:
+        list(writers.map(lambda rows: pl.extend_index(page_log(spark, rows), path), [FIVE[:2], FIVE[2:]]))
+    index = pl.open_index(spark, path)
+    assert index.version == 2 and index.documents.count() == 5
+
+
+def test_a_version_is_committed_once(spark, tmp_path):
     path = str(tmp_path)
     pl.write_index(page_log(spark), path)
-    monkeypatch.setattr(store, "_next_version", lambda *_: (1, "version=1-other", f"{path}/version=1-other"))
-    with pytest.raises(RuntimeError, match="another writer"):
-        pl.write_index(page_log(spark), path)
+    entry = store._manifest_entry(spark, path)
+    assert not store._commit(spark, path, entry)
+    assert store._commit(spark, path, replace(entry, version=2))
+    assert pl.open_index(spark, path).version == 2
+    (tmp_path / "manifest" / "3.json").write_text('{"version": 3, "mo')  # not yet written
+    assert pl.open_index(spark, path).version == 2
+
+
+def test_a_batch_that_another_writer_has_added_counts_once(spark, tmp_path):
+    path = str(tmp_path)
+    for _ in range(2):
+        index = pl.extend_index(page_log(spark), path, "cumulative", applied={"s": 4})
+    assert index.version == 1 and index.corpus_stats.first().n == 5
 
 
 def test_old_versions_expire_and_no_table_stays(spark, tmp_path):
@@ -192,7 +227,7 @@ def test_old_versions_expire_and_no_table_stays(spark, tmp_path):
     assert pl.open_index(spark, path).documents.count() == 4
     assert pl.open_index(spark, path, 4).postings.count() > 0
     assert len(spark.catalog.listTables()) == before
-    assert not list(tmp_path.glob("*/scratch"))
+    assert not list(tmp_path.glob("*scratch*")) + list(tmp_path.glob("*/scratch*"))
 
 
 def test_an_extension_reads_no_posting_of_the_base(spark, tmp_path, monkeypatch):
@@ -219,3 +254,98 @@ def test_segments_are_merged(spark, tmp_path, monkeypatch):
     assert store.segment_count(spark, path) == 1
     index = pl.open_index(spark, path)
     assert (index.version, index.documents.count()) == (3, 3)
+
+
+def failing(spark, folder, path, runs, failing_runs):
+    def start():
+        number = next(runs)
+        stream = pl.file_messages(spark, folder, extra="seq BIGINT", maxFilesPerTrigger="1")
+        broken = F.when(F.lit(number < failing_runs) & (F.col("seq") >= 3), F.raise_error(F.lit("gone")))
+        stream = stream.withColumn("value", F.coalesce(broken.cast("binary"), "value"))
+        return pl.index_stream(stream, path, f"{path}/checkpoint", ["seq"], available_now=True, refresh_every=2)
+
+    return start
+
+
+def test_a_failed_stream_starts_again(spark, tmp_path):
+    folder, path = f"{tmp_path}/topic", f"{tmp_path}/index"
+    for row in FIVE:
+        send(spark, folder, [row])
+    assert pl.keep_running(failing(spark, folder, path, iter(range(9)), 2), wait=0.01) == 2
+    index = pl.open_index(spark, path)
+    whole = pl.build_index(page_log(spark))
+    assert content(index) == content(whole)
+    assert index.corpus_stats.collect() == whole.corpus_stats.collect()
+
+
+def test_restarts_have_an_end(spark, tmp_path):
+    folder, path = f"{tmp_path}/topic", f"{tmp_path}/index"
+    send(spark, folder, FIVE)
+    with pytest.raises(StreamingQueryException, match="gone"):
+        pl.keep_running(failing(spark, folder, path, iter(range(9)), 9), restarts=1, wait=0.01)
+
+
+def test_batches_of_a_run_that_ended_early_become_visible(spark, tmp_path):
+    folder, path = f"{tmp_path}/topic", f"{tmp_path}/index"
+    for row in FIVE[:3]:
+        send(spark, folder, [row])
+    stream = pl.file_messages(spark, folder, extra="seq BIGINT", maxFilesPerTrigger="1")
+    query = pl.index_stream(
+        stream, path, f"{path}/checkpoint", ["seq"], available_now=True, refresh_every=100
+    )
+    query._query.awaitTermination()  # the process ends before its last batches become visible
+    assert pl.refresh_index is not None and not (tmp_path / "index" / "manifest").exists()
+    run(spark, folder, path, refresh_every=100)  # without new messages
+    assert pl.open_index(spark, path).documents.count() == 3
+
+
+def watched_plans(monkeypatch):
+    """The plans of all tables that an extension writes on the way."""
+    plans, inner = {}, store._stored
+
+    def stored(rows, path):
+        plans[path.rsplit("/", 1)[-1]] = rows._jdf.queryExecution().executedPlan().toString()
+        return inner(rows, path)
+
+    monkeypatch.setattr(store, "_stored", stored)
+    return plans
+
+
+@pytest.mark.parametrize("literal", [True, False])
+def test_an_extension_reads_what_it_replaces(spark, tmp_path, monkeypatch, literal):
+    """More ids than literals: bodies are not scanned, terms only where ids are found."""
+    path, limit = str(tmp_path), 20
+    monkeypatch.setattr(store, "LITERAL_IDS", 1000 if literal else limit)
+    base = [(f"p{i:04}", "", "", f"words {i} here", i) for i in range(300)]
+    pl.write_index(page_log(spark, base), path, num_shards=4)
+    again = [(f"p{i:04}", "", "", f"other {i}", 1000 + i) for i in range(0, 300, 25)]
+    new = [(f"q{i:04}", "", "", f"new {i}", i) for i in range(60)]
+    plans = watched_plans(monkeypatch)
+    index = pl.extend_index(page_log(spark, again + new), path)
+    scans = [line for line in plans["met"].splitlines() if "ReadSchema" in line and "version" in line]
+    assert scans and all("body" not in line and "terms" not in line for line in scans)
+    wide = [line for line in plans["known"].splitlines() if "ReadSchema" in line and "terms" in line]
+    assert wide and all("body" not in line for line in wide)
+    assert "p0025" in wide[0] and "PushedFilters" in wide[0]  # the twelve ids found, as literals
+    assert ("p0025" in plans["met"]) == literal
+    assert not any("doc_freq" in text for text in plans.values())
+    found = {row.term: row.df for row in index.doc_freq.collect()}
+    assert (found["words"], found["other"], found["new"]) == (288, 12, 60)
+    whole = pl.build_index(page_log(spark, base + again + new))
+    assert sorted(index.doc_freq.collect()) == sorted(whole.doc_freq.collect())
+    assert index.corpus_stats.collect() == whole.corpus_stats.collect()
+
+
+def test_the_vocabulary_of_the_base_is_not_rewritten(spark, tmp_path):
+    path = str(tmp_path)
+    pl.write_index(page_log(spark, [(f"p{i}", "", "", f"word{i} all", i) for i in range(200)]), path)
+    index = pl.extend_index(page_log(spark, [("p5", "", "", "other all", 999)]), path)
+    newest = max(tmp_path.glob("version=2-*"))
+    rows = {row.term: row.df for row in spark.read.parquet(f"{newest}/doc_freq").collect()}
+    assert rows == {"other": 1, "word5": -1, "all": 0}
+    found = {row.term: row.df for row in index.doc_freq.collect()}
+    assert found["all"] == 200 and "word5" not in found and found["other"] == 1
+    terms = spark.createDataFrame([("word7",), ("word5",)], "term string")
+    text = pl.term_stats(index, terms)._jdf.queryExecution().executedPlan().toString()
+    at = text.index("HashAggregate(keys=[term")
+    assert "BroadcastHashJoin [term" in text[at:]  # asked terms are picked before they are added up
