@@ -61,13 +61,14 @@ def gram_vector(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.nda
 class LanguageModel:
     """Centroids (a row each) with their languages, idf, and the lowest cosines accepted.
 
-    `floors[i]` holds for texts with 2**i or more n-grams and fewer than twice as many.
+    `floors[lang][i]` holds for texts that are nearest to a centroid of the language and have
+    2**i or more n-grams and fewer than twice as many.
     """
 
     languages: list[str]
     centroids: np.ndarray
     idf: np.ndarray
-    floors: np.ndarray
+    floors: dict[str, np.ndarray]
 
     def nearest(self, text: str | None) -> tuple[str, float, bool]:
         """Language, cosine in 0 to 1, and whether the text is too far from all centroids."""
@@ -78,7 +79,9 @@ class LanguageModel:
         cosines = self.centroids[:, places] @ values
         best = int(np.argmax(cosines))
         cosine = float(min(1.0, max(0.0, cosines[best])))
-        return self.languages[best], cosine, cosine < self.floors[size_bin(counts)]
+        lang = self.languages[best]
+        floor = self.floors[lang][size_bin(counts)] if lang in self.floors else 0.0
+        return lang, cosine, bool(cosine < floor)
 
 
 def size_bin(counts: np.ndarray) -> int:
@@ -137,8 +140,8 @@ def train(
 
     Document frequencies cover all rows. Centroids come from a bounded sample: about
     `sample_per_language` distinct texts of each language, those of the smallest hashes,
-    clustered in one task per language. A text is rejected below `strictness` times the cosine that 99 of
-    100 labelled texts of its size reach, over all rows. The model has at most
+    clustered in one task per language. A text is rejected below `strictness` times the cosine
+    that 99 of 100 labelled texts of its language and size reach, over all rows. The model has at most
     MAX_LANGUAGES * centroids * DIMENSIONS numbers; more languages are an error. Without any
     labelled text the model knows no language and answers `und`.
     """
@@ -177,18 +180,20 @@ def train(
     schema = "lang string, centre array<float>"
     rows = sorted(sample.groupBy("lang").applyInPandas(fit, schema).collect(), key=lambda r: r[0])
     centres = np.array([row["centre"] for row in rows], dtype=np.float32).reshape(-1, DIMENSIONS)
-    model = LanguageModel([row["lang"] for row in rows], centres, idf, np.zeros(SIZE_BINS))
+    model = LanguageModel([row["lang"] for row in rows], centres, idf, {})
     model.floors = size_floors(labelled, model, strictness)
     return model
 
 
-def size_floors(labelled: DataFrame, model: LanguageModel, strictness: float) -> np.ndarray:
-    """The lowest cosines accepted by size of text, from all rows of `labelled (text, lang)`.
+def size_floors(
+    labelled: DataFrame, model: LanguageModel, strictness: float
+) -> dict[str, np.ndarray]:
+    """The lowest cosines accepted by language and size of text, from all `labelled (text, lang)`.
 
     Each language has a floor for each of its sizes, `strictness` times the first percentile
     of the cosines to its own centroids; sizes of few texts share one with their neighbours.
-    The lowest language counts. A size without texts has the floor of the next longer one,
-    those beyond the longest text the floor of the longest.
+    Within a language a shorter text may be as far as a longer one. A size without texts has the
+    floor of the next longer one, those beyond the longest text the floor of the longest.
     """
     shared = labelled.sparkSession.sparkContext.broadcast(model)
 
@@ -227,26 +232,23 @@ def size_floors(labelled: DataFrame, model: LanguageModel, strictness: float) ->
             sums = steps[group].sum(axis=0).cumsum()
             low = int(np.searchsorted(sums, 0.01 * sums[-1], "right")) / COSINE_STEPS
             floors += [(i, strictness * low) for i in group]
-        return pd.DataFrame(floors, columns=["bin", "floor"])
+        return pd.DataFrame([(rows["lang"].iloc[0], *f) for f in floors], columns=["lang", "bin", "floor"])
 
     counted = (
         labelled.mapInArrow(count, "lang string, bin int, step int, n long")
         .groupBy("lang", "bin", "step")
         .agg(F.sum("n").alias("n"))
     )
-    lowest = (
-        counted.groupBy("lang")
-        .applyInPandas(quantiles, "bin int, floor double")
-        .groupBy("bin")
-        .agg(F.min("floor"))
-    )
-    floors = np.full(SIZE_BINS, np.inf)
-    for i, floor in lowest.collect():
-        floors[i] = floor
-    floors = np.minimum.accumulate(floors[::-1])[::-1]  # a shorter text may be as far as a longer
-    known = floors[np.isfinite(floors)]
-    floors[np.isinf(floors)] = known[-1] if len(known) else 0.0
-    return floors
+    found: dict[str, np.ndarray] = {}
+    for lang, i, floor in counted.groupBy("lang").applyInPandas(
+        quantiles, "lang string, bin int, floor double"
+    ).collect():
+        found.setdefault(lang, np.full(SIZE_BINS, np.inf))[i] = floor
+    for lang, floors in found.items():
+        longest = floors[np.isfinite(floors)][-1]
+        lowest = np.minimum.accumulate(floors[::-1])[::-1]
+        found[lang] = np.where(np.isinf(lowest), longest, lowest)
+    return found
 
 
 def identify(docs: DataFrame, text: Column, model: LanguageModel, name: str = "language") -> DataFrame:

@@ -6,6 +6,8 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -13,8 +15,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of item text that are searched for in one pass over the documents.
-BLOCK_BYTES = 16_000_000
+from pagelode.llm.common import stored
+
+#: Bytes of item text that are searched for in one pass over the documents; their index is
+#: some twenty times as large.
+BLOCK_BYTES = 2_000_000
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 CACHED_WORDS = 500_000
 FIELDS = ("item_id", "shared", "item_shingles")
@@ -143,8 +148,9 @@ def with_items(
     `containment` of its distinct shingles stand in the text. A-Z is lower-cased; words are
     letters and digits; an item of fewer words than a shingle is one shingle of all its words.
     Whole texts are searched where they lie: nothing is shuffled, whatever passage many
-    documents share. Items are broadcast in blocks of BLOCK_BYTES, each of which is a pass
-    over the documents.
+    documents share. Items are broadcast in blocks of BLOCK_BYTES. With more than one block the
+    documents are written with a number, each block is a pass over them that is written before the
+    next one's broadcast is made, and the matches, which are few, are joined by the number.
 
     Null and wordless items are in no document, and such documents have none. Items alike in
     id and text count once. A null item id is reported as null. Documents come back as they
@@ -153,12 +159,27 @@ def with_items(
     """
     kind = dict(items.dtypes)[item_id]
     schema = f"array<struct<item_id:{kind},shared:bigint,item_shingles:bigint>>"
+    blocks = item_blocks(items, item_id, item_text)
+    first = ItemIndex(next(blocks), shingle_words, containment)
+    second = next(blocks, None)
+    context = docs.sparkSession.sparkContext
+    if second is None:
+        return docs.withColumn(name, _finder(context.broadcast(first), schema)(text))
+    numbered = docs.withColumns({"_leak_row": F.monotonically_increasing_id(), "_leak_text": text})
+    numbered = stored(numbered.drop(name), "leak-documents")
     found = []
-    for block in item_blocks(items, item_id, item_text):
-        index = ItemIndex(block, shingle_words, containment)
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        found.append(_finder(shared, schema)(text))
-    return docs.withColumn(name, F.concat(*found))
+    indexes = (ItemIndex(block, shingle_words, containment) for block in chain([second], blocks))
+    for index in chain([first], indexes):
+        told = context.broadcast(index)
+        matches = numbered.select("_leak_row", _finder(told, schema)(F.col("_leak_text")).alias("_found"))
+        found.append(stored(matches.where(F.size("_found") > 0), "leaks"))
+        told.unpersist()
+    own = F.array_sort(F.flatten(F.collect_list("_found")))
+    matches = reduce(DataFrame.unionByName, found).groupBy("_leak_row").agg(own.alias(name))
+    columns = [c for c in docs.columns if c != name]
+    return numbered.join(matches, "_leak_row", "left").select(
+        *columns, F.coalesce(name, F.array().cast(schema)).alias(name)
+    )
 
 
 def _finder(shared, schema: str):

@@ -107,8 +107,9 @@ def scan_licenses(
     the template. A phrase stands where all its k-grams vote for one diagonal; these are the
     base places, of which first_word and last_word are the outermost starts. For a notice,
     diagonals at most NEIGHBOURS apart are one alignment, so words put in or left out don't
-    break it; it counts if its k-grams, compared as words and not as hashes, cover `coverage`
-    of the notice and its span is not longer than the notice by half. `spans` has
+    break it; it counts if its k-grams, compared as words and not as hashes, stand for `coverage`
+    of the notice's positions, each counted once however often it is repeated, and its span is
+    not longer than the notice by half. `spans` has
     `(label, start, end, coverage)` in words, end exclusive; score is the best coverage,
     1 for a phrase and 0 for nothing.
 
@@ -145,7 +146,12 @@ def scan_licenses(
         .join(F.broadcast(templates), "hash")
         .where("words = gram")
         .groupBy("row", "template", "label", "exact", "grams", (F.col("at") - F.col("pos")).alias("diagonal"))
-        .agg(F.count("*").alias("votes"), F.min("at").alias("start"), (F.max("at") + K).alias("end"))
+        .agg(
+            F.count("*").alias("votes"),
+            F.min("at").alias("start"),
+            (F.max("at") + K).alias("end"),
+            F.collect_set("pos").alias("positions"),  # each once on a diagonal, so as many as votes
+        )
     )
     phrase = votes.where("exact and votes = grams").select(
         "row", "label", F.col("diagonal").alias("start"), "end", F.lit(1.0).alias("coverage"), "exact"
@@ -156,9 +162,14 @@ def scan_licenses(
         votes.where("not exact")
         .withColumn("opens", F.when(gap <= NEIGHBOURS, 0).otherwise(1))
         .withColumn("alignment", F.sum("opens").over(by_diagonal))
+        .withColumn("pos", F.explode("positions"))
         .groupBy("row", "template", "label", "grams", "alignment")
-        .agg(F.sum("votes").alias("votes"), F.min("start").alias("start"), F.max("end").alias("end"))
-        .withColumn("coverage", F.least(F.lit(1.0), F.col("votes") / F.col("grams")))
+        .agg(
+            F.count_distinct("pos").alias("covered"),
+            F.min("start").alias("start"),
+            F.max("end").alias("end"),
+        )
+        .withColumn("coverage", F.col("covered") / F.col("grams"))
         .where((F.col("coverage") >= coverage) & (F.expr(f"2 * (end - start) <= 3 * (grams + {K - 1})")))
         .select("row", "label", "start", "end", "coverage", F.lit(False).alias("exact"))
     )

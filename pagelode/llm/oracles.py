@@ -1,7 +1,6 @@
 """DuckDB SQL of the training-data queries, where SQL can express them."""
 
-from pagelode.llm.licenses import NOTICES, PHRASES, template_grams
-from pagelode.llm.warc import BREAKS, ENTITIES, TAG, UNSEEN
+from pagelode.llm.licenses import NOTICES, PHRASES
 
 ORACLES: dict[str, str] = {}
 
@@ -140,52 +139,65 @@ HAVING count(*) >= 0.8 * item_shingles - 1e-9
 
 ORACLES["op5_vector_top_k"] = r"""
 WITH vectors AS (
-  SELECT vec_id, min([floor(64.0 * x::DOUBLE) FOR x IN embedding]) AS vector
+  SELECT row_number() OVER () AS row, vec_id, [floor(64.0 * x::DOUBLE) FOR x IN embedding] AS vector
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
-  GROUP BY vec_id
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.vector, v.vector)::BIGINT AS score
-  FROM vectors q JOIN vectors v ON v.vec_id <> q.vec_id AND len(v.vector) = len(q.vector)
+  SELECT q.row, q.vec_id AS query_id, v.vec_id,
+         list_dot_product(q.vector, v.vector)::BIGINT AS score
+  FROM vectors q JOIN vectors v ON v.row <> q.row AND len(v.vector) = len(q.vector)
   WHERE q.vec_id % 20 = 0
 )
 SELECT query_id,
-       (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+       (row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST))::INTEGER AS rank,
        vec_id, score
 FROM scored
 QUALIFY rank <= 20
 """
 
-GRAMS = ",\n    ".join(
-    f"({template}, '{label}', {exact}, {grams}, {pos}, '{gram}')"
-    for template, label, exact, grams, pos, gram in template_grams(PHRASES, NOTICES)
+TEMPLATES = ",\n    ".join(
+    f"({number}, '{label}', {exact}, '{text.replace(chr(39), chr(39) * 2)}')"
+    for number, (exact, label, text) in enumerate(
+        [(True, *phrase) for phrase in PHRASES] + [(False, *notice) for notice in NOTICES]
+    )
+)
+WORDS_OF = (
+    r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 )
 
 ORACLES["op6_license_scan"] = rf"""
-WITH templates(template, label, exact, grams, pos, gram) AS (VALUES
-    {GRAMS}
+WITH given(template, label, exact, text) AS (VALUES
+    {TEMPLATES}
+), told AS (
+  SELECT template, label, exact, {WORDS_OF.format("text")} AS words FROM given
+), templates AS (
+  SELECT template, label, exact, len(words) - 2 AS grams, i - 1 AS pos,
+         words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+  FROM told, unnest(range(1, len(words) - 1)) AS t(i)
 ), docs AS (
-  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  SELECT row_number() OVER () AS row, doc_id, {WORDS_OF.format("coalesce(text, '')")} AS words
   FROM documents
 ), doc_grams AS (
   SELECT row, i - 1 AS place, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
   FROM docs, unnest(range(1, greatest(1, len(words) - 1))) AS t(i)
+), met AS MATERIALIZED (
+  SELECT row, template, label, exact, grams, place, pos, place - pos AS diagonal
+  FROM doc_grams JOIN templates USING (gram)
 ), votes AS (
-  SELECT row, template, label, exact, grams, place - pos AS diagonal,
-         count(*) AS votes, min(place) AS start, max(place) + 3 AS "end"
-  FROM doc_grams JOIN templates USING (gram) GROUP BY ALL
+  SELECT row, template, label, exact, grams, diagonal, count(*) AS votes FROM met GROUP BY ALL
 ), opened AS (
   SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= 3 THEN 0 ELSE 1 END AS opens
   FROM votes WHERE NOT exact WINDOW w AS (PARTITION BY row, template ORDER BY diagonal)
 ), numbered AS (
-  SELECT *, sum(opens) OVER (PARTITION BY row, template ORDER BY diagonal) AS alignment FROM opened
+  SELECT row, template, diagonal,
+         sum(opens) OVER (PARTITION BY row, template ORDER BY diagonal) AS alignment
+  FROM opened
 ), aligned AS (
-  SELECT row, label, grams, min(start) AS start, max("end") AS "end",
-         least(1.0, sum(votes)::DOUBLE / grams) AS coverage
-  FROM numbered GROUP BY row, template, label, grams, alignment
+  SELECT row, label, grams, min(place) AS start, max(place) + 3 AS "end",
+         count(DISTINCT pos)::DOUBLE / grams AS coverage
+  FROM met JOIN numbered USING (row, template, diagonal)
+  GROUP BY row, template, label, grams, alignment
 ), found AS (
   SELECT row, label, diagonal AS start, 1.0::DOUBLE AS coverage, true AS exact
   FROM votes WHERE exact AND votes = grams
@@ -207,10 +219,30 @@ FROM docs LEFT JOIN gathered USING (row)
 """
 
 
+NAMED = (
+    "MAP {'lt': '<', 'gt': '>', 'quot': chr(34), 'apos': chr(39), 'nbsp': chr(32), 'copy': chr(169),"
+    " 'reg': chr(174), 'middot': chr(183), 'ndash': chr(8211), 'mdash': chr(8212),"
+    " 'hellip': chr(8230), 'laquo': chr(171), 'raquo': chr(187), 'amp': '&'}"
+)
+REFERENCE = (
+    "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|lt|gt|quot|apos|nbsp|copy|reg|middot|ndash|mdash|hellip|"
+    "laquo|raquo|amp);"
+)
+
+
 def decoded(text: str) -> str:
-    for name, character in ENTITIES:
-        text = f"replace({text}, '&{name};', '{character.replace(chr(39), chr(39) * 2)}')"
-    return text
+    """The pieces between references, each followed by what the reference behind it stands for."""
+    point = """CASE WHEN r[3] IN ('x', 'X')
+        THEN list_reduce(list_transform(string_split(lower(r[4:-2]), ''),
+               lambda d: instr('0123456789abcdef', d) - 1), lambda a, b: a * 16 + b)
+        ELSE try_cast(r[3:-2] AS BIGINT) END"""
+    shown = f"""CASE WHEN r[2] <> '#' THEN {NAMED}[r[2:-2]]
+        WHEN {point} BETWEEN 1 AND 55295 OR {point} BETWEEN 57344 AND 1114111 THEN chr(({point})::INTEGER)
+        ELSE r END"""
+    found = f"list_transform(regexp_extract_all({text}, '{REFERENCE}'), lambda r: {shown})"
+    pieces = f"regexp_split_to_array({text}, '{REFERENCE}')"
+    return f"""(CASE WHEN contains({text}, '&') THEN array_to_string(list_transform(
+      list_zip({pieces}, {found}), lambda z: z[1] || coalesce(z[2], '')), '') ELSE {text} END)"""
 
 
 def squeezed(text: str) -> str:
@@ -226,9 +258,27 @@ def urn(content: str) -> str:
 
 
 NL, CRLF = "chr(10)", "chr(13) || chr(10)"
+UNSEEN = (
+    r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)"
+    r"|head\b.*?</head\s*>|noscript\b.*?</noscript\s*>|template\b.*?</template\s*>)"
+)
+BREAKS = (
+    r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|nav|header|footer|main"
+    r"|aside|blockquote|pre|form|figure|title|body|html)\b[^>]*>"
+)
 SHOWN = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '{UNSEEN}', ' ', 'g'),
-       '\s+', ' ', 'g'), '{BREAKS}', chr(10), 'g'), '{TAG}', '', 'g')"""
+       '\s+', ' ', 'g'), '{BREAKS}', chr(10), 'g'), '</?[a-zA-Z!?][^>]*>', '', 'g')"""
 TITLE = r"regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '\s+', ' ', 'g')"
+QUOTED = r"""("[^"]*"|\x27[^\x27]*\x27|[^\s"\x27>]+)"""
+LANGUAGE = rf"regexp_extract(html, '(?is)<html\b[^>]*?\slang\s*=\s*{QUOTED}', 1)"
+LINKS = rf"regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*{QUOTED}', 1)"
+
+
+def unquoted(value: str) -> str:
+    return rf"""regexp_replace({value}, '^["\x27]|["\x27]$', '', 'g')"""
+
+
+OUTLINK = decoded(rf"regexp_replace({unquoted('link')}, '\s+', ' ', 'g')")
 
 ORACLES["op7_warc_derivatives"] = rf"""
 WITH sources AS (
@@ -238,8 +288,7 @@ WITH sources AS (
   FROM pages
 ), fields AS (
   SELECT *, 'Content-Length: ' || strlen(html) AS length_header,
-         [ 'outlink: ' || regexp_replace(link, '\s+', ' ', 'g') || {CRLF}
-           FOR link IN regexp_extract_all(html, '(?is)<a\b[^>]*\bhref="([^"]*)"', 1)] AS links
+         list_transform({LINKS}, lambda link: 'outlink: ' || {OUTLINK} || {CRLF}) AS links
   FROM sources
 ), made AS (
   SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
@@ -247,7 +296,7 @@ WITH sources AS (
          || 'source-header: Content-Type: text/html; charset=utf-8' || {CRLF}
          || 'source-header: ' || length_header || {CRLF}
          || 'title: ' || {squeezed(decoded(TITLE))} || {CRLF}
-         || 'language: ' || regexp_extract(html, '(?is)<html[^>]*\blang="([^"]*)"', 1) || {CRLF}
+         || 'language: ' || {unquoted(LANGUAGE)} || {CRLF}
          || array_to_string(links, '') AS block
   FROM fields
   UNION ALL

@@ -126,47 +126,46 @@ def _calibrate(view: View, rows: DataFrame) -> View:
     return View(view.model, view.name, slope, float(scale.intercept))
 
 
-def co_train(pool: DataFrame, rounds: int = 2, confident: float = 0.95) -> CoModel:
-    """A model from `pool (key, label, text, meta)` whose rows without label are unlabelled.
+def co_train(rows: DataFrame, rounds: int = 3, confident: float = 0.95) -> CoModel:
+    """A model from `rows (key, label, text, meta)` whose rows without label are unlabelled.
 
     In each round both views are fitted on their labels and calibrated on a held-out quarter of
-    the true ones. Then each gives the unlabelled rows of which it is sure, with `confident`
-    or more for either class, to the other view as labels of the next round. With fewer than
-    LEAST_ROWS rows of a class, fitted or held out, the model is the share of good labels
-    (half, if there are none).
+    the true ones. Then each scores all unlabelled rows, and those of which it is sure, with
+    `confident` or more for either class, are labelled for the other view in the next round.
+    `rows` should be stored: pseudo-labels are not written, but worked out from the models of
+    the round before where a view is fitted. With fewer than LEAST_ROWS rows of a class,
+    fitted or held out, the model is the share of good labels (half, if there are none).
     """
     fold = F.pmod(F.xxhash64("key", F.lit("fold")), F.lit(FOLDS)).cast("int")
-    rows = stored(
-        pool.withColumns({
-            "fold": F.when(F.col("label").isNotNull(), fold).otherwise(F.lit(1)),
-            "y_text": F.col("label"),
-            "y_meta": F.col("label"),
-        }),
-        "pool",
-    )
+    rows = rows.withColumn("fold", F.when(F.col("label").isNotNull(), fold).otherwise(F.lit(1)))
     counts = rows.where("label is not null").groupBy("label", F.expr("fold = 0")).count().collect()
     known = {label: sum(n for other, _, n in counts if other == label) for label in (0.0, 1.0)}
     prior = (known[1.0] + 1) / (known[0.0] + known[1.0] + 2)
     if len([n for *_, n in counts if n >= LEAST_ROWS]) < 4:
         return CoModel({}, prior)
-    for last in [False] * (rounds - 1) + [True]:
-        views = {name: _calibrate(_fit(rows, name, f"y_{name}"), rows) for name in VIEWS}
-        if last:
-            break
-        sure = F.log(F.lit(confident / (1 - confident)))
-        for name, view in views.items():
-            rows = view.logit(rows, f"_{name}")
-        given = {
-            f"y_{other}": F.coalesce(
-                "label",
-                F.when(F.col(f"_{name}") >= sure, 1.0).when(F.col(f"_{name}") <= -sure, 0.0),
-            )
-            for name, other in (VIEWS, VIEWS[::-1])
-        }
-        rows = stored(rows.withColumns(given).drop("_text", "_meta"), "pool")
+    told = rows.withColumns({f"y_{name}": F.col("label") for name in VIEWS})
+    for number in range(rounds):
+        views = {name: _calibrate(_fit(told, name, f"y_{name}"), rows) for name in VIEWS}
+        if number + 1 < rounds:
+            told = _exchanged(rows, views, confident)
     return CoModel(views, prior)
 
 
+def _exchanged(rows: DataFrame, views: dict[str, View], confident: float) -> DataFrame:
+    """`rows` with what the other view is sure of as the labels `y_text` and `y_meta`."""
+    sure = F.log(F.lit(confident / (1 - confident)))
+    for name, view in views.items():
+        rows = view.logit(rows, f"_{name}")
+    given = {
+        f"y_{other}": F.coalesce(
+            "label",
+            F.when(F.col(f"_{name}") >= sure, 1.0).when(F.col(f"_{name}") <= -sure, 0.0),
+        )
+        for name, other in (VIEWS, VIEWS[::-1])
+    }
+    return rows.withColumns(given).drop("_text", "_meta")
+
+
 def score_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -176,14 +175,14 @@ def score_quality(
     size_col: str | None = "n_chars",
     label_col: str = "quality",
     labelled_rows: int = 20_000,
-    unlabelled_rows: int = 20_000,
-    rounds: int = 2,
+    rounds: int = 3,
 ) -> DataFrame:
     """One row `(id, p_text, p_meta, score, good)` for each document.
 
-    The classifier is fitted on about `labelled_rows` labelled and `unlabelled_rows` other
-    documents at most, chosen by hashes of their ids; every document is scored, by the same
-    expressions. The chosen ids are a broadcast of that bound; no text is shuffled.
+    About `labelled_rows` labels at most, chosen by hashes of their ids, count; they are a
+    broadcast of that bound. All other documents are unlabelled rows: each view scores all of
+    them in every round, and learns from all that the other view is sure of. The features of
+    all documents are written once and read for fits and scores; no text is shuffled.
 
     Labels other than 0 and 1, and null ids of labels, teach nothing; if the labels of an id
     disagree, the most frequent counts, 1 on a tie. A document without id is scored and not
@@ -203,14 +202,10 @@ def score_quality(
         .groupBy(F.col(id_col).alias("key"))
         .agg((F.avg(label_col) >= 0.5).cast("double").alias("label"))
     )
-    total, there = docs.count(), known.count()
+    there = known.count()
     known = known.where(draw < (1 << 40) * labelled_rows // max(1, there, labelled_rows))
-    others = draw < (1 << 40) * unlabelled_rows // max(1, total, unlabelled_rows)
-    pool = own.where("key is not null").join(F.broadcast(known), "key", "left")
-    pool = pool.where(F.col("label").isNotNull() | others)
-    pool = with_views(pool).select("key", "label", "text", "meta")
-    model = co_train(pool, rounds)
-    scored = model.score(with_views(own))
-    return scored.select(
+    rows = with_views(own.join(F.broadcast(known), "key", "left"))
+    rows = stored(rows.select("key", "label", "text", "meta"), "features")
+    return co_train(rows, rounds).score(rows).select(
         F.col("key").alias("id"), "p_text", "p_meta", "score", (F.col("score") >= 0.5).alias("good")
     )

@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+import pickle
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import stored
+from pagelode.llm.common import short_numbers, stored
 
 SHARD_ROWS = 8192
-QUERY_ROWS = 2048
+#: Most queries of one broadcast, and about its most bytes.
+QUERY_ROWS = 16_384
+QUERY_BYTES = 32 << 20
 LEAF_ROWS = 64
 LONG_MAX = 2**63 - 1
+#: A result `(-score, without id, id)`: the best ones sort first.
+Found = tuple[int, bool, int]
 
 
 class KdTree:
@@ -25,9 +32,12 @@ class KdTree:
     every inner product is exact in it, else Python's integers.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf_rows: int = LEAF_ROWS) -> None:
-        order, lows, highs, ranges = np.arange(len(ids)), [], [], []
-        pending = [(0, len(ids))]
+    def __init__(
+        self, rows: np.ndarray, ids: np.ndarray, nameless: np.ndarray, vectors: np.ndarray,
+        leaf_rows: int = LEAF_ROWS,
+    ) -> None:
+        order, lows, highs, ranges = np.arange(len(rows)), [], [], []
+        pending = [(0, len(rows))]
         self.children: list[tuple[int, int] | None] = []
         at = 0
         while at < len(pending):
@@ -50,18 +60,40 @@ class KdTree:
             at += 1
         self.ranges = ranges
         self.lows, self.highs = np.array(lows), np.array(highs)
-        self.sorted_ids, self.sorted = ids[order], vectors[order]
-
-    def search(self, own: int, query: np.ndarray, k: int, bound: int | None) -> list[tuple]:
-        """The k best `(score, id)` but for `own`, of those that reach `bound`; ties to smaller ids.
+        self.rows, self.ids, self.nameless = rows[order], ids[order], nameless[order]
+        self.sorted = vectors[order]
+
+    def __getstate__(self) -> dict:
+        state = {name: short_numbers(getattr(self, name)) for name in ("sorted", "lows", "highs")}
+        return self.__dict__ | state
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        for name in ("sorted", "lows", "highs"):
+            numbers = state[name]
+            setattr(self, name, numbers if numbers.dtype == object else numbers.astype(np.float64))
+
+    def exact_with(self, most: float) -> KdTree:
+        """The tree itself, or with Python's integers if products with such components need them."""
+        own = max(np.abs(ends.astype(np.float64)).max(initial=0.0) for ends in (self.lows, self.highs))
+        if self.sorted.dtype == object or own * most * max(1, self.sorted.shape[1]) < 2**52:
+            return self
+        other = object.__new__(KdTree)
+        other.__dict__ |= self.__dict__
+        for name in ("sorted", "lows", "highs"):
+            setattr(other, name, getattr(self, name).astype(np.int64).astype(object))
+        return other
+
+    def search(self, own: int, query: np.ndarray, k: int, best: list[Found]) -> list[Found]:
+        """`best` with the k best of it and of this tree, but for the row `own`.
 
         Nodes are visited in the order of the highest inner product that their box allows. The
-        kth score found so far, and before that the bound from other shards, ends the search
-        when no box left can reach it; boxes that can only tie it are still opened.
+        kth score found so far, in this shard or one before, ends the search when no box left
+        can reach it; boxes that can only tie it are still opened.
         """
         tops = np.maximum(query, 0) @ self.highs.T + np.minimum(query, 0) @ self.lows.T
-        heap, found = [(-tops[0], 0)], []
-        kth = bound
+        heap, found = [(-tops[0], 0)], best
+        kth = -best[-1][0] if len(best) >= k else None
         while heap:
             top, node = heapq.heappop(heap)
             if kth is not None and -top < kth:
@@ -72,17 +104,16 @@ class KdTree:
                         heapq.heappush(heap, (-tops[child], child))
                 continue
             start, stop = self.ranges[node]
-            scores, ids = self.sorted[start:stop] @ query, self.sorted_ids[start:stop]
-            keep = ids != own
+            scores = self.sorted[start:stop] @ query
+            keep = self.rows[start:stop] != own
             if kth is not None:
-                keep &= scores >= kth
-            if not keep.any():
-                continue
-            found += [(-int(s), int(i)) for s, i in zip(scores[keep], ids[keep], strict=True)]
-            if len(found) >= k:
-                found = heapq.nsmallest(k, found)
-                kth = -found[-1][0] if kth is None else max(kth, -found[-1][0])
-        return [(-score, i) for score, i in sorted(found)[:k]]
+                keep &= (scores >= kth).astype(bool)
+            at = np.flatnonzero(keep)
+            if len(at):
+                told = zip(scores[at], self.nameless[start + at], self.ids[start + at], strict=True)
+                found = heapq.nsmallest(k, [*found, *((-int(s), bool(n), int(i)) for s, n, i in told)])
+                kth = -found[-1][0] if len(found) >= k else None
+        return sorted(found)
 
 
 def exact_numbers(vectors: np.ndarray) -> np.ndarray:
@@ -115,80 +146,110 @@ def top_k(
 
     Each component x becomes floor(scale * x). `queries` says by its id whether a row is a
     query; its candidates are all rows but itself. Equal scores go to the smaller id. Vectors
-    are dealt by a hash of the id to shards of about `shard_rows`, each of which builds one
-    tree; queries come in blocks of about `query_rows`. The first pass answers each block in
-    one shard, and the kth score found there is the bound that the block takes to all other
-    shards, where most leaves and results fall away. Every pair of shard and block is a group
-    of its own and holds those two alone.
-
-    Null vectors, vectors with a null or non-finite component, and rows without id take no
-    part. Vectors of another length than the query's are no candidates; empty ones score 0.
-    An id that repeats counts once, with its smallest vector. Components and scores beyond a
-    long are cut to its ends. An empty table, or one without queries, gives no rows.
+    are dealt once to shards of about `shard_rows`, each of which builds one tree that is
+    written. Queries come in blocks of at most about `query_rows` and QUERY_BYTES, each a
+    broadcast and a pass over the trees that is written before the next. A task takes its
+    shards one after the other, and the kth score of a query goes on from each to the next, where
+    most leaves and results fall away; it gives at most k rows of a query.
+
+    Null vectors and those with a null or non-finite component take no part. Vectors of
+    another length than the query's are no candidates; empty ones score 0. Every row counts:
+    of rows with one id each is a query and a candidate of the others, and a row without id
+    is a candidate that comes last among equal scores, without id. Components and scores
+    beyond a long are cut to its ends. An empty table, or one without queries, gives no rows.
     """
     whole = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale))
-    clean = rows.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(
-        F.col(id_col).cast("long").alias("id"), whole.alias("vector")
+    clean = rows.where(usable(F.col(vector_col))).select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), whole.alias("vector")
     )
-    clean = clean.groupBy("id").agg(F.min("vector").alias("vector"))
-    clean = stored(clean.withColumn("size", F.size("vector")), "vectors")
-    total, asked = clean.agg(F.count("*"), F.count_if(queries(F.col("id")))).first()
-    shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-asked // query_rows))
-    own_shard = F.pmod(F.xxhash64("id"), F.lit(shards))
-    own_block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))
-    members = clean.withColumn("shard", own_shard)
-    wanted = clean.where(queries(F.col("id"))).withColumn("block", own_block)
-
-    def groups(home: bool) -> tuple[DataFrame, DataFrame]:
-        """Members once for each block, and queries once for each shard, that they meet."""
-
-        def met(count: int, here: Column) -> Column:
-            numbers = F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))
-            return F.explode(F.filter(numbers, lambda x: here(x) if home else ~here(x)))
-
-        return (
-            members.withColumn("block", met(blocks, lambda b: b % shards == F.col("shard"))),
-            wanted.withColumn("shard", met(shards, lambda s: F.col("block") % shards == s)),
-        )
-
-    vectors, asking = groups(home=True)
-    asking = asking.withColumn("bound", F.lit(None).cast("long"))
-    first = stored(_search(vectors, asking, k), "first")
-    if shards == 1:
-        found = first
-    else:
-        kth = first.where(F.col("place") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
-        vectors, asking = groups(home=False)
-        found = first.unionByName(_search(vectors, asking.join(kth, "id", "left"), k))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    clean = stored(clean, "vectors")
+    total = clean.count()
+    dealt = clean.repartition(max(1, -(-total // shard_rows)), "row")
+    trees = stored(dealt.mapInArrow(_planted(shard_rows), "size int, tree binary"), "kd-trees")
+    wanted = stored(clean.where(queries(F.col("id"))), "queries")
+    size = F.coalesce(F.sum(8 * F.size("vector") + 32), F.lit(0))
+    asked, octets = wanted.agg(F.count(F.lit(1)), size).first()
+    blocks = max(1, -(-asked // query_rows), -(-octets // QUERY_BYTES))
+    found = []
+    for block in range(blocks):
+        own = wanted.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == block)
+        told = rows.sparkSession.sparkContext.broadcast(_questions(own))
+        schema = "row long, query_id long, vec_id long, score long"
+        found.append(stored(trees.mapInArrow(_searched(told, k), schema), "found"))
+        told.unpersist()
+    best = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return (
-        found.withColumn("rank", F.row_number().over(best))
+        reduce(DataFrame.unionByName, found)
+        .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
 
 
-def _search(members: DataFrame, asking: DataFrame, k: int) -> DataFrame:
-    def search(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple] = []
-        if len(rows) and len(wanted):
-            size = len(rows["vector"].iloc[0])
-            both = [*rows["vector"], *wanted["vector"]]
-            numbers = exact_numbers(np.array(both, dtype=np.int64).reshape(len(both), size))
-            tree = KdTree(rows["id"].to_numpy(), numbers[: len(rows)])
-            bounds = [None if pd.isna(b) else int(b) for b in wanted["bound"].astype(object)]
-            for i, own in enumerate(wanted["id"]):
-                best = tree.search(int(own), numbers[len(rows) + i], k, bounds[i])
-                found += [
-                    (int(own), place, vec_id, max(-LONG_MAX - 1, min(LONG_MAX, score)))
-                    for place, (score, vec_id) in enumerate(best, 1)
-                ]
-        return pd.DataFrame(found, columns=["query_id", "place", "vec_id", "score"])
-
-    keys = ["size", "shard", "block"]
-    asking = asking.toDF(*asking.columns)  # columns of its own, as both come from one table
-    return (
-        members.groupBy(*keys)
-        .cogroup(asking.groupBy(*keys))
-        .applyInPandas(search, "query_id long, place int, vec_id long, score long")
-    )
+def _questions(own: DataFrame) -> dict[int, list[tuple[int, int, list[int]]]]:
+    """By length of the vector: row, id and vector of each query."""
+    found = defaultdict(list)
+    for row in own.collect():
+        found[len(row["vector"])].append((row["row"], row["id"], row["vector"]))
+    return dict(found)
+
+
+def _planted(shard_rows: int):
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list[tuple]] = defaultdict(list)
+
+        def planted(size: int) -> pa.RecordBatch:
+            rows, ids, vectors = zip(*waiting.pop(size), strict=True)
+            numbers = exact_numbers(np.array(vectors, dtype=np.int64).reshape(len(rows), size))
+            tree = KdTree(
+                np.array(rows),
+                np.array([0 if i is None else i for i in ids], dtype=np.int64),
+                np.array([i is None for i in ids]),
+                numbers,
+            )
+            columns = [pa.array([size], pa.int32()), pa.array([pickle.dumps(tree)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["size", "tree"])
+
+        for batch in batches:
+            vectors = batch.column("vector")
+            for at, (row, id_) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("row", "id")), strict=True)):
+                vector = vectors[at].values.to_numpy()
+                waiting[len(vector)].append((row, id_, vector))
+                if len(waiting[len(vector)]) >= 2 * shard_rows:
+                    yield planted(len(vector))
+        for size in list(waiting):
+            yield planted(size)
+
+    return plant
+
+
+def _searched(told, k: int):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = {
+            size: (own, np.array([v for *_, v in own], dtype=np.int64).reshape(len(own), size))
+            for size, own in told.value.items()
+        }
+        best: dict[int, list[Found]] = defaultdict(list)
+        for batch in batches:
+            for size, data in zip(batch.column("size").to_pylist(), batch.column("tree"), strict=True):
+                if size not in asked:
+                    continue
+                own, vectors = asked[size]
+                tree = pickle.loads(data.as_py())
+                mosts = np.abs(vectors.astype(np.float64)).max(axis=1, initial=0.0)
+                exact = tree.exact_with(mosts.max(initial=0.0))
+                numbers = vectors.astype(object if exact.sorted.dtype == object else np.float64)
+                for (row, *_), vector in zip(own, numbers, strict=True):
+                    best[row] = exact.search(row, vector, k, best[row])
+        long = lambda score: max(-LONG_MAX - 1, min(LONG_MAX, score))
+        rows = [
+            (row, id_, None if nameless else found, long(-score))
+            for own, _ in asked.values()
+            for row, id_, _ in own
+            for score, nameless, found in best.get(row, [])
+        ]
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        arrays = [pa.array(list(column), pa.int64()) for column in columns]
+        yield pa.RecordBatch.from_arrays(arrays, names=["row", "query_id", "vec_id", "score"])
+
+    return search

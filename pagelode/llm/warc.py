@@ -5,35 +5,33 @@ Column expressions alone; nothing is shuffled. Blocks are strings; lengths count
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelode.functions.text import let
 
 CRLF = "\r\n"
-#: Named character references that are decoded, `&amp;` last.
-ENTITIES = [
-    ("lt", "<"),
-    ("gt", ">"),
-    ("quot", '"'),
-    ("apos", "'"),
-    ("nbsp", " "),
-    ("copy", "©"),
-    ("reg", "®"),
-    ("middot", "·"),
-    ("ndash", "–"),
-    ("mdash", "—"),
-    ("hellip", "…"),
-    ("laquo", "«"),
-    ("raquo", "»"),
-    ("amp", "&"),
-]
-NUMBERED = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+#: The named character references that are decoded.
+ENTITIES = {
+    "lt": "<",
+    "gt": ">",
+    "quot": '"',
+    "apos": "'",
+    "nbsp": " ",
+    "copy": "©",
+    "reg": "®",
+    "middot": "·",
+    "ndash": "–",
+    "mdash": "—",
+    "hellip": "…",
+    "laquo": "«",
+    "raquo": "»",
+    "amp": "&",
+}
+REFERENCE = rf"&(?:#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|{'|'.join(ENTITIES)});"
 UNSEEN = (
-    r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|head\b.*?</head\s*>"
-    r"|noscript\b.*?</noscript\s*>|template\b.*?</template\s*>)"
+    r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)"
+    r"|head\b.*?</head\s*>|noscript\b.*?</noscript\s*>|template\b.*?</template\s*>)"
 )
 #: Every run of white space, or of blanks, but for single spaces, which stay as they are.
 SPACES = r"\s{2,}|[\t\n\x0B\f\r]"
@@ -59,27 +57,42 @@ def digest(content: Column) -> Column:
 
 
 def decoded(text: Column) -> Column:
-    """The text with named and numbered character references replaced; unknown ones stay."""
-
-    def numbered(done: Column, reference: Column) -> Column:
-        digits = F.regexp_extract(reference, "([0-9a-fA-F]+);", 1)
-        base = F.when(F.lower(F.substring(reference, 3, 1)) == "x", 16).otherwise(10)
-        point = F.when(base == 16, F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+    """The text with named and numbered character references replaced, in one pass: what a
+    reference stands for is not looked at again. Unknown ones stay."""
+    names = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+
+    def character(reference: Column) -> Column:
+        name = F.substring(reference, F.lit(2), F.length(reference) - 2)
+        digits = F.regexp_extract(name, "([0-9a-fA-F]+)$", 1)
+        hexadecimal = F.lower(F.substring(name, 2, 1)) == "x"
+        point = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
         valid = point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)
-        character = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
-        return F.when(valid, F.replace(done, reference, character)).otherwise(done)
-
-    def with_numbers(text: Column) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBERED), 0))
-        return F.when(text.rlike(NUMBERED), F.aggregate(found, text, numbered)).otherwise(text)
-
-    def with_names(text: Column) -> Column:
-        return reduce(lambda t, e: F.replace(t, F.lit(f"&{e[0]};"), F.lit(e[1])), ENTITIES, text)
-
-    def with_both(text: Column) -> Column:
-        return F.when(F.contains(text, F.lit("&")), with_names(let(text, with_numbers))).otherwise(text)
-
-    return let(text, with_both)
+        numbered = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+        return F.when(~name.startswith("#"), F.try_element_at(names, name)).otherwise(
+            F.when(valid, numbered).otherwise(reference)
+        )
+
+    def joined(pieces: Column, references: Column) -> Column:
+        return F.array_join(
+            F.zip_with(
+                pieces,
+                references,
+                lambda piece, r: F.concat(piece, F.when(r.isNull(), F.lit("")).otherwise(character(r))),
+            ),
+            "",
+        )
+
+    def replaced(own: Column) -> Column:
+        whole = let(
+            F.split(own, REFERENCE, -1),
+            lambda pieces: let(
+                F.regexp_extract_all(own, F.lit(REFERENCE), 0),
+                lambda references: joined(pieces, references),
+            ),
+        )
+        return F.when(F.contains(own, F.lit("&")), whole).otherwise(own)
+
+    return let(text, replaced)
 
 
 def squeezed(text: Column) -> Column:
@@ -95,6 +108,15 @@ def plain_text(html: Column) -> Column:
     return squeezed(decoded(lines))
 
 
+def attribute(tag: str, name: str) -> str:
+    """A pattern whose group is the first such attribute of a tag: quoted either way, or bare."""
+    return rf"""(?is)<{tag}\b[^>]*?\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def unquoted(value: Column) -> Column:
+    return F.regexp_replace(value, "^[\"']|[\"']$", "")
+
+
 def page_responses(
     pages: DataFrame,
     id_col: str = "page_id",
@@ -170,9 +192,14 @@ def derive(responses: DataFrame) -> DataFrame:
     )
     page = F.when(F.col("is_page"), F.col("payload")).otherwise(F.lit(""))
     title = squeezed(decoded(F.regexp_replace(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " ")))
-    language = F.regexp_extract(page, r"(?is)<html[^>]*\blang=\"([^\"]*)\"", 1)
-    links = F.regexp_extract_all(page, F.lit(r"(?is)<a\b[^>]*\bhref=\"([^\"]*)\""), 1)
-    links = F.transform(links, lambda link: F.concat(F.lit("outlink: "), F.regexp_replace(link, r"\s+", " ")))
+    language = unquoted(F.regexp_extract(page, attribute("html", "lang"), 1))
+    links = F.regexp_extract_all(page, F.lit(attribute("a", "href")), 1)
+    links = F.transform(
+        links,
+        lambda link: F.concat(
+            F.lit("outlink: "), decoded(F.regexp_replace(unquoted(link), r"\s+", " "))
+        ),
+    )
     fields = F.concat(
         F.array(F.concat(F.lit("status: "), F.regexp_extract("head", r"^HTTP/[0-9.]+ ([0-9]+)", 1))),
         F.transform("headers", lambda line: F.concat(F.lit("source-header: "), line)),

@@ -65,14 +65,37 @@ def base_spans(text):
     return sorted(found)
 
 
-def learned_spans(text, base, ratios, alphabet, threshold, least=20):
+def piece_score(piece, ratios, alphabet):
+    codes = [alphabet.index(c) for c in piece]
+    return sum(round(ratios[a * len(alphabet) + b], 5) for a, b in pairwise(codes))
+
+
+def learned_spans(text, base, ratios, alphabet, threshold, least=10, marks="/_.=-"):
+    """Of each run that base spans leave over, the stretches of whole pieces that pass."""
+    rest = list(text or "")
+    for start, _, end, _ in base:
+        rest[start:end] = " " * (end - start)
     found = []
-    for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", text or ""):
-        codes = [alphabet.index(c) for c in m[0]]
-        score = sum(round(ratios[a * len(alphabet) + b], 5) for a, b in pairwise(codes))
-        free = all(b[2] <= m.start() or m.end() <= b[0] for b in base)
-        if len(m[0]) >= least and score >= threshold and free:
-            found.append((m.start(), 3, m.end(), "markov"))
+    for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", "".join(rest)):
+        if len(m[0]) < least:
+            continue
+        pieces, at = [], m.start()
+        for piece in re.split(f"[{marks}]", m[0]):
+            pieces.append((at, at + len(piece), piece_score(piece, ratios, alphabet)))
+            at += len(piece) + 1
+        i = 0
+        while i < len(pieces):
+            total, best, end, j = 0.0, 0.0, i, i
+            while j < len(pieces):
+                total += pieces[j][2]
+                if total > best:
+                    best, end = total, j + 1
+                j += 1
+                if total <= 0 or total <= best - threshold:
+                    break
+            if best >= threshold and pieces[end - 1][1] - pieces[i][0] >= least:
+                found.append((pieces[i][0], 3, pieces[end - 1][1], "markov"))
+            i = j
     return found
 
 

@@ -65,6 +65,10 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(leaks, "BLOCK_BYTES", 900)
     docs = planted()
     assert found_in(documents(spark, docs), items_of(spark)) == wanted(docs)
+    table = clashing(documents(spark, docs + docs, [*range(len(docs)), *[None] * len(docs)]))
+    out = with_items(table, F.col("text"), items_of(spark))
+    assert rows(out.drop("items")) == rows(table.drop("items"))
+    assert out.where("size(items) > 0").count() == 2 * len({doc for doc, *_ in wanted(docs)})
 
 
 def test_documents_come_back_whole(spark):

@@ -62,3 +62,44 @@ def test_extra_columns_repeated_rows_and_empty_table(spark):
 def test_a_doubled_text_votes_once(spark):
     twice = scan_licenses(documents(spark, [f"{MIT} {MIT}"])).first()
     assert len(twice["spans"]) == 2 and twice["score"] == 1.0
+
+
+def test_repeated_words_do_not_cover_a_notice(spark):
+    texts_ = ["under cc by " * 3, "under cc by " * 400, "licensed under cc by under cc by nc 4 0"]
+    found = [r for r in scan_licenses(documents(spark, texts_)).orderBy("id").collect()]
+    assert [(r["labels"], r["score"]) for r in found[:2]] == [("", 0.0)] * 2
+    assert found[2]["labels"] == "cc-by-nc"
+
+
+def plain_alignments(text, notices):
+    """For each notice the share of its k-grams in each group of neighbouring diagonals."""
+    words, out = brute.plain_words(text), []
+    for label, notice in notices:
+        own = template_words(notice)
+        grams = [tuple(own[i : i + 3]) for i in range(len(own) - 2)]
+        met = sorted(
+            (i - pos, i, pos)
+            for i in range(len(words) - 2)
+            for pos, gram in enumerate(grams)
+            if tuple(words[i : i + 3]) == gram
+        )
+        groups = []
+        for diagonal, i, pos in met:
+            if not groups or diagonal - groups[-1][-1][0] > 3:
+                groups.append([])
+            groups[-1].append((diagonal, i, pos))
+        for group in groups:
+            start, end = min(i for _, i, _ in group), max(i for _, i, _ in group) + 3
+            share = len({pos for *_, pos in group}) / len(grams)
+            if share >= 0.6 and 2 * (end - start) <= 3 * len(own):
+                out.append((label, start, end, share))
+    return sorted(out)
+
+
+def test_alignments_equal_brute_force(spark):
+    more = [f"{prose(3, 9)} {n} {prose(4, 5)} {n} {' '.join(n.split()[2:])}" for _, n in NOTICES]
+    found = {r["id"]: r for r in scan_licenses(documents(spark, DOCS + more)).collect()}
+    for i, text in enumerate(DOCS + more):
+        own = [(s["label"], s["start"], s["end"], s["coverage"]) for s in found[i]["spans"]]
+        phrases = [(label, at, at + len(dict(PHRASES)[label].split()), 1.0) for at, label in places(text)]
+        assert sorted(own) == sorted(plain_alignments(text, NOTICES) + phrases)

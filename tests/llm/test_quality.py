@@ -1,5 +1,8 @@
+import math
+
 from pyspark.sql import functions as F
 
+from pagelode.llm import quality
 from pagelode.llm.quality import score_quality
 from tests.llm.tables import clashing, documents, prose, rows
 
@@ -53,3 +56,47 @@ def test_one_class_gives_its_share(spark):
     found = score_quality(corpus(spark, 40), only)
     assert {r["score"] for r in found.collect()} == {39 / 40}
     assert found.select(F.count("*")).first()[0] == 40
+
+
+def test_views_exchange_what_they_are_sure_of(spark):
+    """The labels of the next round and the score against plain arithmetic."""
+    known = labels(spark, range(0, 300, 2)).select(
+        F.col("doc_id").alias("key"), F.col("quality").cast("double").alias("label")
+    )
+    docs = corpus(spark, 300).select(
+        F.col("doc_id").alias("key"),
+        F.col("text").alias("content"),
+        F.array("source", "lang").alias("metadata"),
+        F.col("n_chars").cast("double").alias("chars"),
+    )
+    table = quality.with_views(docs.join(known, "key", "left")).select("key", "label", "text", "meta").cache()
+    model = quality.co_train(table, rounds=3)
+    told = quality._exchanged(table, model.views, 0.95).select("key", "label", "y_text", "y_meta")
+    scored = model.score(table).select("key", "p_text", "p_meta", "score")
+    for row in told.join(scored, "key").collect():
+        for other, name in (("meta", "text"), ("text", "meta")):
+            p = row[f"p_{name}"]
+            if abs(p - 0.95) > 1e-4 and abs(p - 0.05) > 1e-4:
+                sure = 1.0 if p >= 0.95 else 0.0 if p <= 0.05 else None
+                assert row[f"y_{other}"] == (sure if row["label"] is None else row["label"])
+        parts = [row["p_text"], row["p_meta"], model.prior]
+        if all(0.0001 < p < 0.9999 for p in parts):
+            text, meta, prior = (math.log(p / (1 - p)) for p in parts)
+            assert abs(row["score"] - 1 / (1 + math.exp(prior - text - meta))) < 0.02
+    given = told.where("label is null and (y_text is not null or y_meta is not null)")
+    assert given.count() > 100
+    table.unpersist()
+
+
+def test_words_seen_only_in_unlabelled_rows_are_learned(spark):
+    """The metadata view teaches the text view a word that no labelled row has."""
+    words = {True: ("badword", "strangeword"), False: ("", "")}
+    data = [
+        (i, f"{prose(i, 30)} {words[i % 4 == 0][i >= 200]}", "en", "bad" if i % 4 == 0 else "src", 200)
+        for i in range(600)
+    ]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["id"]: r for r in score_quality(docs, labels(spark, range(200))).collect()}
+    low = sum(found[i]["p_text"] for i in range(200, 600) if i % 4 == 0) / 100
+    high = sum(found[i]["p_text"] for i in range(200, 600) if i % 4) / 300
+    assert low < high

@@ -27,26 +27,29 @@ ODD = [
     (541, [1e19, 1e3, 0.0]),
     (542, [2.0, 1.0, 0.0]),
     (20, [9.0] * 6),
+    (20, [9.0] * 6),
+    (None, [9.0] * 6),
+    (7, [9.0] * 6),
 ]
 
 
 def wanted(data, k, every):
     long = lambda x: max(-(2**63), min(2**63 - 1, x))
-    usable = {}
-    for i, vector in data:
-        if i is None or vector is None or any(x is None or not math.isfinite(x) for x in vector):
-            continue
-        whole = [long(math.floor(64 * x)) for x in vector]
-        usable[i] = min(usable.get(i, whole), whole)
+    usable = [
+        (i, [long(math.floor(64 * x)) for x in vector])
+        for i, vector in data
+        if vector is not None and all(x is not None and math.isfinite(x) for x in vector)
+    ]
     out = []
-    for q in usable:
-        if q % every == 0:
+    for own, (q, vector) in enumerate(usable):
+        if q is not None and q % every == 0:
             scores = [
-                (-long(sum(a * b for a, b in zip(usable[q], v, strict=True))), i)
-                for i, v in usable.items()
-                if i != q and len(v) == len(usable[q])
+                (-long(sum(a * b for a, b in zip(vector, v, strict=True))), i is None, i or 0)
+                for at, (i, v) in enumerate(usable)
+                if at != own and len(v) == len(vector)
             ]
-            out += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(scores)[:k], 1)]
+            best = enumerate(sorted(scores)[:k], 1)
+            out += [(q, rank, None if none else i, -s) for rank, (s, none, i) in best]
     return sorted(out, key=repr)
 
 
@@ -65,6 +68,14 @@ def test_ties_and_fewer_than_k(spark):
     assert rows(top_k(table, lambda i: i % 10 == 0, k=50, shard_rows=3)) == wanted(data, 50, 10)
 
 
+def test_repeated_and_missing_ids_all_count(spark):
+    data = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (None, [1.0, 1.0])]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    found = rows(top_k(table, lambda i: i % 20 == 0, k=20))
+    assert len(found) == 8 and found == wanted(data, 20, 20)
+    assert [r[2] for r in found if r[1] == 3] == [None, None]
+
+
 def test_empty_table(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert rows(top_k(table, lambda i: i % 20 == 0)) == []

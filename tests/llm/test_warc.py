@@ -68,12 +68,30 @@ def test_other_types_and_odd_blocks(spark):
 
 
 def test_references_equal_the_standard_ones(spark):
-    values = ["&lt;&gt;&amp;&quot;&copy;&middot;", "&#65;&#x42;&#0067;", "&amp;lt;", "&unknown; & &#;", "none"]
+    values = ["&lt;&gt;&amp;&quot;&copy;&middot;", "&#65;&#x42;&#0067;", "&amp;lt;", "&unknown; & &#;", "none",
+              "&#38;lt;b&#38;gt;", "&#38;#60; and &#60;", "&amp;&#97;&amp;#97;", "&#x1F600;&#xe9;|", ""]
     table = spark.createDataFrame([(v,) for v in values], "text string")
     for row in table.select("text", decoded(F.col("text")).alias("out")).collect():
         assert row["out"] == html.unescape(row["text"])
 
 
+def test_unclosed_parts_and_bare_attributes(spark):
+    data = [
+        (1, "u", "<p>a</p><script>if (x) y()<p>b</p>"),
+        (2, "u", "<p>a</p><!-- never closed <p>b</p>"),
+        (3, "u", "<html class=x lang='fr'><a href='x y'>1</a><a id=q href=z>2</a><a data-href=no>3</a>"
+         '<a title="t" HREF = "/p?a=1&amp;b=2">4</a><style>p {}'),
+        (4, "u", "<html lang=de><header>head</header>text"),
+    ]
+    made = {(r["key"], r["record_type"]): r["block"] for r in derive(page_responses(pages(spark, data))).collect()}
+    assert made[1, "conversion"] == made[2, "conversion"] == "a"
+    fields = made[3, "metadata"].split("\r\n")
+    assert "language: fr" in fields
+    assert [f for f in fields if f.startswith("outlink: ")] == ["outlink: x y", "outlink: z", "outlink: /p?a=1&b=2"]
+    assert made[3, "conversion"] == "1234"
+    assert "language: de" in made[4, "metadata"] and made[4, "conversion"] == "head\ntext"
+
+
 def test_written_files_are_records(spark, tmp_path):
     records = derive(page_responses(pages(spark)))
     write_warc(records, str(tmp_path / "out"), F.lit("2020-01-01T00:00:00Z"))
