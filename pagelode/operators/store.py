@@ -34,7 +34,7 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -223,7 +223,7 @@ def _extension(
         fresh = _added(incoming, known)
     documents = _write_documents(fresh.repartition(entry.num_shards, "id"), root, entry.num_shards)
     postings = _write_postings(term_postings(documents), root, entry.num_shards)
-    replaced = _stored(known.select("id"), f"{root}/replaced")
+    _stored(known.select("id"), f"{root}/replaced")
     taken = known.select(F.inline("terms")).groupBy("term").agg((-F.sum("adds")).alias("df"))
     change = document_frequency(postings).unionByName(taken)
     change = change.groupBy("term").agg(F.sum("df").alias("df"))
@@ -231,7 +231,7 @@ def _extension(
     rows, total_len, id_bytes = _size(documents)
     gone, gone_len, _ = _size(known)
     return Segment(
-        folder, replaced.count(), rows, rows - gone, total_len - gone_len, id_bytes, documents.schema.json()
+        folder, gone, rows, rows - gone, total_len - gone_len, id_bytes, documents.schema.json()
     )
 
 
@@ -247,8 +247,8 @@ def _same_ids(
     that selects shards. Bodies are read in mode `cumulative` only.
     """
     keys = incoming.select("shard", "id", F.col("version").alias("incoming"))
-    rows, size = _count(keys)
-    literals = keys.select("shard", "id").collect() if rows <= LITERAL_IDS else None
+    literals = _few(keys.select("shard", "id"))
+    rows, size = _count(keys) if literals is None else (len(literals), 0)
     kind = incoming.schema["version"].dataType
     parts = _parts(spark, path, entry)
     narrow = []
@@ -265,18 +265,19 @@ def _same_ids(
         narrow.append(same.select(F.lit(number).alias("part"), "shard", "id", newer.alias("newer")))
     met = _stored(functools.reduce(DataFrame.unionByName, narrow), f"{scratch}/met")
     wanted = met if entry.mode == "cumulative" else met.filter("newer")
-    there = {row["part"]: row["count"] for row in wanted.groupBy("part").count().collect()}
     more = ["url", "title", "body", "dl"] if entry.mode == "cumulative" else []
+    every = _few(wanted.select("part", "shard", "id"))
     wide = []
     for number, part in enumerate(parts):
-        if number not in there:
-            continue
         own = wanted.filter(F.col("part") == number).select("shard", "id", "newer")
-        few = own.collect() if there[number] <= LITERAL_IDS else None
+        few = _few(own) if every is None else [row for row in every if row["part"] == number]
+        if few == []:
+            continue
         documents = _with_ids(part.documents.select("shard", "id", "version", "terms", *more), few)
         same = documents.schema["version"].dataType == kind
         version = _as_version(F.col("version"), same, kind).alias("version")
-        found = documents.join(_small(own, *_count(own)), ["shard", "id"])
+        size = _count(own) if few is None else (len(few), 0)
+        found = documents.join(_small(own, *size), ["shard", "id"])
         wide.append(found.select("id", version, "terms", "newer", *more))
     if wide:
         return met, _stored(functools.reduce(DataFrame.unionByName, wide), f"{scratch}/known")
@@ -284,6 +285,12 @@ def _same_ids(
     return met, spark.createDataFrame([], schema).withColumn("newer", F.lit(True))
 
 
+def _few(rows: DataFrame) -> list[Row] | None:
+    """Rows that can be literals; None if they are more."""
+    found = rows.limit(LITERAL_IDS + 1).collect()
+    return found if len(found) <= LITERAL_IDS else None
+
+
 def _with_ids(documents: DataFrame, literals: Sequence | None) -> DataFrame:
     """Those of some ids. Lists of up to ten reach the row groups' bounds and Bloom filters one
     by one, longer ones by their ends only; so there is one list for rows and many for those."""
