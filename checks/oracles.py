@@ -303,6 +303,10 @@ ORACLES: dict[str, str] = {
         DOCUMENT_PAGES, INDEX, ASKED_ONCE, SCORES, COSINES, COSINE_FINAL,
         f"SELECT * EXCLUDE (qid) FROM ({RESULT})",
     ),
+    "search_by_term": with_(
+        DOCUMENT_PAGES, INDEX, ASKED_ONCE, SCORES, COSINES, COSINE_FINAL,
+        f"SELECT * EXCLUDE (qid) FROM ({RESULT})",
+    ),
     "search_unstored": with_(
         LATEST_PAGES, INDEX, asked(), SCORES, COSINES, COSINE_FINAL, RESULT
     ),
@@ -332,6 +336,8 @@ ORACLES: dict[str, str] = {
     "extend_cumulative_postings": with_(CUMULATIVE_PAGES, INDEX, ALL_POSTINGS),
     "publish_read_back": f"SELECT {WEB_PAGES}, '' AS title, html AS body FROM pages",
     "stream_onto_index": with_(BOTH_PAGES, INDEX, WITH_STATS),
+    "stream_counters": with_(CUMULATIVE_PAGES, INDEX, WITH_STATS),
+    "publish_streamed": f"SELECT {WEB_PAGES}, '' AS title, html AS body FROM pages",
     "two_writers": with_(BOTH_PAGES, INDEX, WITH_STATS),
     "stream_restarted": with_(
         LATEST_PAGES, INDEX, f"SELECT *, 2 AS failures FROM ({WITH_STATS})"

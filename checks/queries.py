@@ -20,7 +20,7 @@ from pagelode.functions import scoring, text
 from pagelode.operators import index as ix
 from pagelode.operators import rerank, retrieval
 from pagelode.plans.search import rerank_candidates
-from pagelode.schemas import PAGE, PAGE_FIELDS
+from pagelode.schemas import MESSAGE, PAGE, PAGE_FIELDS
 from pagelode.session import session_conf, shared_dir
 from pagelode.streaming.indexing import read_rejects
 
@@ -244,6 +244,14 @@ def search_single(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(pl.search(stored_index(spark, sf), SINGLE_QUERY, K))
 
 
+def search_by_term(spark: SparkSession, sf: str) -> DataFrame:
+    """The single search on postings stored by term, in two segments."""
+    path = shared_dir(spark, "by-term")
+    odd = F.col("id").cast("long") % 2 == 1
+    pl.write_index(documents(spark, sf).filter(odd), path, by_term=True)
+    return _rounded(pl.search(pl.extend_index(documents(spark, sf).filter(~odd), path), SINGLE_QUERY, K))
+
+
 def search_unstored(spark: SparkSession, sf: str) -> DataFrame:
     """The same search on an index that is derived on the fly, with repeated ids."""
     found = pl.search_many(pl.build_index(page_log(spark, sf)), requests(spark, sf))
@@ -521,6 +529,30 @@ def stream_restarted(spark: SparkSession, sf: str) -> DataFrame:
     return _with_stats(pl.open_index(spark, path)).withColumn("failures", F.lit(failures))
 
 
+def stream_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters of the page log as the state of a stream over its messages."""
+    checkpoint, source = shared_dir(spark, "counters"), _log_files(spark, sf, "", 3)
+    messages = pl.file_messages(spark, source, extra="seq BIGINT", maxFilesPerTrigger="1")
+    pl.count_stream(messages, checkpoint, available_now=True).awaitTermination()
+    doc_freq, stats = pl.read_counters(spark, checkpoint)
+    return doc_freq.select(
+        "term",
+        "df",
+        stats.select("n").scalar().alias("n"),
+        stats.select("total_len").scalar().alias("total_len"),
+    )
+
+
+def publish_streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """Web pages from a stream of files, published as a stream of messages, and decoded."""
+    topic, state = shared_dir(spark, "topic"), shared_dir(spark, "state")
+    source = shared_dir(spark, "web")
+    pl.as_pages(table(spark, sf, "pages"), "page_id", url="url", body="html").repartition(3).write.parquet(source)
+    pages = spark.readStream.schema(PAGE).option("maxFilesPerTrigger", "1").parquet(source)
+    pl.publish_stream(pages, state, "parquet", topic, available_now=True).awaitTermination()
+    return pl.decode_messages(spark.read.schema(MESSAGE).parquet(topic))
+
+
 def two_writers(spark: SparkSession, sf: str) -> DataFrame:
     """Documents, and the two halves of the page log added by two writers at the same time."""
     path, log = shared_dir(spark, "writers"), page_log(spark, sf)
@@ -608,6 +640,7 @@ QUERIES: dict[str, Query] = {
         search_batch,
         search_any_k,
         search_single,
+        search_by_term,
         search_unstored,
         search_fallback,
         search_other_parameters,
@@ -632,6 +665,8 @@ QUERIES: dict[str, Query] = {
         stream_cumulative,
         stream_restarted,
         two_writers,
+        stream_counters,
+        publish_streamed,
         stream_index,
         stream_search,
         stream_rejects,

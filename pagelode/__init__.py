@@ -15,8 +15,10 @@ from pagelode.sources.messages import (
     file_messages,
     kafka_messages,
     publish,
+    publish_stream,
 )
 from pagelode.sources.pages import as_pages, as_queries
+from pagelode.streaming.counters import count_stream, read_counters
 from pagelode.streaming.indexing import index_stream, keep_running, refresh_index
 
 __all__ = [
@@ -25,6 +27,7 @@ __all__ = [
     "as_queries",
     "build_index",
     "cosine_rerank",
+    "count_stream",
     "decode_messages",
     "encode_messages",
     "expire_versions",
@@ -35,6 +38,8 @@ __all__ = [
     "keep_running",
     "open_index",
     "publish",
+    "publish_stream",
+    "read_counters",
     "refresh_index",
     "search",
     "search_many",

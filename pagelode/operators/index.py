@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pagelode.functions import scoring
 from pagelode.functions.text import indexed_text, tokens, value_counts
 from pagelode.schemas import PAGE_FIELDS
-from pagelode.session import fits
+from pagelode.session import fits, shared_dir
 
 MODES = ("latest", "cumulative")
 TERMS_TYPE = "array<struct<term:string,tf:bigint,adds:bigint,added_tf:bigint>>"
@@ -55,6 +55,8 @@ class SearchIndex:
     `num_shards` is set for a stored index, whose documents carry a `shard` column, and so are
     `id_bytes`, the bytes of the longest id, and `deltas`, (term, df, top_tf, low_dl) of each
     segment: what it adds to a frequency, and the highest tf and the lowest dl of its postings.
+    `by_term` are the same postings with a `slot`, a hash of the term, by which they are stored.
+    `pages` are the analysed pages that a derived index follows from.
     """
 
     parts: tuple[Part, ...]
@@ -65,6 +67,8 @@ class SearchIndex:
     version: int | None = None
     id_bytes: int | None = None
     deltas: DataFrame | None = None
+    by_term: DataFrame | None = None
+    pages: DataFrame | None = None
 
     @property
     def documents(self) -> DataFrame:
@@ -85,9 +89,13 @@ class SearchIndex:
         if len(terms) > LITERAL_TERMS:
             return self
         wanted = F.col("term").isin(list(terms))
+        postings = self.postings.filter(wanted)
+        if self.by_term is not None:
+            slots = [slot_of(F.lit(term), self.num_shards) for term in terms] or [F.lit(-1)]
+            postings = self.by_term.filter(F.col("slot").isin(slots) & wanted).drop("slot")
         return replace(
             self,
-            postings=self.postings.filter(wanted),
+            postings=postings,
             doc_freq=self.doc_freq.filter(wanted),
             deltas=None if self.deltas is None else self.deltas.filter(wanted),
         )
@@ -114,6 +122,11 @@ def shard_of(id: str | Column, num_shards: int) -> Column:
     return F.pmod(F.hash(id), F.lit(num_shards))
 
 
+def slot_of(term: str | Column, num_slots: int) -> Column:
+    """Where the postings of a term lie in the layout by term."""
+    return F.pmod(F.xxhash64(term), F.lit(num_slots)).cast("int")
+
+
 # Building
 
 
@@ -257,6 +270,28 @@ def build_index(pages: DataFrame, mode: str = "latest", unique_ids: bool = False
         postings=postings,
         doc_freq=doc_freq,
         corpus_stats=stats,
+        pages=analysed(versions, mode, unique_ids),
+    )
+
+
+def analysed_once(index: SearchIndex) -> SearchIndex:
+    """A derived index whose analysed pages are written to the shared folder, so that no text is
+    analysed again for each of its tables; others as they are."""
+    if index.pages is None:
+        return index
+    path = shared_dir(index.spark, "pages")
+    index.pages.write.parquet(path)
+    pages = index.spark.read.schema(index.pages.schema).parquet(path)
+    postings = term_postings(pages)
+    added = F.aggregate("terms", F.lit(0).cast("bigint"), lambda total, t: total + t["added_tf"])
+    stats = pages.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(added), F.lit(0)).alias("total_len")
+    )
+    return SearchIndex(
+        parts=(Part(pages.drop("version", "terms")),),
+        postings=postings,
+        doc_freq=document_frequency(postings),
+        corpus_stats=with_average(stats),
     )
 
 

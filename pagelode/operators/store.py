@@ -5,6 +5,7 @@
     <path>/version=M-.../postings            bucketed by id, sorted by term
     <path>/version=M-.../replaced            ids that earlier segments have too
     <path>/version=M-.../doc_freq            what the segment adds to document frequencies
+    <path>/version=M-.../by_term             postings again, by hash of the term, if asked for
 
 A version lies in a folder of its own and counts once its manifest file is there, last of
 all: readers see a whole version or none of it, and a build that fails leaves the one
@@ -46,6 +47,7 @@ from pagelode.operators.index import (
     document_frequency,
     gathered_terms,
     shard_of,
+    slot_of,
     term_postings,
     with_average,
     with_length,
@@ -91,6 +93,7 @@ class Entry:
     num_shards: int
     applied: dict[str, int]
     segments: list[Segment]
+    by_term: bool = False
 
 
 def write_index(
@@ -100,25 +103,32 @@ def write_index(
     num_shards: int | None = None,
     unique_ids: bool = False,
     applied: dict[str, int] | None = None,
+    by_term: bool = False,
 ) -> SearchIndex:
     """Build an index, see `build_index`, and store it as the next version under `path`.
 
     It replaces what other writers have added meanwhile. `num_shards` defaults to the number
     of shuffle partitions, which makes the shuffle that resolves versions also the one that
-    lays out the documents.
+    lays out the documents. With `by_term` postings are stored a second time, by term, here and
+    by every extension: a single query then opens the files of its terms and not all shards.
     """
     check_mode(mode)
     spark = pages.sparkSession
-    segment, num_shards = _built(pages, path, mode, num_shards, unique_ids)
+    segment, num_shards = _built(pages, path, mode, num_shards, unique_ids, by_term)
     while True:
         version = _newest(spark, path) + 1
-        entry = Entry(version, mode, num_shards, applied or {}, [segment])
+        entry = Entry(version, mode, num_shards, applied or {}, [segment], by_term)
         if _commit(spark, path, entry):
             return _opened(spark, path, entry)
 
 
 def _built(
-    pages: DataFrame, path: str, mode: str, num_shards: int | None, unique_ids: bool = False
+    pages: DataFrame,
+    path: str,
+    mode: str,
+    num_shards: int | None,
+    unique_ids: bool = False,
+    by_term: bool = False,
 ) -> tuple[Segment, int]:
     """A full build in a folder of its own, which nothing names yet."""
     spark = pages.sparkSession
@@ -133,6 +143,8 @@ def _built(
     # A scan of the documents reads whole shards or parts of them, so the postings
     # are in place already.
     postings = _write_postings(term_postings(documents), root, num_shards)
+    if by_term:
+        _write_by_term(postings, root, num_shards)
     _write_doc_freq(with_bounds(document_frequency(postings), postings), root)
     rows, total_len, id_bytes = _size(documents)
     return Segment(folder, 0, rows, rows, total_len, id_bytes, documents.schema.json()), num_shards
@@ -193,7 +205,7 @@ def extend_index(
             segments = [*entry.segments, segment]
             if max_segments and len(segments) > max_segments:
                 segments = _merged(
-                    spark, path, segments, entry.num_shards, f"{folder}/merged", max_segments
+                    spark, path, segments, entry, f"{folder}/merged", max_segments
                 )
             new = Entry(
                 entry.version + 1,
@@ -201,6 +213,7 @@ def extend_index(
                 entry.num_shards,
                 {**entry.applied, **(applied or {})},
                 segments,
+                entry.by_term,
             )
             if _commit(spark, path, new):
                 return _opened(spark, path, new)
@@ -223,6 +236,8 @@ def _extension(
         fresh = _added(incoming, known)
     documents = _write_documents(fresh.repartition(entry.num_shards, "id"), root, entry.num_shards)
     postings = _write_postings(term_postings(documents), root, entry.num_shards)
+    if entry.by_term:
+        _write_by_term(postings, root, entry.num_shards)
     _stored(known.select("id"), f"{root}/replaced")
     taken = known.select(F.inline("terms")).groupBy("term").agg((-F.sum("adds")).alias("df"))
     change = document_frequency(postings).unionByName(taken)
@@ -345,7 +360,7 @@ def _merged(
     spark: SparkSession,
     path: str,
     segments: list[Segment],
-    num_shards: int,
+    entry: Entry,
     folder: str,
     most: int,
 ) -> list[Segment]:
@@ -368,10 +383,12 @@ def _merged(
         same = part.documents.schema["version"].dataType == kind
         version = _as_version(F.col("version"), same, kind)
         live.append(part.live(part.documents.withColumn("version", version).drop("shard")))
-    documents = functools.reduce(DataFrame.unionByName, live).repartition(num_shards, "id")
+    documents = functools.reduce(DataFrame.unionByName, live).repartition(entry.num_shards, "id")
     root = f"{path}/{folder}"
-    documents = _write_documents(documents, root, num_shards)
-    postings = _write_postings(term_postings(documents), root, num_shards)
+    documents = _write_documents(documents, root, entry.num_shards)
+    postings = _write_postings(term_postings(documents), root, entry.num_shards)
+    if entry.by_term:
+        _write_by_term(postings, root, entry.num_shards)
     _write_doc_freq(with_bounds(_added_up(_terms_of(spark, path, joined)), postings), root)
     lists = [f"{path}/{other.folder}/replaced" for other in joined if other.replaced]
     replaced = 0
@@ -404,7 +421,7 @@ def expire_versions(spark: SparkSession, path: str, keep: int = 2) -> int:
     for folder in expired:
         _delete(spark, f"{path}/{folder}")
     for folder in used - segments:  # only a merged segment in it is needed
-        for name in ("documents", "postings", "replaced", "doc_freq"):
+        for name in ("documents", "postings", "replaced", "doc_freq", "by_term"):
             _delete(spark, f"{path}/{folder}/{name}")
     return len(expired)
 
@@ -448,6 +465,7 @@ def _opened(spark: SparkSession, path: str, entry: Entry) -> SearchIndex:
         postings=postings,
         doc_freq=doc_freq.filter(F.col("df") > 0),
         deltas=deltas,
+        by_term=_by_term(spark, path, entry, parts) if entry.by_term else None,
         corpus_stats=with_average(stats),
         num_shards=entry.num_shards,
         version=entry.version,
@@ -455,6 +473,15 @@ def _opened(spark: SparkSession, path: str, entry: Entry) -> SearchIndex:
     )
 
 
+def _by_term(spark: SparkSession, path: str, entry: Entry, parts: list[Part]) -> DataFrame:
+    schema = f"{POSTINGS_DDL}, slot INT"
+    found = [
+        part.live(spark.read.schema(schema).parquet(f"{path}/{segment.folder}/by_term"))
+        for part, segment in zip(parts, entry.segments, strict=True)
+    ]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def with_bounds(doc_freq: DataFrame, postings: DataFrame) -> DataFrame:
     """Document frequencies with the highest tf and the lowest dl of a term in some postings,
     which bound what it adds to any score; null where the postings don't have it."""
@@ -545,6 +572,14 @@ def _write_postings(postings: DataFrame, root: str, num_shards: int) -> DataFram
     return _bucketed_table(postings.sparkSession, location, num_shards)
 
 
+def _write_by_term(postings: DataFrame, root: str, num_slots: int) -> None:
+    """Postings by slot, a hash of the term. Slots of frequent terms are cut into several files:
+    rebalancing splits what is larger than Spark's advisory size."""
+    placed = postings.withColumn("slot", slot_of("term", num_slots)).hint("rebalance", "slot")
+    placed = placed.sortWithinPartitions("slot", "term")
+    placed.write.partitionBy("slot").parquet(f"{root}/by_term")
+
+
 def _write_doc_freq(doc_freq: DataFrame, root: str) -> None:
     doc_freq.sortWithinPartitions("term").write.parquet(f"{root}/doc_freq")
 

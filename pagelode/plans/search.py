@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagelode.functions.scoring import K1, B
 from pagelode.functions.text import bow_vector, indexed_text, tokens, truncate_utf8
-from pagelode.operators.index import SearchIndex, shard_of
+from pagelode.operators.index import SearchIndex, analysed_once, shard_of
 from pagelode.operators.ranking import top_per_key
 from pagelode.operators.rerank import (
     Reranker,
@@ -70,7 +70,7 @@ def search_many(
     name any other document that matches. A query without terms, hits, or a positive k has
     no rows.
     """
-    queries = _answerable(queries)
+    index, queries = analysed_once(index), _answerable(queries)
     size = measure(queries, index)
     pool = settle(index, rerank_pool(index, queries, size, k1=k1, b=b))
     limits = small(queries.select("qid", "k"), size.broadcast_queries)
@@ -114,7 +114,7 @@ def search_many(
 
 def rerank_candidates(index: SearchIndex, queries: DataFrame) -> DataFrame:
     """What a reranker gets: (qid, query, id, title, body, bm25_rank), bodies whole."""
-    queries = _answerable(queries)
+    index, queries = analysed_once(index), _answerable(queries)
     size = measure(queries, index)
     return _candidates(index, queries, settle(index, rerank_pool(index, queries, size)), size)
 
@@ -127,7 +127,7 @@ def search_with_order(
     It may name any candidate, also outside the rerank pool, may repeat or miss ids,
     and may name documents that do not match, which are left out.
     """
-    queries = _answerable(queries)
+    index, queries = analysed_once(index), _answerable(queries)
     size = measure(queries, index)
     scored = bm25_scores(index, queries, size, k1, b)
     limits = small(queries.select("qid", "k"), size.broadcast_queries)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from pagelode.functions.text import let
 from pagelode.schemas import MESSAGE, PAGE_FIELDS
@@ -43,6 +44,28 @@ def publish(pages: DataFrame, format: str = "kafka", path: str | None = None, **
     encode_messages(pages).write.format(format).options(**options).mode("append").save(path)
 
 
+def publish_stream(
+    pages: DataFrame,
+    checkpoint: str,
+    format: str = "kafka",
+    path: str | None = None,
+    available_now: bool = False,
+    interval: str = "1 second",
+    **options: str,
+) -> StreamingQuery:
+    """Write a stream of pages as messages, from its checkpoint on; returns the running query.
+
+    Files have each page once; Kafka may get a batch again after a failure, which the indexing
+    stream takes as the same version of a page.
+    """
+    if format == "kafka":
+        options = {"topic": PAGES_TOPIC, **producer_options(), **options}
+    writer = encode_messages(pages).writeStream.format(format).options(**options)
+    trigger = {"availableNow": True} if available_now else {"processingTime": interval}
+    writer = writer.option("checkpointLocation", checkpoint).trigger(**trigger)
+    return writer.start(path) if path else writer.start()
+
+
 def producer_options() -> dict[str, str]:
     """Producer settings for the send time limit; the request limit must lie below it."""
     return {

@@ -109,3 +109,45 @@ def test_candidates_of_a_large_pool_move_no_body(spark, index, monkeypatch):
         assert "SortMergeJoin" not in text and "Exchange hashpartitioning" not in text
         assert text.count("BroadcastHashJoin [shard") >= 2
         assert sorted(rows.collect()) == usual
+
+
+def files_read(frame):
+    """Files that the scans of a plan have opened, by the folder of their table."""
+    frame.collect()
+    found, pending = {}, [frame._jdf.queryExecution().executedPlan().executedPlan()]
+    while pending:
+        leaves = pending.pop().collectLeaves()
+        for leaf in map(leaves.apply, range(leaves.size())):
+            if leaf.getClass().getSimpleName().endswith("QueryStageExec"):
+                pending.append(leaf.plan())
+            elif leaf.metrics().get("numFiles").isDefined():
+                name = leaf.relation().location().rootPaths().apply(0).getName()
+                found[name] = found.get(name, 0) + leaf.metrics().get("numFiles").get().value()
+    return found
+
+
+def test_a_single_query_opens_the_files_of_its_terms(spark, tmp_path):
+    rows = [(f"p{i}", "", "", f"word{i} common words {i % 7}", i) for i in range(200)]
+    opened = {}
+    for shards in (4, 32):
+        path = f"{tmp_path}/{shards}"
+        pl.write_index(page_log(spark, rows), path, num_shards=shards, by_term=True)
+        index = pl.open_index(spark, path)
+        own = index.for_terms(["word3", "common"])
+        scores = retrieval.bm25_scores(own, requests(spark, "word3 common"))
+        usual = retrieval.bm25_scores(index, requests(spark, "word3 common"))
+        assert sorted(scores.select("id").collect()) == sorted(usual.select("id").collect())
+        opened[shards] = files_read(scores)["by_term"]
+    assert 1 <= opened[4] <= 2 and 1 <= opened[32] <= 2
+
+
+def test_a_derived_index_analyses_a_text_once(spark):
+    from pagelode.operators.index import analysed_once
+
+    index = pl.build_index(page_log(spark))
+    once = analysed_once(index)
+    for table in (once.documents, once.postings, once.doc_freq, once.corpus_stats):
+        assert "regexp_extract_all" not in plan(table)
+    assert sorted(once.postings.collect()) == sorted(index.postings.collect())
+    assert sorted(once.doc_freq.collect()) == sorted(index.doc_freq.collect())
+    assert once.corpus_stats.collect() == index.corpus_stats.collect()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import pagelode as pl
 from pagelode.operators import store
+from pagelode.schemas import PAGE
 from pagelode.streaming import indexing
 from tests.corpora import C_AGAIN, FIVE, ids, page_log, requests
 
@@ -349,3 +350,39 @@ def test_the_vocabulary_of_the_base_is_not_rewritten(spark, tmp_path):
     text = pl.term_stats(index, terms)._jdf.queryExecution().executedPlan().toString()
     at = text.index("HashAggregate(keys=[term")
     assert "BroadcastHashJoin [term" in text[at:]  # asked terms are picked before they are added up
+
+
+def test_counters_are_the_state_of_a_stream(spark, tmp_path):
+    folder, checkpoint = f"{tmp_path}/topic", f"{tmp_path}/counters"
+    for rows in ([*FIVE, C_AGAIN], FIVE[:2]):
+        send(spark, folder, rows, bad=["{bad"])
+        stream = pl.file_messages(spark, folder, extra="seq BIGINT", maxFilesPerTrigger="1")
+        pl.count_stream(stream, checkpoint, available_now=True).awaitTermination()
+    doc_freq, stats = pl.read_counters(spark, checkpoint)
+    whole = pl.build_index(page_log(spark, [*FIVE, C_AGAIN, *FIVE[:2]]), "cumulative")
+    assert sorted(doc_freq.collect()) == sorted(whole.doc_freq.collect())
+    assert stats.collect() == whole.corpus_stats.collect()
+    assert any("RocksDB" in f.read_text() for f in (tmp_path / "counters" / "offsets").glob("[0-9]*"))
+
+
+@pytest.mark.parametrize("mode", ["latest", "cumulative"])
+def test_postings_by_term_are_extended_and_merged(spark, tmp_path, mode):
+    path = str(tmp_path)
+    pl.write_index(page_log(spark, FIVE[:2]), path, mode, by_term=True)
+    for rows in (FIVE[2:], [C_AGAIN], FIVE[:1]):
+        index = pl.extend_index(page_log(spark, rows), path, max_segments=2)
+    columns = ["id", "term", "tf", "dl", "adds", "added_tf"]
+    assert sorted(index.by_term.select(columns).collect()) == sorted(index.postings.select(columns).collect())
+    found = pl.search(index, "spark sql", 5).collect()
+    usual = pl.search_many(index, requests(spark, "spark sql", k=5)).drop("qid").collect()
+    assert found == usual and found
+
+
+def test_pages_are_published_as_a_stream(spark, tmp_path):
+    source, topic = f"{tmp_path}/pages", f"{tmp_path}/topic"
+    page_log(spark).drop("seq").coalesce(1).write.parquet(source)
+    pages = spark.readStream.schema(PAGE).parquet(source)
+    for _ in range(2):  # the second run finds nothing new
+        pl.publish_stream(pages, f"{tmp_path}/state", "parquet", topic, available_now=True).awaitTermination()
+    told = pl.decode_messages(spark.read.parquet(topic))
+    assert sorted(map(tuple, told.collect())) == sorted(row[:4] for row in FIVE)
