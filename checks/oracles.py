@@ -303,6 +303,9 @@ ORACLES: dict[str, str] = {
         DOCUMENT_PAGES, INDEX, ASKED_ONCE, SCORES, COSINES, COSINE_FINAL,
         f"SELECT * EXCLUDE (qid) FROM ({RESULT})",
     ),
+    "search_stored_vectors": with_(
+        DOCUMENT_PAGES, INDEX, asked(), SCORES, COSINES, COSINE_FINAL, RESULT
+    ),
     "search_by_term": with_(
         DOCUMENT_PAGES, INDEX, ASKED_ONCE, SCORES, COSINES, COSINE_FINAL,
         f"SELECT * EXCLUDE (qid) FROM ({RESULT})",

@@ -75,13 +75,13 @@ def stored_index(spark: SparkSession, sf: str) -> pl.SearchIndex:
 def _extended(spark: SparkSession, sf: str) -> str:
     path = shared_dir(spark, "index")
     odd = F.col("id").cast("long") % 2 == 1
-    pl.write_index(documents(spark, sf).filter(odd), path, unique_ids=True)
+    pl.write_index(documents(spark, sf).filter(odd), path, unique_ids=True, vectors=True)
     pl.extend_index(documents(spark, sf).filter(~odd), path)
     return path
 
 
 def extended_index(spark: SparkSession, sf: str) -> pl.SearchIndex:
-    """The same documents in two segments."""
+    """The same documents in two segments, with their vectors."""
     return pl.open_index(spark, _extended(spark, sf))
 
 
@@ -244,6 +244,11 @@ def search_single(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(pl.search(stored_index(spark, sf), SINGLE_QUERY, K))
 
 
+def search_stored_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The batch search on documents that keep their vectors, in two segments."""
+    return _rounded(pl.search_many(extended_index(spark, sf), requests(spark, sf)))
+
+
 def search_by_term(spark: SparkSession, sf: str) -> DataFrame:
     """The single search on postings stored by term, in two segments."""
     path = shared_dir(spark, "by-term")
@@ -640,6 +645,7 @@ QUERIES: dict[str, Query] = {
         search_batch,
         search_any_k,
         search_single,
+        search_stored_vectors,
         search_by_term,
         search_unstored,
         search_fallback,

@@ -12,7 +12,7 @@ from pagelode.functions import scoring
 from pagelode.functions.text import tokens, value_counts, whitespace_tokens
 from pagelode.operators.index import SearchIndex
 from pagelode.operators.ranking import top_per_key
-from pagelode.session import shared_dir, shuffle_partitions
+from pagelode.session import fits, shared_dir, shuffle_partitions
 
 # Sizes up to which the small side of a join is broadcast; beyond, it is shuffled.
 BROADCAST_QUERY_BYTES = 4 << 20
@@ -21,8 +21,13 @@ BROADCAST_WORDS = 1_000_000
 BROADCAST_POOL_BYTES = 64 << 20
 # Bytes of an id where the index does not tell.
 ID_BYTES = 64
-# Most broadcasts, one after the other, that a batch or a pool is cut into.
+# Most broadcasts, one after the other, that a pool is cut into; and a batch, each of whose
+# parts reads all postings.
 MAX_PARTS = 64
+MAX_QUERY_PARTS = 8
+# Most distinct terms to pick postings by before they are shuffled, and their most bytes.
+BROADCAST_TERMS = 1_000_000
+BROADCAST_TERM_BYTES = 32 << 20
 
 # A term is hot if it holds more than this share of all tokens. There can be at most
 # one term per share, so the table of hot terms has a bound whatever the corpus.
@@ -60,7 +65,9 @@ class BatchSize:
     def query_parts(self) -> int:
         """Number of broadcasts that the queries make up; 0 if they are too many."""
         return part_count(
-            (self.text_bytes, BROADCAST_QUERY_BYTES), (self.queries, BROADCAST_ROWS)
+            (self.text_bytes, BROADCAST_QUERY_BYTES),
+            (self.queries, BROADCAST_ROWS),
+            most=MAX_QUERY_PARTS,
         )
 
     @property
@@ -99,12 +106,12 @@ def pool_class() -> Column:
     return F.ceil(F.log2(scoring.pool_size(F.col("k")).cast("double")) / 2).cast("int")
 
 
-def part_count(*sizes: tuple[int, int]) -> int:
-    """How many parts keep each `(size, limit)`; 0 if over MAX_PARTS, or without limit to keep."""
+def part_count(*sizes: tuple[int, int], most: int | None = None) -> int:
+    """How many parts keep each `(size, limit)`; 0 if over `most`, or without limit to keep."""
     if any(limit <= 0 for _, limit in sizes):
         return 0
     parts = max(1, *(-(-size // limit) for size, limit in sizes))
-    return parts if parts <= MAX_PARTS else 0
+    return parts if parts <= (most or MAX_PARTS) else 0
 
 
 def small(side: DataFrame, broadcast: bool) -> DataFrame:
@@ -304,11 +311,9 @@ def _matches(index: SearchIndex, terms: DataFrame, size: BatchSize) -> DataFrame
     """Postings of the query terms; `terms` has term and df."""
     if size.broadcast_queries:
         return index.postings.join(F.broadcast(terms), "term")
+    terms = _settle(index, terms)
     if size.query_parts:
         # Several broadcasts: each part of the queries meets the postings where they lie.
-        path = shared_dir(index.spark, "terms")
-        terms.write.parquet(path)
-        terms = index.spark.read.schema(terms.schema).parquet(path)
         part = F.pmod(F.xxhash64("qid"), F.lit(size.query_parts))
         return functools.reduce(
             DataFrame.unionByName,
@@ -327,8 +332,11 @@ def _matches(index: SearchIndex, terms: DataFrame, size: BatchSize) -> DataFrame
         index.doc_freq.filter(F.col("df") > slice_rows)
         .select("term", slices.alias("_slices"))
     )
+    postings, asked = index.postings, terms.select("term").distinct()
+    if fits(asked, ["term"], BROADCAST_TERMS, BROADCAST_TERM_BYTES):
+        postings = postings.join(F.broadcast(asked), "term", "left_semi")  # the rest stays where it is
     postings = (
-        index.postings.join(F.broadcast(hot), "term", "left")
+        postings.join(F.broadcast(hot), "term", "left")
         .withColumn("_slice", F.pmod(F.xxhash64("id"), F.coalesce("_slices", F.lit(1))).cast("int"))
         .drop("_slices")
     )

@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagelode.functions.text import bow_vector, indexed_text
 from pagelode.operators.index import (
     Part,
     SearchIndex,
@@ -94,6 +95,7 @@ class Entry:
     applied: dict[str, int]
     segments: list[Segment]
     by_term: bool = False
+    vectors: bool = False
 
 
 def write_index(
@@ -104,6 +106,7 @@ def write_index(
     unique_ids: bool = False,
     applied: dict[str, int] | None = None,
     by_term: bool = False,
+    vectors: bool = False,
 ) -> SearchIndex:
     """Build an index, see `build_index`, and store it as the next version under `path`.
 
@@ -111,13 +114,15 @@ def write_index(
     of shuffle partitions, which makes the shuffle that resolves versions also the one that
     lays out the documents. With `by_term` postings are stored a second time, by term, here and
     by every extension: a single query then opens the files of its terms and not all shards.
+    With `vectors` documents keep their bag of words, which the default reranker then reads
+    instead of splitting texts.
     """
     check_mode(mode)
     spark = pages.sparkSession
-    segment, num_shards = _built(pages, path, mode, num_shards, unique_ids, by_term)
+    segment, num_shards = _built(pages, path, mode, num_shards, unique_ids, by_term, vectors)
     while True:
         version = _newest(spark, path) + 1
-        entry = Entry(version, mode, num_shards, applied or {}, [segment], by_term)
+        entry = Entry(version, mode, num_shards, applied or {}, [segment], by_term, vectors)
         if _commit(spark, path, entry):
             return _opened(spark, path, entry)
 
@@ -129,6 +134,7 @@ def _built(
     num_shards: int | None,
     unique_ids: bool = False,
     by_term: bool = False,
+    vectors: bool = False,
 ) -> tuple[Segment, int]:
     """A full build in a folder of its own, which nothing names yet."""
     spark = pages.sparkSession
@@ -139,7 +145,7 @@ def _built(
     latest = analysed(with_version(pages), mode, unique_ids)
     if unique_ids or num_shards != partitions:
         latest = latest.repartition(num_shards, "id")
-    documents = _write_documents(latest, root, num_shards)
+    documents = _write_documents(latest, root, num_shards, vectors)
     # A scan of the documents reads whole shards or parts of them, so the postings
     # are in place already.
     postings = _write_postings(term_postings(documents), root, num_shards)
@@ -214,6 +220,7 @@ def extend_index(
                 {**entry.applied, **(applied or {})},
                 segments,
                 entry.by_term,
+                entry.vectors,
             )
             if _commit(spark, path, new):
                 return _opened(spark, path, new)
@@ -234,7 +241,8 @@ def _extension(
         fresh = incoming.join(_small(outdated, *_count(outdated)), "id", "left_anti").drop("shard")
     else:
         fresh = _added(incoming, known)
-    documents = _write_documents(fresh.repartition(entry.num_shards, "id"), root, entry.num_shards)
+    placed = fresh.repartition(entry.num_shards, "id")
+    documents = _write_documents(placed, root, entry.num_shards, entry.vectors)
     postings = _write_postings(term_postings(documents), root, entry.num_shards)
     if entry.by_term:
         _write_by_term(postings, root, entry.num_shards)
@@ -385,7 +393,7 @@ def _merged(
         live.append(part.live(part.documents.withColumn("version", version).drop("shard")))
     documents = functools.reduce(DataFrame.unionByName, live).repartition(entry.num_shards, "id")
     root = f"{path}/{folder}"
-    documents = _write_documents(documents, root, entry.num_shards)
+    documents = _write_documents(documents, root, entry.num_shards, entry.vectors)
     postings = _write_postings(term_postings(documents), root, entry.num_shards)
     if entry.by_term:
         _write_by_term(postings, root, entry.num_shards)
@@ -551,7 +559,12 @@ def _stored(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def _write_documents(documents: DataFrame, root: str, num_shards: int) -> DataFrame:
+def _write_documents(
+    documents: DataFrame, root: str, num_shards: int, vectors: bool = False
+) -> DataFrame:
+    if vectors and "vector" not in documents.columns:
+        text = indexed_text(F.col("title"), F.col("body"))
+        documents = documents.withColumn("vector", bow_vector(text))
     placed = documents.withColumn("shard", shard_of("id", num_shards))
     placed = placed.sortWithinPartitions("shard", "id")
     # Ids are looked up when pages come again.

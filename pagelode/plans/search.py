@@ -81,16 +81,12 @@ def search_many(
 
     if reranker is cosine_rerank:
         # One read of the pooled documents gives both what is ranked and what is shown.
-        told = settle(
-            index,
-            pooled_documents(index, pool, size.broadcast_pool).select(
-                "id",
-                "url",
-                "title",
-                truncate_utf8(F.col("body")).alias("body"),
-                bow_vector(indexed_text(F.col("title"), F.col("body"))).alias("vector"),
-            ),
-        )
+        pooled = pooled_documents(index, pool, size.broadcast_pool)
+        vector = bow_vector(indexed_text(F.col("title"), F.col("body")))
+        if "vector" in pooled.columns:
+            vector = F.col("vector")
+        cut = truncate_utf8(F.col("body")).alias("body")
+        told = settle(index, pooled.select("id", "url", "title", cut, vector.alias("vector")))
         ranked = pool_cosines(
             pool,
             bow_vectors(queries, "qid", "query"),
@@ -211,7 +207,8 @@ def _documents_of(
         pool = pool.filter(F.col("shard") >= 0 if shards is None else shards)
     found = []
     for part in index.parts:
-        documents = part.documents.select(*keys, "url", "title", "body")
+        stored = ["vector"] if "vector" in part.documents.columns and how == "left_semi" else []
+        documents = part.documents.select(*keys, "url", "title", "body", *stored)
         documents = documents if shards is None else documents.filter(shards)
         found.append(part.live(documents.join(small(pool, broadcast), keys, how)))
     return functools.reduce(DataFrame.unionByName, found).drop("shard")

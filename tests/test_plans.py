@@ -151,3 +151,29 @@ def test_a_derived_index_analyses_a_text_once(spark):
     assert sorted(once.postings.collect()) == sorted(index.postings.collect())
     assert sorted(once.doc_freq.collect()) == sorted(index.doc_freq.collect())
     assert once.corpus_stats.collect() == index.corpus_stats.collect()
+
+
+def test_stored_vectors_save_splitting_texts(spark, tmp_path):
+    from pagelode.plans import search
+
+    pl.write_index(page_log(spark), str(tmp_path), vectors=True)
+    index = pl.extend_index(page_log(spark, [C_AGAIN]), str(tmp_path))
+    queries = requests(spark, "spark sql", "streaming", "pregel graph")
+    pool = search.settle(index, retrieval.rerank_pool(index, queries))
+    told = search.pooled_documents(index, pool, True)
+    assert "vector" in told.columns and "split(" not in plan(told)
+    whole = pl.build_index(page_log(spark, [*FIVE, C_AGAIN]))
+    assert ranked(pl.search_many(index, queries)) == ranked(pl.search_many(whole, queries))
+
+
+def test_batches_beyond_broadcasts_shuffle_asked_postings_only(spark, index, monkeypatch):
+    queries = requests(spark, "spark sql", "engine", "streaming", "notes")
+    usual = sorted((r.qid, r.id, round(r.score, 9)) for r in retrieval.bm25_scores(index, queries).collect())
+    for name in ("BROADCAST_QUERY_BYTES", "BROADCAST_ROWS"):
+        monkeypatch.setattr(retrieval, name, -1)
+    with session_conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        scores = retrieval.bm25_scores(index, queries)
+        text = plan(scores)
+        assert "LeftSemi" in text and "hashpartitioning(term" in text
+        found = sorted((r.qid, r.id, round(r.score, 9)) for r in scores.collect())
+    assert found == usual
