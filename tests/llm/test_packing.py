@@ -20,6 +20,7 @@ ODD = [
     "Σς ΑΣ ᄀ ᅡ \x01 a \x01b\x01 c\x01",
     "0123456789 1.5e-7 __init__ !!!???",
     "é" * 3000,
+    "Onbleon thesouer ERLYIN bleanat erlyea. Ist zz Q aB " + "supercalifragilistic" * 40,
 ]
 
 
