@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelode.llm.common import join_by_key, short_numbers, stored
+from pagelode.llm.common import BLOCK_OPTIONS, few_rows, join_by_key, short_numbers, stored
 from pagelode.llm.vectors import LONG_MAX, usable
 
 #: Most vectors of one tree, and most components of them together.
@@ -209,12 +209,14 @@ def compress(
         T.StructField("labels", T.ArrayType(clean.schema["label"].dataType)),
         T.StructField("trees", T.ArrayType(T.BinaryType())),
     ])
-    trees = stored(kept.mapInArrow(_planted(parts, width), schema), "cover-trees")
+    trees = stored(kept.mapInArrow(_planted(parts, width), schema), "cover-trees", **BLOCK_OPTIONS)
     for _ in range(rounds if first else 0):
         told = spark.sparkContext.broadcast(books)
         sums = trees.select("trees").mapInArrow(
             _summed(told), "part int, entry int, count long, sums array<string>"
         )
+        with few_rows(spark):
+            sums = stored(sums, "sums")
         total = _totals(sums)
         told.unpersist()
         books = [
@@ -228,7 +230,8 @@ def compress(
         T.StructField("code", T.ArrayType(T.IntegerType())),
         T.StructField("error", T.LongType()),
     ])
-    coded = trees.mapInArrow(_coded(told), schema)
+    with few_rows(spark):
+        coded = stored(trees.mapInArrow(_coded(told), schema), "codes")
     other = clean.where(~fits).select(
         "id",
         "label",
@@ -241,10 +244,10 @@ def compress(
 def with_label_error(rows: DataFrame) -> DataFrame:
     """Rows of `compress` with the sum of the errors of their label, null labels together.
 
-    Sums combine before the shuffle, and labels of many rows are joined by a broadcast. Sums
+    Rows should be stored, as those of `compress` are. Sums combine before the shuffle, and labels
+    of many rows are joined by a broadcast. Sums
     beyond a long are cut to its largest value; a label without any error has 0.
     """
-    rows = stored(rows, "codes")
     total = F.coalesce(F.sum(F.col("error").cast(WIDE)), F.lit(0).cast(WIDE))
     table = rows.groupBy("label").agg(
         F.least(total, F.lit(LONG_MAX).cast(WIDE)).cast("long").alias("label_error"),
@@ -255,7 +258,6 @@ def with_label_error(rows: DataFrame) -> DataFrame:
 
 def _totals(sums: DataFrame) -> dict[tuple[int, int], tuple[int, list[int]]]:
     """Count and sums of the parts of each (part, entry)."""
-    sums = stored(sums, "sums")
     counts = sums.groupBy("part", "entry").agg(F.sum("count").alias("count"))
     places = (
         sums.select("part", "entry", F.posexplode("sums").alias("at", "sum"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.session import shared_dir
+from pagelode.session import session_conf, shared_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word ends at ASCII white space.
@@ -27,13 +30,32 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SPACED_WORD)).cast("long")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Rows that hold a whole block of others are megabytes each: row groups of few rows.
+BLOCK_OPTIONS = {
+    "parquet.block.size": str(16 << 20),
+    "parquet.page.size.row.check.min": "1",
+    "parquet.block.row.count.limit": "8",
+}
+
+
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """`df` written to the shared folder and read back: what follows never runs it again."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def few_rows(spark: SparkSession, rows: int = 4) -> Iterator[None]:
+    """Jobs inside read and hand over so few rows at a time, as blocks are megabytes each."""
+    conf = {
+        "spark__sql__parquet__columnarReaderBatchSize": str(rows),
+        "spark__sql__execution__arrow__maxRecordsPerBatch": str(rows),
+    }
+    with session_conf(spark, **conf):
+        yield
+
+
 def join_by_key(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
     """`rows` with the columns of `table`, which has one row for every key of `rows`.
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import short_numbers, stored
+from pagelode.llm.common import BLOCK_OPTIONS, few_rows, short_numbers, stored
 
 SHARD_ROWS = 8192
 #: Most queries of one broadcast, and about its most bytes.
@@ -165,7 +165,7 @@ def top_k(
     clean = stored(clean, "vectors")
     total = clean.count()
     dealt = clean.repartition(max(1, -(-total // shard_rows)), "row")
-    trees = stored(dealt.mapInArrow(_planted(shard_rows), "size int, tree binary"), "kd-trees")
+    trees = stored(dealt.mapInArrow(_planted(shard_rows), "size int, tree binary"), "kd-trees", **BLOCK_OPTIONS)
     wanted = stored(clean.where(queries(F.col("id"))), "queries")
     size = F.coalesce(F.sum(8 * F.size("vector") + 32), F.lit(0))
     asked, octets = wanted.agg(F.count(F.lit(1)), size).first()
@@ -175,7 +175,8 @@ def top_k(
         own = wanted.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == block)
         told = rows.sparkSession.sparkContext.broadcast(_questions(own))
         schema = "row long, query_id long, vec_id long, score long"
-        found.append(stored(trees.mapInArrow(_searched(told, k), schema), "found"))
+        with few_rows(rows.sparkSession):
+            found.append(stored(trees.mapInArrow(_searched(told, k), schema), "found"))
         told.unpersist()
     best = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return (
