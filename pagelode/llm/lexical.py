@@ -16,13 +16,15 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import UPPER, short_numbers, stored
+from pagelode.llm.common import BLOCK_OPTIONS, UPPER, few_rows, short_numbers, stored
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans(UPPER, UPPER.lower())
-#: Most documents of a shard, and postings after which one ends.
-SHARD_ROWS = 4096
-SHARD_POSTINGS = 1 << 19
+#: Most documents of a shard, and most documents times terms: a byte each while it is made.
+SHARD_ROWS = 1024
+SHARD_CELLS = 16 << 20
+#: Documents that are taken from Arrow, or given to it, at a time.
+TAKE_ROWS = 512
 #: Documents of a block; a list of no more is one block, which is read without a summary.
 BLOCK_ROWS = 128
 #: Most bytes of the terms that a broadcast brings, of an index for some terms or of items.
@@ -98,6 +100,9 @@ class Shard:
     def _block(self, sketches: np.ndarray) -> None:
         """Order each long list by cluster, cut it into blocks, and sum these up."""
         first, entries, cols, tops = [0], [0], [], []
+        dense = np.zeros((len(self.ids), len(self.vocabulary)), dtype=np.uint8)
+        rows = np.repeat(np.arange(len(self.ids)), np.diff(self.rows))
+        dense[rows, self.cols] = -(-self.impacts // self.step)
         for start, stop in zip(self.lists[:-1], self.lists[1:], strict=True):
             blocks = -(-(stop - start) // BLOCK_ROWS)
             first.append(first[-1] + (blocks if blocks > 1 else 0))
@@ -107,19 +112,14 @@ class Shard:
             centres = sketches[own[np.arange(blocks) * len(own) // blocks]]
             own = own[np.argsort((sketches[own] @ centres.T).argmax(axis=1), kind="stable")]
             self.docs[start:stop] = own
-            at, sizes = self._gathered(own)
-            block = np.repeat(np.arange(len(own)) // BLOCK_ROWS, sizes)
-            key = block * len(self.vocabulary) + self.cols[at]
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            heads = np.flatnonzero(np.diff(key, prepend=-1))
-            cols.append(key[heads] % len(self.vocabulary))
-            tops.append(-(-np.maximum.reduceat(self.impacts[at][order], heads) // self.step))
-            found = np.bincount(key[heads] // len(self.vocabulary), minlength=blocks)
-            entries += (entries[-1] + np.cumsum(found)).tolist()
-        none = [np.zeros(0, dtype=np.int64)]
+            for block in range(blocks):
+                most = dense[own[block * BLOCK_ROWS : (block + 1) * BLOCK_ROWS]].max(axis=0)
+                cols.append(np.flatnonzero(most).astype(np.int32))
+                tops.append(most[cols[-1]])
+                entries.append(entries[-1] + len(cols[-1]))
         self.first, self.at = np.array(first), np.array(entries)
-        self.terms_of, self.tops = np.concatenate(cols or none), np.concatenate(tops or none)
+        self.terms_of = np.concatenate(cols or [np.zeros(0, dtype=np.int32)])
+        self.tops = np.concatenate(tops or [np.zeros(0, dtype=np.uint8)])
 
     def _most(self) -> None:
         """The largest impact of each list."""
@@ -137,7 +137,8 @@ class Shard:
 
     def __setstate__(self, state: dict) -> None:
         for name, value in state.items():
-            setattr(self, name, value.astype(np.int64) if name in self.FIELDS else value)
+            whole = name in self.FIELDS and name not in ("terms_of", "tops")
+            setattr(self, name, value.astype(np.int64) if whole else value)
         self._most()
 
     def search(self, terms: list[tuple[str, int]], best: Best) -> int:
@@ -178,7 +179,7 @@ class Shard:
             yield own
             return
         inside = slice(self.at[start], self.at[stop])
-        allowed = weights[self.terms_of[inside]] * self.tops[inside] * self.step
+        allowed = weights[self.terms_of[inside]] * (self.tops[inside] * np.int64(self.step))
         bounds = np.add.reduceat(allowed, self.at[start:stop] - self.at[start])
         for block in np.argsort(-bounds, kind="stable"):
             if bounds[block] < best.least:
@@ -233,8 +234,8 @@ def build(
     named terms, as long as these are few enough for a broadcast; counts always cover all.
 
     A pass over the texts writes the terms of each document. From those, each task makes
-    shards of at most SHARD_ROWS documents as they lie, and clusters and sums up their lists. A
-    frequent term so has a bounded list in every shard, and no posting is shuffled. Documents
+    shards of at most SHARD_ROWS documents and SHARD_CELLS documents times terms as they lie, and
+    clusters and sums up their lists. A frequent term so has a bounded list in every shard, and no posting is shuffled. Documents
     with equal ids, or without, count each.
     """
     counts = "id long, length long, terms array<string>, counts array<long>"
@@ -244,7 +245,7 @@ def build(
     doc_freq = counted.select(F.explode("terms").alias("term")).groupBy("term")
     shards = counted.mapInArrow(_sharded(documents, total), "shard binary")
     return LexicalIndex(
-        stored(shards, "lexical-shards"),
+        stored(shards, "lexical-shards", **BLOCK_OPTIONS),
         stored(doc_freq.agg(F.count(F.lit(1)).alias("df")), "lexical-df"),
         documents,
         total,
@@ -260,6 +261,7 @@ def search(index: LexicalIndex, terms: DataFrame, k: int = 20) -> DataFrame:
     one. Each task carries the kth score of an item from shard to shard and gives at most k
     rows of it.
     """
+    spark = index.shards.sparkSession
     weight = term_weight(F.lit(index.documents), F.col("df")) * F.col("times")
     asked = terms.join(index.doc_freq, "term").select("item_id", "term", weight.alias("weight"))
     asked = stored(asked.where("weight > 0"), "lexical-items")
@@ -268,9 +270,10 @@ def search(index: LexicalIndex, terms: DataFrame, k: int = 20) -> DataFrame:
     found = []
     for block in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        told = index.shards.sparkSession.sparkContext.broadcast(_items(own))
+        told = spark.sparkContext.broadcast(_items(own))
         rows = index.shards.mapInArrow(_searched(told, k), "item_id long, id long, score long")
-        found.append(stored(rows, "lexical-found"))
+        with few_rows(spark):
+            found.append(stored(rows, "lexical-found"))
         told.unpersist()
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     return (
@@ -315,17 +318,18 @@ def _items(asked: DataFrame) -> list[tuple[int | None, list[tuple[str, int]]]]:
 def _counted(vocabulary: Broadcast | None):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if vocabulary is None else vocabulary.value
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
         for batch in batches:
-            rows = []
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                counts = Counter(text_terms(text.as_py()))
-                if counts:
-                    kept = {t: n for t, n in counts.items() if known is None or t in known}
-                    rows.append((id_, counts.total(), list(kept), list(kept.values())))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-            arrays = [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "length", "terms", "counts"])
+            for at in range(0, max(1, batch.num_rows), TAKE_ROWS):
+                rows, taken = [], batch.slice(at, TAKE_ROWS)
+                for id_, text in zip(taken.column(0).to_pylist(), taken.column(1), strict=True):
+                    counts = Counter(text_terms(text.as_py()))
+                    if counts:
+                        kept = {t: n for t, n in counts.items() if known is None or t in known}
+                        rows.append((id_, counts.total(), list(kept), list(kept.values())))
+                columns = list(zip(*rows, strict=True)) or [()] * 4
+                arrays = [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "length", "terms", "counts"])
 
     return count
 
@@ -333,19 +337,21 @@ def _counted(vocabulary: Broadcast | None):
 def _sharded(documents: int, total: int):
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
-        postings = 0
+        vocabulary: set[str] = set()
 
         def made() -> pa.RecordBatch:
             data = pickle.dumps(Shard(*zip(*waiting, strict=True), documents, total))
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["shard"])
 
         for batch in batches:
-            for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                waiting.append(row)
-                postings += len(row[2])
-                if len(waiting) >= SHARD_ROWS or postings >= SHARD_POSTINGS:
-                    yield made()
-                    waiting, postings = [], 0
+            for at in range(0, batch.num_rows, TAKE_ROWS):
+                taken = batch.slice(at, TAKE_ROWS)
+                for row in zip(*(column.to_pylist() for column in taken.columns), strict=True):
+                    waiting.append(row)
+                    vocabulary.update(row[2])
+                    if len(waiting) >= SHARD_ROWS or len(waiting) * len(vocabulary) >= SHARD_CELLS:
+                        yield made()
+                        waiting, vocabulary = [], set()
         if waiting:
             yield made()
 

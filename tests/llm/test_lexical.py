@@ -122,7 +122,7 @@ def test_summaries_bound_their_blocks_and_blocks_are_skipped(monkeypatch):
             members = own[block * 16 : (block + 1) * 16]
             at = slice(*shard.at[shard.first[col] + block : shard.first[col] + block + 2])
             top = np.zeros(len(shard.vocabulary), dtype=np.int64)
-            top[shard.terms_of[at]] = shard.tops[at] * shard.step
+            top[shard.terms_of[at]] = shard.tops[at].astype(np.int64) * shard.step
             assert (dense[members].max(axis=0) <= top).all()
             assert ((dense[members].max(axis=0) > 0) == (top > 0)).all()
     best = lexical.Best(5)
