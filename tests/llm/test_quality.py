@@ -1,5 +1,8 @@
 import math
 
+import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from pagelode.llm import quality
@@ -58,6 +61,28 @@ def test_one_class_gives_its_share(spark):
     assert found.select(F.count("*")).first()[0] == 40
 
 
+def test_calibration_equals_logistic_regression(spark):
+    draw = np.random.default_rng(1)
+    margins = np.concatenate([draw.normal(3, 4, 300), draw.normal(-2, 2, 200)])
+    given = np.repeat([1.0, 0.0], [300, 200])
+    slope, shift = quality.platt(given, margins, np.ones(500))
+    table = spark.createDataFrame(list(zip(given.tolist(), margins.tolist(), strict=True)), "label double, m double")
+    table = VectorAssembler(inputCols=["m"], outputCol="one").transform(table)
+    fit = LogisticRegression(featuresCol="one", labelCol="label", regParam=0.001, tol=1e-10).fit(table)
+    assert math.isclose(slope, fit.coefficients[0], rel_tol=1e-3)
+    assert math.isclose(shift, fit.intercept, abs_tol=1e-3)
+    twice = quality.platt(np.tile(given, 2), np.tile(margins, 2), np.ones(1000))
+    counted = quality.platt(given, margins, np.full(500, 2.0))
+    assert np.allclose(twice, counted)
+
+
+def test_calibration_of_equal_or_separable_margins():
+    slope, shift = quality.platt(np.array([0.0, 1.0]), np.array([2.0, 2.0]), np.array([1.0, 3.0]))
+    assert slope == 0 and math.isclose(shift, math.log(3), abs_tol=1e-6)
+    slope, shift = quality.platt(np.array([0.0, 1.0]), np.array([-64.0, 64.0]), np.array([50.0, 50.0]))
+    assert 0 < slope < 1 and abs(shift) < 1e-6
+
+
 def test_views_exchange_what_they_are_sure_of(spark):
     """The labels of the next round and the score against plain arithmetic."""
     known = labels(spark, range(0, 300, 2)).select(
