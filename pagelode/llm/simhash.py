@@ -12,13 +12,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import join_by_key, stored
+from pagelode.llm.common import few_rows, join_by_key, stored
 from pagelode.llm.components import connected_components
 
 BITS = 64
 SEED = 42
 #: Shingles of a text that are hashed and counted at a time.
 BLOCK = 100_000
+#: Texts that a Python worker gets at a time.
+TEXT_ROWS = 256
 
 
 def text_fingerprint(text: str | None, shingle_words: int) -> int:
@@ -150,12 +152,13 @@ def simhash_groups(
     has fingerprint 0. Repeated rows are members each. A null id is never the smallest;
     component_id is null if all ids of the component are. An empty table gives no rows.
     """
-    rows = stored(
-        docs.select(
-            F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle_words).alias("fp")
-        ),
-        "fingerprints",
-    )
+    with few_rows(docs.sparkSession, TEXT_ROWS):
+        rows = stored(
+            docs.select(
+                F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle_words).alias("fp")
+            ),
+            "fingerprints",
+        )
     groups = stored(
         rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("first")), "groups"
     )

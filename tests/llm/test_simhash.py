@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pagelode.llm import common, simhash
 from pagelode.llm.components import connected_components
 from pagelode.llm.simhash import hex_digits, near_links, simhash_groups
 from tests.llm import brute
@@ -77,3 +78,17 @@ def test_a_plan_without_cross_join(spark):
     table = spark.range(100).select(F.xxhash64("id").alias("fp"))
     plan = near_links(table, 3)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_texts_go_to_python_a_few_at_a_time(spark, monkeypatch):
+    name, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+
+    def stored(df, table, **options):
+        rows[table] = int(spark.conf.get(name))
+        return common.stored(df, table, **options)
+
+    monkeypatch.setattr(simhash, "stored", stored)
+    before = spark.conf.get(name)
+    simhash.simhash_groups(documents(spark)).collect()
+    assert rows["fingerprints"] <= 256 and rows["components"] == int(before)
+    assert spark.conf.get(name) == before
