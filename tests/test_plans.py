@@ -1,5 +1,7 @@
 """The physical plans the design relies on."""
 
+from dataclasses import replace
+
 import pytest
 
 import pagelode as pl
@@ -25,6 +27,22 @@ def test_scoring_moves_no_posting(spark, index):
     assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text
 
 
+def test_a_posting_meets_a_row_of_queries_and_not_each(spark, index):
+    """Sums are by document and row of queries, so there is one row for up to 16 queries, or 64."""
+    queries = requests(spark, *[f"spark sql {number}" for number in range(40)], "spark sql 1 engine")
+    queries = queries.unionByName(queries.limit(3))  # a query that comes again counts again
+    for found in (retrieval.bm25_scores(index, queries), retrieval.candidates(index, queries)):
+        assert "HashAggregate(keys=[id" in plan(found) and "HashAggregate(keys=[qid" not in plan(found)
+    size = retrieval.measure(queries)
+    many = replace(size, queries=10**9)
+    assert size.broadcast_queries and not many.broadcast_queries
+    assert sorted(retrieval.bm25_scores(index, queries, size).collect()) == sorted(
+        retrieval.bm25_scores(index, queries, many).collect()
+    )
+    told = sorted(retrieval.candidates(index, queries, size).collect())
+    assert told == sorted(retrieval.candidates(index, queries, many).collect()) and len(told) > 64
+
+
 def test_scoring_moves_no_posting_of_an_extended_index(spark, tmp_path):
     path = str(tmp_path)
     pl.extend_index(page_log(spark), path)
@@ -70,6 +88,14 @@ def test_building_moves_each_page_once(spark):
     assert plan(pl.build_index(page_log(spark), unique_ids=True).postings).count("Exchange") == 0
 
 
+def test_pools_are_not_pruned_where_that_leaves_out_little(spark, index, monkeypatch):
+    monkeypatch.setattr(retrieval, "PRUNE_ROWS", 0)
+    queries = requests(spark, "spark sql", "engine", "note")
+    whole = retrieval.pruned_scores(index, queries)
+    assert whole.scored is None
+    assert retrieval.pruned_scores(index, queries, prune_rows=0).scored is not None
+
+
 def test_large_batches_move_no_posting_and_no_document(spark, index, monkeypatch):
     from pagelode.plans import search
 
