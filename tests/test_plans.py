@@ -88,6 +88,17 @@ def test_building_moves_each_page_once(spark):
     assert plan(pl.build_index(page_log(spark), unique_ids=True).postings).count("Exchange") == 0
 
 
+def test_pages_are_placed_before_their_terms_are_counted(spark, tmp_path, monkeypatch):
+    from pagelode.operators import store
+
+    told, write = [], store._write_documents
+    monkeypatch.setattr(store, "_write_documents", lambda rows, *rest: told.append(rows) or write(rows, *rest))
+    pl.write_index(page_log(spark), str(tmp_path / "a"))
+    pl.write_index(page_log(spark, FIVE), str(tmp_path / "b"), num_shards=3, unique_ids=True)
+    pl.extend_index(page_log(spark, [C_AGAIN]), str(tmp_path / "a"))
+    assert len(told) == 3 and not any("terms" in rows.columns for rows in told)
+
+
 def test_pools_are_not_pruned_where_that_leaves_out_little(spark, index, monkeypatch):
     monkeypatch.setattr(retrieval, "PRUNE_ROWS", 0)
     queries = requests(spark, "spark sql", "engine", "note")
