@@ -99,6 +99,18 @@ def test_pages_are_placed_before_their_terms_are_counted(spark, tmp_path, monkey
     assert len(told) == 3 and not any("terms" in rows.columns for rows in told)
 
 
+def test_an_order_is_worked_out_once(spark, index, monkeypatch):
+    from pagelode.plans import search
+
+    told, fits = [], search.fits
+    monkeypatch.setattr(search, "fits", lambda rows, *rest: told.append(plan(rows)) or fits(rows, *rest))
+    queries = requests(spark, "spark sql")
+    order = retrieval.candidates(index, queries).selectExpr("qid", "id", "1 AS pos")
+    monkeypatch.setattr(search, "feeding_tasks", lambda *_: 2)
+    pl.search_with_order(index, queries, order)
+    assert len(told) == 1 and "Aggregate" not in told[0] and "Join" not in told[0]
+
+
 def test_pools_are_not_pruned_where_that_leaves_out_little(spark, index, monkeypatch):
     monkeypatch.setattr(retrieval, "PRUNE_ROWS", 0)
     queries = requests(spark, "spark sql", "engine", "note")
