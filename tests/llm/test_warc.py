@@ -6,6 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from pagelode.llm import warc
 from pagelode.llm.warc import decoded, derive, page_responses, plain_text, write_warc
 from tests.llm.tables import clashing, rows
 
@@ -111,3 +112,19 @@ def test_repeated_rows_and_empty_table(spark):
     assert rows(derive(page_responses(pages(spark, PAGES + PAGES)))) == sorted(once * 2, key=repr)
     assert rows(derive(page_responses(pages(spark, [])))) == []
     assert spark.createDataFrame([("",)], "t string").select(plain_text(F.col("t"))).first()[0] == ""
+
+
+def test_white_space_is_found_by_one_class_of_characters(spark):
+    """Patterns that begin with one class, and replace what their alternatives replaced."""
+    letters = "a \n\t\r\f\x0b\xa0"
+    texts = ["".join(letters[n // 7**i % 7] for i in range(5)) for n in range(7**5)] + ["", "ü 𝄞\n b"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
+    alternatives = {
+        warc.SPACES: (r"\s{2,}|[\t\n\x0B\f\r]", " "),
+        warc.BLANKS: (r"[ \t\r\f\x0B\x{00A0}]{2,}|[\t\r\f\x0B\x{00A0}]", " "),
+        warc.LINE_ENDS: (r" ?\n[ \n]*", "\n"),
+    }
+    for pattern, (plain, by) in alternatives.items():
+        assert re.match(r"(\\s|\[[^]]+\])\(", pattern)
+        same = F.regexp_replace("text", pattern, by) == F.regexp_replace("text", plain, by)
+        assert frame.where(~same).isEmpty()
