@@ -136,3 +136,23 @@ def test_term_stats(spark):
 def test_unknown_mode(spark):
     with pytest.raises(ValueError, match="mode"):
         pl.build_index(page_log(spark), "newest")
+
+
+def test_postings_are_sorted_a_few_documents_at_a_time(spark, tmp_path, monkeypatch):
+    """Each task sorts the postings of few documents by their term, whatever the session's settings."""
+    monkeypatch.setattr(store, "POSTING_TASK_BYTES", 4 << 10)
+    rows = [(f"d{n:04}", "", f"t{n % 7}", " ".join(f"w{n * i % 601}" for i in range(60)), n) for n in range(900)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    index = pl.write_index(page_log(spark, rows), str(tmp_path), num_shards=3)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    files = sorted(tmp_path.glob("version=*/postings/*.parquet"))
+    assert len(files) >= 3 * 2  # a shard is several row groups and so several tasks
+    for file in files:
+        found = [(row.term, row.shard) for row in spark.read.parquet(str(file)).select(
+            "term", ix.shard_of("id", 3).alias("shard")
+        ).collect()]
+        terms = [term for term, _ in found]
+        assert terms == sorted(terms) and len({shard for _, shard in found}) == 1
+    columns = ["id", "term", "tf", "dl", "adds", "added_tf"]
+    derived = pl.build_index(page_log(spark, rows)).postings.select(columns)
+    assert sorted(index.postings.select(columns).collect()) == sorted(derived.collect())
