@@ -239,6 +239,24 @@ def test_pruned_pools_equal_whole_scores(spark, tmp_path, segments, mode, k, k1,
     assert rounded[0] == rounded[1] and rounded[0]
 
 
+@pytest.mark.parametrize("k", [1, 900])
+def test_few_scores_are_sorted_where_all_are_scored(spark, tmp_path, monkeypatch, k):
+    """What can't reach the end of a pool is left out before it is ranked, and nothing else is."""
+    index = pl.write_index(page_log(spark, pruning_corpus(1500)), str(tmp_path))
+    queries = requests(spark, *PRUNED_QUERIES, *[f"of and rare{n}" for n in range(20)], k=k)
+    whole = retrieval.rerank_pool(index, queries, prune_rows=10**18)
+    monkeypatch.setattr(retrieval, "PRUNE_ROWS", 0)
+    monkeypatch.setattr(retrieval, "PRUNE_SHARE", 0.0)
+    pools = [
+        sorted((r.qid, r.id, r.bm25_rank, round(r.score, 9)) for r in pool.collect())
+        for pool in (whole, retrieval.rerank_pool(index, queries))
+    ]
+    assert pools[0] == pools[1] and pools[0]
+    ranked = retrieval.pruned_scores(index, queries).scores.count()
+    scored = retrieval.candidates(index, queries).count()
+    assert len(pools[0]) <= ranked <= scored and (k > 1 or ranked < scored / 2)
+
+
 def test_pruning_scores_few_candidates(spark, tmp_path):
     index = pl.write_index(page_log(spark, pruning_corpus()), str(tmp_path))
     queries = requests(spark, "the of rare3 rare7 rare11", "rare5 rare6 the and to of", k=5)
