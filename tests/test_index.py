@@ -156,3 +156,26 @@ def test_postings_are_sorted_a_few_documents_at_a_time(spark, tmp_path, monkeypa
     columns = ["id", "term", "tf", "dl", "adds", "added_tf"]
     derived = pl.build_index(page_log(spark, rows)).postings.select(columns)
     assert sorted(index.postings.select(columns).collect()) == sorted(derived.collect())
+
+
+def test_many_ids_that_come_again_move_no_document(spark, tmp_path, monkeypatch):
+    """Replaced ids beyond one broadcast meet the documents shard by shard, and give the same."""
+    rows = [(f"d{n:03}", f"u{n}", "", f"word{n % 9} of page {n}", None) for n in range(60)]
+    again = [(id, url, title, f"new {body}", None) for id, url, title, body, _ in rows[::2]]
+
+    def extended(name):
+        path = str(tmp_path / name)
+        pl.extend_index(page_log(spark, rows), path, num_shards=8)
+        return pl.extend_index(page_log(spark, again), path)
+
+    def told(index):
+        shown = sorted(index.documents.select("id", "url", "title", "body", "dl").collect())
+        return shown, sorted(index.postings.collect()), df(index), stats(index)
+
+    wanted = told(extended("one"))
+    monkeypatch.setattr(store, "BROADCAST_IDS", 7)
+    monkeypatch.setattr(store, "LITERAL_IDS", 3)
+    index = extended("several")
+    plan = index.documents._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    assert told(index) == wanted
