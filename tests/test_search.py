@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import pagelode as pl
-from checks.queries import overlap_reranker
+from checks.queries import documents, overlap_reranker, reranker_beyond_pool
 from pagelode.operators import ranking, rerank, retrieval
+from pagelode.plans import search as plan
 from pagelode.sources.pages import seed_pages
 from tests.corpora import C_AGAIN, FIVE, ids, page_log, ranked, requests
 
@@ -177,6 +178,25 @@ def test_external_order_reaches_beyond_the_pool(spark):
     assert found == {"needle": ["d39", "d00", "d01"]}
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_a_reranker_may_name_every_match(spark, tmp_path, monkeypatch, most):
+    """Also an order too large for a broadcast, which meets the scores of all documents once."""
+    monkeypatch.setattr(plan, "BROADCAST_ROWS", most)
+    texts = ["hay", *("needle " + "hay " * (40 - i) for i in range(40))]
+    spark.createDataFrame(
+        [(i, f"s{i}", text) for i, text in enumerate(texts)], "doc_id long, source string, text string"
+    ).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, "needle"), (6, "none")], "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet"
+    )
+    found = reranker_beyond_pool(spark, str(tmp_path)).orderBy("rank").collect()
+    assert [(row["qid"], row["rank"], row["id"]) for row in found] == [("5", i, str(i)) for i in range(1, 11)]
+    index = pl.build_index(documents(spark, str(tmp_path)))
+    scores = retrieval.bm25_scores(index, requests(spark, "needle")).select("id", "score")
+    scores = dict(scores.collect())
+    assert [row["score"] for row in found] == [pytest.approx(scores[row["id"]], abs=1e-6) for row in found]
+
+
 @pytest.mark.parametrize("reranker", [None, pl.cosine_rerank, overlap_reranker])
 def test_large_batches_give_the_same_without_broadcasts(spark, five, monkeypatch, reranker):
     queries = requests(spark, *FIVE_RESULTS)
