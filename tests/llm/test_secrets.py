@@ -170,3 +170,26 @@ def test_every_word_of_every_document_teaches_the_identifiers(spark):
     tokens = secrets.labelled_samples(documents(spark, texts), F.col("text"), F.col("doc_id"))
     places = tokens.where("not random").agg(F.sum("n")).first()[0]
     assert 5200 * 4 + 600 <= places / 13 <= 5200 * 4 + 600 + 400  # so few samples have all forms
+
+
+def letters(number):
+    return "".join(chr(ord("a") + int(digit)) for digit in f"{number:06d}")
+
+
+def test_every_place_of_every_word_has_all_forms_however_many_there_are(spark):
+    words = [letters(i) for i in range(60_000)]
+    texts = [" ".join(words[i : i + 600]) for i in range(0, 60_000, 600)]
+    texts.append(" ".join(["zzqx"] * 30_001 + ["vkvk"] * 101 + ["Nnop"]))
+    labelled = secrets.labelled_samples(documents(spark, texts), F.col("text"), F.col("doc_id"))
+    plain = labelled.where("not random").cache()
+    assert plain.agg(F.sum("n")).first()[0] == 13 * (60_000 + 30_001 + 101 + 1)
+    wanted = {word: 1 for word in words} | {"zzqx": 30_001, "vkvk": 101, "nnop": 1}
+    alone = plain.groupBy(F.lower("token").alias("token")).agg(F.sum("n")).collect()
+    alone = dict(map(tuple, alone))
+    assert {word: alone.get(word) for word in wanted} == wanted
+    for pattern, parts in ((r"^[a-z]+_[a-z]+_[a-z]+$", 3), (r"^[a-z]+-[a-z]+-[a-z]+-[a-z]+$", 4)):
+        own = plain.where(F.col("token").rlike(pattern)).select(F.split("token", "[_-]").alias("own"), "n")
+        for i in range(parts):
+            joined = own.groupBy(F.get("own", F.lit(i)).alias("word")).agg(F.sum("n")).collect()
+            assert dict(map(tuple, joined)) == wanted
+    plain.unpersist()
